@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, decision_list, simhash
-from inkfold.llm.tables import id_crc, read
+from inkfold.llm import chat, decision_list, quality, simhash, token_files, toxicity
+from inkfold.llm.tables import read, shared_dir
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.read(token_files.write(read(spark, sf_dir, "documents"), vocabulary, folder))
+
+
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
@@ -26,6 +43,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_quality_trees": op4_quality_trees,
+    "op6_token_files": op6_token_files,
+    "op7_toxicity_ftrl": op7_toxicity_ftrl,
     "op9_decision_list": op9_decision_list,
     "op10_chat_format": op10_chat_format,
 }
