@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, decision_list, quality, simhash, token_files, toxicity
+from inkfold.llm import chat, decision_list, lm, quality, simhash, token_files, toxicity
 from inkfold.llm.tables import read, shared_dir
 
 
@@ -20,6 +20,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality_trees": op4_quality_trees,
+    "op5_gru_scores": op5_gru_scores,
     "op6_token_files": op6_token_files,
     "op7_toxicity_ftrl": op7_toxicity_ftrl,
     "op9_decision_list": op9_decision_list,

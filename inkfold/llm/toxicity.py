@@ -47,7 +47,7 @@ def chunk_features(c: Chunk, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nda
 class Ftrl:
     """Per-coordinate FTRL-proximal state for features that are there or not."""
 
-    def __init__(self, buckets: int = BUCKETS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, buckets: int = BUCKETS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.z, self.n = np.zeros(buckets), np.zeros(buckets)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -63,7 +63,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = HELD_OUT, epochs: int = 3, **how) -> pd.DataFrame:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = HELD_OUT, epochs: int = 4, **how) -> pd.DataFrame:
     """(bucket, weight) of the weights that aren't zero."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
