@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, decision_list, lm, quality, simhash, token_files, toxicity
+from inkfold.llm import chat, decision_list, lm, passages, quality, simhash, token_files, toxicity
 from inkfold.llm.tables import read, shared_dir
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_classes(read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compact_windows": op1_compact_windows,
     "op3_simhash": op3_simhash,
     "op4_quality_trees": op4_quality_trees,
     "op5_gru_scores": op5_gru_scores,
