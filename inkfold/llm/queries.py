@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, decision_list, lm, passages, quality, simhash, token_files, toxicity
+from inkfold.llm import chat, decision_list, decontaminate, lm, mixing, passages, quality, simhash, token_files, toxicity
 from inkfold.llm.tables import read, shared_dir
 
 
@@ -16,6 +17,10 @@ def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_classes(read(spark, sf_dir, "documents"))
 
 
+def op2_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
@@ -38,6 +43,10 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
@@ -49,15 +58,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.union(planted)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_compact_windows": op1_compact_windows,
+    "op2_mixing_ipf": op2_mixing_ipf,
     "op3_simhash": op3_simhash,
     "op4_quality_trees": op4_quality_trees,
     "op5_gru_scores": op5_gru_scores,
     "op6_token_files": op6_token_files,
     "op7_toxicity_ftrl": op7_toxicity_ftrl,
+    "op8_lsa_decontamination": op8_lsa_decontamination,
     "op9_decision_list": op9_decision_list,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
