@@ -1,11 +1,8 @@
-"""All queries of the page and text engine by name, each with the DuckDB SQL it must equal."""
+"""All queries of the page and text engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from inkfold.plans import chapter_queries, file_queries, line_queries, model_queries, region_queries, tile_queries  # noqa: F401
+from inkfold.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "assign_balloons"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
