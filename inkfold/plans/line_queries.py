@@ -1 +1,91 @@
-"""Queries."""
+"""Queries over the lines of pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkfold.functions import text as t
+from inkfold.operators import lines as ln
+from inkfold.plans.registry import query
+from inkfold.sources.views import dialogue, lines, with_views
+
+_STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_S = _STRIP.format(x="text")
+_ASKED = """with first as (select page_id, text, kind, min(ord) as first_ord, arg_min(budget, ord) as fb, min(nullif(budget, 0)) as mb, count(*) as copies from lines group by 1, 2, 3),
+asked as (select page_id, text, kind, first_ord, case when fb = 0 then 0 else mb end as budget, copies, row_number() over (partition by page_id order by first_ord)::int as n from first)
+"""
+
+
+@query(with_views(f"select page_id, ord, text from lines where {_S} <> ''", "lines"))
+def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.not_blank(lines(spark, sf_dir)).select("page_id", "ord", "text")
+
+
+@query(with_views(_ASKED + "select page_id, text, kind, first_ord, budget, copies, n from asked", "lines"))
+def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.asked_once(lines(spark, sf_dir))
+
+
+@query(with_views(_ASKED + "select l.page_id, l.ord, a.n || ':' || substring(l.text, 1, 20) as answer from lines l join asked a on l.page_id = a.page_id and l.text = a.text and l.kind = a.kind", "lines"))
+def fan_out_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    answers = ln.asked_once(rows).withColumn("answer", F.concat(F.col("n").cast("string"), F.lit(":"), F.substring("text", 1, 20)))
+    return ln.fanned_out(rows, answers).select("page_id", "ord", "answer")
+
+
+@query(with_views(_ASKED + f"select page_id, n, concat_ws(' ', n || '.', '[' || kind || ']', case when budget > 0 then '<=' || budget end, {_S}) as line from asked", "lines"))
+def number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.numbered(ln.asked_once(lines(spark, sf_dir))).select("page_id", "n", "line")
+
+
+@query(with_views("select page_id, count(*) as wanted, count(*) filter (budget > 3) as got from lines group by 1 having count(*) <> count(*) filter (budget > 3)", "lines"))
+def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    return ln.misaligned(rows, rows.where("budget > 3"))
+
+
+@query(with_views("select page_id, ord, length(text)::int as size, budget from lines where page_id in (select page_id from lines group by 1 having min(budget) > 3)", "lines"))
+def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    texts = rows.select("page_id", "ord", F.length("text").alias("size"))
+    return ln.zipped(texts, rows.where("budget > 3").select("page_id", "ord", "budget"))
+
+
+@query(f"""with s as (select conv_id, turn, {_S} as x from conversations)
+select conv_id, coalesce(string_agg(x, chr(10) order by turn) filter (x <> ''), '') as text, count(*) as turns from s group by 1""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue(spark, sf_dir)
+    return ln.page_texts(rows, "conv_id", "turn").join(rows.groupBy("conv_id").agg(F.count("*").alias("turns")), "conv_id")
+
+
+@query(with_views("select doc_id, n_chars from documents where doc_id not in (select page_id from lines group by 1 having count(*) > 5)", "lines"))
+def resume_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    done = lines(spark, sf_dir).groupBy(F.col("page_id").alias("doc_id")).count().where("count > 5")
+    return ln.missing(docs, done, "doc_id")
+
+
+@query(with_views("select why, count(*) as n from (select case when length(text) = 0 then 'empty' when length(text) < 20 then 'short' when budget = 0 then 'no room' end as why from lines) where why is not null group by 1", "lines"))
+def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.length("text")
+    why = F.when(size == 0, "empty").when(size < 20, "short").when(F.col("budget") == 0, "no room")
+    return ln.reasons(lines(spark, sf_dir).withColumn("why", why))
+
+
+@query(with_views("""with m as (select page_id, ord, 40 + ord % 200 as w, 60 + budget * 7 as h, length(regexp_replace(text, '\\s+', '', 'g')) as n from lines),
+z as (select *, case when n > 0 then greatest(6, floor(1.25 * sqrt(w * h / n) + 0.5)) else 200 end::int as size from m),
+r as (select *, floor(w / (size * 0.5) * greatest(1, floor(h / (size * 1.15))) * 0.85) as room from z)
+select page_id, ord, size, case when room < 12 then 0 else room end::int as room from r""", "lines"))
+def line_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = F.lit(40) + F.col("ord") % 200, F.lit(60) + F.col("budget") * 7
+    sized = lines(spark, sf_dir).select("page_id", "ord", w.alias("w"), h.alias("h"), t.original_size(w, h, F.col("text")).alias("size"))
+    return sized.select("page_id", "ord", "size", t.room_in_characters(F.col("w"), F.col("h"), F.col("size"), F.col("size") * 0.5).alias("room"))
+
+
+@query(with_views("""select page_id, ord, concat_ws(' | ', replace(replace('Put {source} into {target}; keep {this}', '{target}', kind), '{source}', substring(text, 1, 5)),
+  case when ord % 3 = 0 then 'third' end, case when budget = 1 then '1 page' else budget || ' pages' end) as prompt from lines""", "lines"))
+def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = t.filled(F.lit("Put {source} into {target}; keep {this}"), F.col("kind"), F.substring("text", 1, 5))
+    third = F.when(F.col("ord") % 3 == 0, "third").otherwise("")
+    return lines(spark, sf_dir).select("page_id", "ord", t.joined([filled, third, t.plural(F.col("budget"), "page")], " | ").alias("prompt"))
