@@ -1 +1,107 @@
-"""Queries."""
+"""Queries over files, archives and folders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkfold.functions import text as t
+from inkfold.operators import gallery as gl, languages
+from inkfold.plans.registry import query
+from inkfold.sources.views import files, with_views
+
+_F = """with f as (select page_id, path, size, regexp_extract(path, '[^/]*$', 0) as name, regexp_extract(path, '^([^/]*)/', 1) as folder from files)
+"""
+_TYPE = "case lower(regexp_extract(path, '\\.[^./]+$', 0)) when '.png' then 'image/png' when '.jpg' then 'image/jpeg' when '.webp' then 'image/webp' end"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("page_id", "path", "size", t.base_name(F.col("path")).alias("name"), F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"))
+
+
+@query(with_views(_F + f"select page_id, name, {_TYPE} as type, {_TYPE} is not null and name not like '.%' as is_page, regexp_replace(name, '\\.[^.]+$', '') as stem, false as is_archive from f", "files"))
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _files(spark, sf_dir).select(
+        "page_id", "name", t.image_type(p).alias("type"), t.is_page_entry(p).alias("is_page"), t.stem(F.col("name")).alias("stem"), t.is_archive(F.col("name"), F.lit(None).cast("string")).alias("is_archive")
+    )
+
+
+@query(with_views(_F + "select page_id, (row_number() over (partition by folder order by coalesce(try_cast(regexp_extract(name, '^\\d+', 0) as bigint), -1), lower(regexp_extract(name, '\\D*$', 0)), path) - 1)::int as place from f where regexp_matches(name, '^\\d+\\.') and path in (select path from f group by 1 having count(*) = 1)", "files"))
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).where(F.col("name").rlike(r"^\d+\."))
+    once = f.join(f.groupBy("path").count().where("count = 1"), "path", "left_semi")
+    return gl.in_natural_order(once, "folder", "path").select("page_id", "place")
+
+
+@query(with_views(_F + "select page_id, name, case when n = 1 then name else regexp_replace(name, '\\.[^.]+$', '') || ' (' || n || ')' || regexp_extract(name, '\\.[^.]+$', 0) end as unique_name from (select *, row_number() over (partition by folder, name order by page_id) as n from f)", "files"))
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gl.unique_names(_files(spark, sf_dir), "folder", "name", "page_id").select("page_id", "name", "unique_name")
+
+
+_STAGES = """, pages as (select page_id, folder, name, case when page_id % 3 = 0 then 'L' || page_id end as lettered, case when page_id % 2 = 0 then 'C' || page_id end as cleaned, 'O' || page_id as original from f),
+best as (select page_id, folder, case when lettered is not null then 'lettered' when cleaned is not null then 'cleaned' else 'original' end as reached, coalesce(lettered, cleaned, original) as data, name from pages)
+"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    named = lambda x: F.concat(F.lit(x), p.cast("string"))
+    return _files(spark, sf_dir).select("folder", p.alias("page_no"), "name", F.when(p % 3 == 0, named("L")).alias("lettered"), F.when(p % 2 == 0, named("C")).alias("cleaned"), named("O").alias("original"))
+
+
+@query(with_views(_F + _STAGES + "select page_id as page_no, folder, reached, data, case when reached = 'original' then name else regexp_replace(name, '\\.[^.]+$', '') || '.png' end as name from best", "files"))
+def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gl.best_pages(_pages(spark, sf_dir))
+
+
+@query(with_views(_F + _STAGES.rstrip() + "select folder as name, folder || '-' || case when bool_or(reached = 'lettered') then 'brazilian-portuguese' else 'cleaned' end || case when length(folder) % 2 = 0 then '.cbz' else '.zip' end as file from best group by folder", "files"))
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = gl.best_pages(_pages(spark, sf_dir))
+    folders = best.select(F.col("folder").alias("name")).distinct().withColumn("archive", F.when(F.length("name") % 2 == 0, F.concat("name", F.lit(".CBZ"))))
+    return gl.archive_names(best, folders, " Brazilian Portuguese!")
+
+
+@query(with_views(_F + """, k as (select *, folder || ':' || name as fingerprint from f),
+b as (select * from k where page_id % 3 <> 0), a as (select fingerprint from k where page_id % 3 = 0)
+select fingerprint, min(page_id) as page_id from b where fingerprint not in (select fingerprint from a) group by 1""", "files"))
+def ingest_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _files(spark, sf_dir).withColumn("fingerprint", F.concat_ws(":", "folder", "name"))
+    return gl.fresh(k.where("page_id % 3 <> 0"), k.where("page_id % 3 = 0"), "page_id").select("fingerprint", "page_id")
+
+
+@query(with_views(_F + f""", k as (select *, folder || ':' || name as fingerprint, {_TYPE} is not null as is_image from f),
+s as (select folder, case when not is_image then 'rejected' when fingerprint in (select fingerprint from k where page_id % 3 = 0) then 'duplicate'
+  when row_number() over (partition by fingerprint order by page_id) > 1 then 'duplicate' else 'fresh' end as state from k where page_id % 3 <> 0)
+select folder, state, count(*) as n from s group by 1, 2""", "files"))
+def ingest_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _files(spark, sf_dir).withColumn("fingerprint", F.concat_ws(":", "folder", "name")).withColumn("is_image", t.image_type(F.col("path")).isNotNull())
+    return gl.accounting(k.where("page_id % 3 <> 0"), k.where("page_id % 3 = 0"), "page_id")
+
+
+@query(with_views(_F + """select folder, count(*) as pages, sum(size)::bigint as bytes, count(*) filter (page_id % 4 = 0) as done, count(*) filter (page_id % 4 = 0) / count(*) as share,
+  case when sum(size) < 1024 then sum(size) || ' B' when sum(size) < 10240 then printf('%.1f', floor(sum(size) / 1024 * 10 + 0.5) / 10) || ' KB' when sum(size) < 1048576 then floor(sum(size) / 1024 + 0.5)::bigint || ' KB'
+    else printf('%.1f', floor(sum(size) / 1048576 * 10 + 0.5) / 10) || ' MB' end as shown, case when count(*) = 1 then '1 page' else count(*) || ' pages' end as said from f group by 1""", "files"))
+def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir)
+    s = gl.folder_summary(f, f.where("page_id % 4 = 0"))
+    return s.select("*", t.bytes_text(F.col("bytes")).alias("shown"), t.plural(F.col("pages"), "page").alias("said"))
+
+
+@query(with_views(_F + "select page_id, folder from f where page_id % 5 <> 0 and folder in (select folder from f group by 1 having count(*) > 1)", "files"))
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir)
+    small = f.groupBy("folder").count().where("count = 1").join(f, "folder").select("page_id")
+    gone = f.where("page_id % 5 = 0").select("page_id").union(small)
+    left = gl.without_pages({"pages": f, "masks": f.where("page_id % 2 = 0")}, gone)
+    return left["pages"].select("page_id", "folder")
+
+
+@query("""with a as (select doc_id, case doc_id % 6 when 0 then ' JA ' when 1 then '' when 2 then 'zz' when 3 then 'Ko' else lang end as asked from documents)
+select doc_id, case when asked in ('fr', 'de', 'es', 'zz') then null when trim(asked) = '' then 'ja' else lower(trim(asked)) end as code,
+  case when asked in ('fr', 'de', 'es', 'zz') then null else lower(trim(asked)) in ('ja', '') end as rtl from a""")
+def language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("doc_id") % 6
+    asked = F.when(e == 0, " JA ").when(e == 1, "").when(e == 2, "zz").when(e == 3, "Ko").otherwise(F.col("lang"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", asked.alias("asked"))
+    return languages.looked_up(rows, "asked").select("doc_id", F.col("code"), F.when(F.col("code").isNotNull(), F.col("rtl")).alias("rtl"))

@@ -1 +1,130 @@
-"""Queries."""
+"""Queries over small grey tiles and masks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkfold.functions import raster
+from inkfold.operators import ink
+from inkfold.plans.registry import query
+from inkfold.sources.views import tiles, with_views
+
+SIDE = 8
+
+
+def _ink():
+    return F.col("grey") > 128
+
+
+@query(with_views("""with g as (select vec_id, i, i - row_number() over (partition by vec_id order by i) as island from tiles where grey > 128)
+select vec_id, min(i) as start, (max(i) + 1)::int as "end" from g group by vec_id, island having max(i) - min(i) >= 2""", "tiles"))
+def ink_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.runs(tiles(spark, sf_dir), "vec_id", _ink())
+
+
+_BLANKS = """with g as (select vec_id, i, lead(i) over (partition by vec_id order by i) - i - 1 as length from tiles where grey > 128),
+b as (select vec_id, (i + 1)::int as start, length::int as length from g where length > 0)
+"""
+
+
+@query(with_views(_BLANKS + "select * from b", "tiles"))
+def interior_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.interior_blanks(tiles(spark, sf_dir), "vec_id", _ink())
+
+
+@query(with_views(_BLANKS + "select vec_id, arg_max(start, (length, -start)) as start, max(length) as length from b group by 1", "tiles"))
+def widest_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.widest_blank(ink.interior_blanks(tiles(spark, sf_dir), "vec_id", _ink()), "vec_id")
+
+
+@query(with_views("select vec_id, greatest(case when count(*) < 2 then 200.0 else quantile_cont(least(grey, 200), 0.75) end, 1.0)::double as size from tiles where grey > 128 group by 1", "tiles"))
+def character_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = tiles(spark, sf_dir).where(_ink()).withColumn("short", F.lit(200))
+    return ink.character_size(marks, "vec_id", "grey", "short")
+
+
+@query(with_views("select vec_id, coalesce(trunc(quantile_cont(grey, 0.5) filter (grey <= 128))::int, 255) as grey from tiles group by 1", "tiles"))
+def background_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.background(tiles(spark, sf_dir), "vec_id", _ink(), ["grey"])
+
+
+@query(with_views("select vec_id, avg((grey > 128)::int) > 0.5 as inverted from tiles where i % 8 in (0, 7) or i // 8 in (0, 7) group by 1", "tiles"))
+def ink_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("i") % SIDE, F.floor(F.col("i") / SIDE)
+    return ink.inverted(tiles(spark, sf_dir), "vec_id", _ink(), x.isin(0, SIDE - 1) | y.isin(0, SIDE - 1))
+
+
+@query(with_views("""with h as (select vec_id, grey, count(*) as n from tiles group by 1, 2),
+c as (select vec_id, grey, sum(n) over u as n0, sum(grey * n) over u as s0, sum(n) over (partition by vec_id) as n_all, sum(grey * n) over (partition by vec_id) as s_all
+  from h window u as (partition by vec_id order by grey rows unbounded preceding)),
+s as (select vec_id, grey, case when n0 = n_all then 0 else ((n0 * s_all - n_all * s0) * (n0 * s_all - n_all * s0))::double / (n0 * (n_all - n0))::double end as score from c)
+select vec_id, grey as level from s qualify row_number() over (partition by vec_id order by score desc, grey) = 1""", "tiles"))
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.otsu(tiles(spark, sf_dir), "vec_id", "grey")
+
+
+@query(with_views("select distinct a.vec_id, b.i from tiles a join tiles b on a.vec_id = b.vec_id and abs(a.i % 8 - b.i % 8) <= 1 and abs(a.i // 8 - b.i // 8) <= 1 where a.grey > 200", "tiles"))
+def dilate_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.dilated(tiles(spark, sf_dir).where("grey > 200").select("vec_id", "i"), "vec_id", SIDE, SIDE, 1)
+
+
+@query(with_views("select vec_id, i, greatest(case when grey > 128 then grey else 0 end, case when i % 3 = 0 then 200 else 0 end)::int as grey from tiles where grey > 128 or i % 3 = 0", "tiles"))
+def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = tiles(spark, sf_dir)
+    brush = cells.where("i % 3 = 0").withColumn("grey", F.lit(200))
+    return ink.united(cells.where(_ink()), brush, ["vec_id", "i"], "grey")
+
+
+@query(with_views("select vec_id, i, floor((255 * (i * 4) + grey * (255 - i * 4)) / 255.0 + 0.5)::int as grey from tiles", "tiles"))
+def blend_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles(spark, sf_dir).select("vec_id", "i", ink.blended(F.lit(255), F.col("grey"), F.col("i") * 4).alias("grey"))
+
+
+@query(with_views("select vec_id, min(i % 8)::int as x0, min(i // 8)::int as y0, (max(i % 8) + 1)::int as x1, (max(i // 8) + 1)::int as y1 from tiles where grey > 150 group by 1", "tiles"))
+def ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.boxes(tiles(spark, sf_dir).where("grey > 150"), ["vec_id"], SIDE)
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, grey: array of 64)"""
+    v = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + x * 400))).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", v.alias("grey"))
+
+
+@query(with_views("""with recursive walk(vec_id, i, root) as (
+  select vec_id, i, i from tiles where grey > 150
+  union
+  select w.vec_id, t.i, w.root from walk w join tiles t on w.vec_id = t.vec_id and t.grey > 150 and abs(t.i % 8 - w.i % 8) <= 1 and abs(t.i // 8 - w.i // 8) <= 1)
+select vec_id, i, dense_rank() over (partition by vec_id order by root)::int as component from (select vec_id, i, min(root) as root from walk group by 1, 2)""", "tiles"))
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for vec, grey in zip(frame["vec_id"], frame["grey"]):
+                labels = raster.labelled((np.reshape(grey, (SIDE, SIDE)) > 150).astype(np.uint8))[0].ravel()
+                at = np.flatnonzero(labels)
+                out.append(pd.DataFrame({"vec_id": vec, "i": at.astype(np.int32), "component": labels[at]}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"vec_id": [], "i": [], "component": []})
+
+    return _grids(spark, sf_dir).mapInPandas(run, "vec_id long, i int, component int")
+
+
+@query()
+def patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work patches around the marks of a tile; components on a dilated mask, so rows only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (vec, k, *box)
+                for vec, grey in zip(frame["vec_id"], frame["grey"])
+                for k, box in enumerate(raster.patches((np.reshape(grey, (SIDE, SIDE)) > 200).astype(np.uint8) * 255, apart=2, least=1, context=0.25))
+            ]
+            yield pd.DataFrame(rows, columns=["vec_id", "patch", "x0", "y0", "x1", "y1"])
+
+    return _grids(spark, sf_dir).mapInPandas(run, "vec_id long, patch int, x0 int, y0 int, x1 int, y1 int")
