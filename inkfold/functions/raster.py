@@ -120,8 +120,8 @@ def room(grey: np.ndarray, block: Box, cover: float = 0.85, inset: float = 0.06)
         n = int(np.rint(inset * min(x1 - x0, y1 - y0)))
         for mask in (255 - dilated(255 - np.pad(piece, 1), n)[1:-1, 1:-1] if n else piece, piece):
             found = holding(mask, block)
-            if found:
-                return None if found == block else found
+            if found and found != block:
+                return found
     return None
 
 
@@ -175,6 +175,20 @@ def slices(ink: np.ndarray, least: int = 3) -> list[Box]:
     return [(a, 0, b, h) for a, b in reversed(runs)] if upright else [(0, a, w, b) for a, b in runs]
 
 
+def cells(column: np.ndarray, least: int = 3) -> list[Box]:
+    """The characters of a column, from the top: its inked runs, those over one and a half widths cut evenly into squares; the whole column if it has one only."""
+    h, w = column.shape
+    used = np.concatenate([[0], (column > 0).any(1).astype(int), [0]])
+    out = []
+    for a, b in zip(np.flatnonzero(np.diff(used) == 1), np.flatnonzero(np.diff(used) == -1)):
+        if b - a < least:
+            continue
+        n = max(1, round((b - a) / w)) if b - a > 1.5 * w else 1
+        cuts = np.linspace(a, b, n + 1).round().astype(int)
+        out += [(0, int(x), w, int(y)) for x, y in zip(cuts, cuts[1:])]
+    return out if len(out) > 1 else [(0, 0, w, h)]
+
+
 def white_filled(page: np.ndarray, mask: np.ndarray) -> np.ndarray:
     m = mask[..., None].astype(float) / 255
     return np.floor(255 * m + page * (1 - m) + 0.5).astype(np.uint8)

@@ -1 +1,92 @@
-"""Queries."""
+"""Queries over model stages (with fakes), archives and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkfold.functions import text as t
+from inkfold.operators import context, lines as ln, models
+from inkfold.plans.registry import query
+from inkfold.sources import archive
+from inkfold.sources.views import chapter_pages, files, lines, mentions, with_views
+from inkfold.streaming import chapters
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/inkfold/{uuid.uuid4().hex}"
+
+
+@query(with_views("""with u as (select page_id, text, min(ord) as o from lines where trim(text, ' ' || chr(9) || chr(13)) <> '' group by 1, 2),
+a as (select page_id, text, row_number() over (partition by page_id order by o)::int as n, count(*) over (partition by page_id) as wanted from u)
+select page_id, n, '<' || text || '>' as answer, case when wanted = 1 then 1 when wanted % 10 = 0 then 2 + wanted when wanted % 3 = 0 then 2 else 1 end::int as asks from a""", "lines"))
+def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines of a page through a fake model that miscounts: asked again, then line by line."""
+    asked = ln.asked_once(ln.not_blank(lines(spark, sf_dir)).withColumn("kind", F.lit("")))
+    return models.translated(asked, models.fake_asker)
+
+
+@query(with_views("select chapter, page_no, 'beat ' || (page_no % 8) as beat from chapter_pages", "chapter_pages"))
+def survey_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.surveyed(context.survey_windows(chapter_pages(spark, sf_dir)), models.fake_asker)
+
+
+@query("""select page_id, 0 as det_id, 1 as label, 0.9::double as score, (strlen(html) % 100)::int as x0, (strlen(html) % 100)::int as y0, null as why from pages where page_id % 10 <> 0
+union all select page_id, 1, 0, 0.8, greatest(0, strlen(html) % 100 - 10)::int, greatest(0, strlen(html) % 100 - 10)::int, null from pages where page_id % 10 <> 0
+union all select page_id, null, null, null, null, null, 'empty page' from pages where page_id % 10 = 0""")
+def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.when(F.col("page_id") % 10 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", data.alias("data"))
+    return models.detected(pages, models.fake_detector).select("page_id", "det_id", "label", "score", "x0", "y0", "why")
+
+
+@query("select page_id, 0 as ord, case when page_id % 5 = 0 then '' else 'ja ' || strlen(html) end as text from pages")
+def read_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", F.lit(0).alias("ord"), (F.col("page_id") % 5 * 4).cast("int").alias("w"), F.lit(9).alias("h"), F.col("html").cast("binary").alias("data"), F.lit("ja").alias("language")
+    )
+    return models.read(crops, models.fake_reader)
+
+
+@query(with_views("""with f as (select page_id, regexp_extract(path, '^([^/]*)/', 1) as folder, regexp_extract(path, '[^/]*$', 0) as name, path from files),
+u as (select folder, page_id, path, case when n = 1 then name else regexp_replace(name, '\\.[^.]+$', '') || ' (' || n || ')' || regexp_extract(name, '\\.[^.]+$', 0) end as name
+  from (select *, row_number() over (partition by folder, name order by page_id) as n from f))
+select folder as archive, name, case lower(regexp_extract(name, '\\.[^.]+$', 0)) when '.png' then 'image/png' when '.jpg' then 'image/jpeg' else 'image/webp' end as type, length(path)::int as size from u where not ends_with(name, '.txt') and not starts_with(name, '.')""", "files"))
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders packed into archives and read back: page images only, under names that don't clash."""
+    own = files(spark, sf_dir).select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), t.base_name(F.col("path")).alias("name"), F.col("page_id").alias("place"), F.col("path").cast("binary").alias("data"))
+    packed = archive.packed(own).withColumnRenamed("folder", "archive")
+    return archive.pages(packed).select("archive", "name", "type", F.length("data").alias("size"))
+
+
+@query(with_views("""with f as (select chapter, name, min(seq) as first_seq, coalesce(arg_max(gender, seq) filter (gender <> 'unknown'), 'unknown') as gender,
+  coalesce(arg_max(note, seq) filter (note <> ''), '') as note from mentions group by 1, 2),
+people as (select *, row_number() over (partition by chapter order by first_seq)::int as place from f)
+select chapter, name, gender, note, place from people where place <= 12""", "mentions"))
+def streamed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cast of each chapter, kept as state while its mentions come in by two batches of files."""
+    folder = _scratch(spark)
+    rows = mentions(spark, sf_dir)
+    for part, some in enumerate((rows.where("seq < 20"), rows.where("seq >= 20"))):
+        some.coalesce(1).write.mode("append").parquet(f"{folder}/in/part={part}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+        run = (
+            chapters.cast_updates(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+            .foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start()
+        )
+        run.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    out = spark.read.schema(f"{chapters.OUT}, batch long").parquet(f"{folder}/out")
+    last = F.max("batch").over(Window.partitionBy("chapter"))
+    return out.withColumn("last", last).where("batch = last").drop("batch", "last")
