@@ -85,7 +85,7 @@ def rake(table: pd.DataFrame, targets: dict[str, dict], sweeps: int = 50, tolera
         for d in DIMS:
             code = codes[d][0]
             margin = np.bincount(code, share, len(goal[d]))
-            ratio = np.divide(goal[d], margin, out=np.ones_like(margin), where=margin > 0)
+            ratio = np.divide(goal[d], margin, out=np.ones(len(margin)), where=margin > 0)
             off = max(off, float(np.abs(ratio - 1)[margin > 0].max(initial=0)))
             share = share * ratio[code]
         if off < tolerance:

@@ -82,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tu
 
     chosen = sample_texts(docs, labelled_sample(labels, "quality", held_out, sample))
     rows = chosen.mapInArrow(run, "doc_id long, label int, stats array<float>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(rows["stats"].tolist(), np.float64).reshape(len(rows), -1)
+    x = np.array(rows["stats"].tolist(), np.float64).reshape(len(rows), WIDTH)
     return fit(x, rows["label"].to_numpy(np.float64), **how)
 
 
