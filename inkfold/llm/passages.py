@@ -120,7 +120,7 @@ def match(key: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, earlier row) links between rows of one key that agree; rows are in order of preference."""
     n = len(key)
     groups = blocks.view(np.uint32)
-    full = (blocks != 0).reshape(n, -1, 4).all(2)
+    full = (blocks != 0).reshape(n, blocks.shape[1] // 4, 4).all(2)
     row, slot = np.nonzero(full)
     entry = mix(key.view(np.uint64)[row] + mix(groups[row, slot].astype(np.uint64) + (slot.astype(np.uint64) << np.uint64(32))))
     order = np.lexsort((row, entry))
@@ -148,7 +148,7 @@ def _resolve(rows: dict[str, np.ndarray]) -> tuple[pd.DataFrame, pd.DataFrame]:
     key = rows["key"]
     same = key[1:] == key[:-1]
     shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-    blocks = np.ascontiguousarray(np.stack([rows["b0"], rows["b1"], rows["b2"]], 1)[shared]).view(np.uint8).reshape(len(shared), -1)
+    blocks = np.ascontiguousarray(np.stack([rows["b0"], rows["b1"], rows["b2"]], 1)[shared]).view(np.uint8).reshape(len(shared), 2 * SIDE)
     a, b = match(key[shared], blocks)
     a, b = shared[a], shared[b]
     leads = np.ones(len(key), bool)

@@ -76,3 +76,10 @@ def test_large_groups_of_copies(spark):
 
 def test_empty(spark):
     assert passages.passage_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_windows_that_nothing_shares_are_all_leaders():
+    fields = ("key", "doc", "c", "l", "r", "b0", "b1", "b2")
+    for n in (0, 3):
+        links, leads = passages._resolve({k: np.arange(n) for k in fields})
+        assert len(links) == 0 and len(leads) == n
