@@ -93,6 +93,11 @@ class Box:
         """Shared area over the smaller area; the same both ways."""
         return F.coalesce(F.try_divide(self.shared_area(other), F.least(self.area, other.area)), F.lit(0.0))
 
+    def covers_share(self, other: Box, share: float) -> Column:
+        """covers(other) >= share, without a division."""
+        shared = self.shared_area(other)
+        return (shared > 0) & (shared >= share * F.least(self.area, other.area))
+
     def within(self, other: Box) -> Column:
         """Share of this box that lies in the other."""
         return F.coalesce(F.try_divide(self.shared_area(other), self.area), F.lit(0.0))

@@ -12,6 +12,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Reply = dict
 
@@ -148,3 +149,47 @@ def fake_detector() -> Detector:
 
 def fake_reader() -> Reader:
     return lambda crop, language: f"{language} {len(crop)}"
+
+
+def carried(pages: DataFrame, make: Callable[[], Asker], most: int = 40) -> DataFrame:
+    """(chapter, page_no, answer, known): pages in order, each told the terms that earlier pages gave; first wins, `most` at most.
+
+    pages: (chapter, page_no, text). A page's reply may hold `terms`; a group is one chapter.
+    """
+
+    def run(chapter: pd.DataFrame) -> pd.DataFrame:
+        ask, terms, out = make(), {}, []
+        for _, page in chapter.sort_values("page_no").iterrows():
+            reply = ask({"lines": [page["text"]], "terms": dict(terms)})
+            got = _list(reply, "translations", 1)
+            out.append((page["chapter"], page["page_no"], got[0] if got else "", len(terms)))
+            for source, target in _terms(reply):
+                if source not in terms and len(terms) < most:
+                    terms[source] = target
+        return pd.DataFrame(out, columns=["chapter", "page_no", "answer", "known"])
+
+    return pages.select("chapter", "page_no", "text").groupBy("chapter").applyInPandas(run, "chapter string, page_no int, answer string, known int")
+
+
+def _terms(reply: str) -> list[tuple[str, str]]:
+    try:
+        found = json.loads(reply[reply.index("{") : reply.rindex("}") + 1]).get("terms", [])
+    except ValueError:
+        return []
+    return [(t["source"], t["target"]) for t in found if isinstance(t, dict) and t.get("source") and t.get("target")]
+
+
+def fake_term_asker() -> Asker:
+    """Answers in angle brackets and gives a line's first character as a term."""
+
+    def ask(request: dict) -> str:
+        line = request["lines"][0]
+        return json.dumps({"translations": [f"<{line}>"], "terms": [{"source": line[:1], "target": "t"}]})
+
+    return ask
+
+
+def catalogue(answers: DataFrame, field: str) -> DataFrame:
+    """(model): the named models of a server's answers, by name."""
+    read = F.from_json(field, "models array<struct<name:string>>")
+    return answers.select(F.explode(read["models"]["name"]).alias("model")).where("model <> ''").distinct().orderBy("model")

@@ -47,7 +47,7 @@ def suppressed(boxes: DataFrame, group: list[str], duplicate: float = DUPLICATE)
     kept = F.aggregate(
         "all",
         F.filter("all", lambda b: F.lit(False)),
-        lambda kept, b: F.when(F.exists(kept, lambda k: box(k).covers(box(b)) >= duplicate), kept).otherwise(F.concat(kept, F.array(b))),
+        lambda kept, b: F.when(F.exists(kept, lambda k: box(k).covers_share(box(b), duplicate)), kept).otherwise(F.concat(kept, F.array(b))),
     )
     out = gathered.select(*group, F.explode(kept).alias("b"))
     return out.select(*group, (-F.col("b.worse")).alias("score"), "b.det_id", *[f"b.{c}" for c in rest]).select(boxes.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.functions import text as t
+from inkfold.functions import layout, text as t
 from inkfold.operators import lines as ln
 from inkfold.plans.registry import query
 from inkfold.sources.views import dialogue, lines, with_views
@@ -89,3 +89,27 @@ def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = t.filled(F.lit("Put {source} into {target}; keep {this}"), F.col("kind"), F.substring("text", 1, 5))
     third = F.when(F.col("ord") % 3 == 0, "third").otherwise("")
     return lines(spark, sf_dir).select("page_id", "ord", t.joined([filled, third, t.plural(F.col("budget"), "page")], " | ").alias("prompt"))
+
+
+_WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@query(with_views(f"""with w as (select page_id, ord, {_WORDS} as words from lines)
+select page_id, ord, case when len(words) = 0 then '' else list_reduce(words, lambda acc, x: case when length(regexp_extract(acc, '[^\n]*$', 0)) + 1 + length(x) <= 24 then acc || ' ' || x else acc || chr(10) || x end) end as wrapped from w""", "lines"))
+def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("page_id", "ord", layout.wrapped(F.col("text"), F.lit(24)).alias("wrapped"))
+
+
+@query(with_views(f"""with w as (select page_id, ord, list_transform({_WORDS}, lambda x: length(x)) as n from lines),
+s as (select page_id, ord, unnest(range(6, 31)) as size, n from w where len(n) > 0),
+f as (select *, floor(300 / (size * 0.5))::int as most from s),
+c as (select page_id, ord, size, most, n, list_reduce(list_prepend(0::bigint, n), lambda acc, x: case when acc > 0 and acc % 100000 + 1 + x <= most then acc + 1 + x else (acc // 100000 + 1) * 100000 + x end) // 100000 as lines from f)
+select page_id, ord, coalesce(max(size) filter (list_max(n) <= most and lines * size * 1.15 <= 220), 6)::int as size from c group by 1, 2""", "lines"))
+def font_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("page_id", "ord", F.transform(layout.words(F.col("text")), lambda w: F.length(w)).alias("word_lengths")).where("size(word_lengths) > 0")
+    return rows.select("page_id", "ord", layout.largest_size(F.lit(300), F.lit(220), 6, 30).alias("size"))
+
+
+@query(with_views("select page_id, ord, sha256(text) as hash from lines", "lines"))
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("page_id", "ord", F.sha2("text", 256).alias("hash"))

@@ -35,6 +35,20 @@ def survey_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.surveyed(context.survey_windows(chapter_pages(spark, sf_dir)), models.fake_asker)
 
 
+@query(with_views("""with f as (select chapter, substring(beat, 1, 1) as s, min(page_no) as first from chapter_pages group by 1, 2)
+select p.chapter, p.page_no, '<' || p.beat || '>' as answer, least(40, (select count(*) from f where f.chapter = p.chapter and f.first < p.page_no))::int as known from chapter_pages p""", "chapter_pages"))
+def translate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a chapter in order, each told the terms of those before it."""
+    return models.carried(chapter_pages(spark, sf_dir).select("chapter", "page_no", F.col("beat").alias("text")), models.fake_term_asker)
+
+
+@query("select distinct 'm' || (k % 9) as model from (select json_extract_string(props, '$.k')::int as k, event_id from events) where event_id % 4 <> 0")
+def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("m"), (F.get_json_object("props", "$.k").cast("int") % 9).cast("string"))).otherwise("")
+    told = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct(F.array(F.struct(name.alias("name"))).alias("models"))).alias("answer"))
+    return models.catalogue(told, "answer")
+
+
 @query("""select page_id, 0 as det_id, 1 as label, 0.9::double as score, (strlen(html) % 100)::int as x0, (strlen(html) % 100)::int as y0, null as why from pages where page_id % 10 <> 0
 union all select page_id, 1, 0, 0.8, greatest(0, strlen(html) % 100 - 10)::int, greatest(0, strlen(html) % 100 - 10)::int, null from pages where page_id % 10 <> 0
 union all select page_id, null, null, null, null, null, 'empty page' from pages where page_id % 10 = 0""")

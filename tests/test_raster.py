@@ -133,3 +133,24 @@ def test_runs_and_blanks(spark):
     assert runs([0] * 4 + [1] * 5 + [0] * 3) == [(4, 9)] and runs([0, 1, 0]) == []
     blanks = lambda bits: sorted((r.start, r.length) for r in ink.interior_blanks(cells(bits), "k", on).collect())
     assert blanks([1, 0, 0, 1, 0, 1, 1]) == [(1, 2), (4, 1)] and blanks([0, 1, 1, 0]) == []
+
+
+def grid(columns, rows, em=20, gap=(0, 0)):
+    out = np.zeros((400, 400), np.uint8)
+    for c in range(columns):
+        for r in range(rows):
+            x, y = 20 + c * (em + 2) + (gap[0] if c >= columns / 2 else 0), 20 + r * (em + 2) + (gap[1] if c >= columns / 2 else 0)
+            out[y : y + em, x : x + em] = 1
+    return out
+
+
+def test_blocks_split_at_wide_blanks_only():
+    from inkfold.functions.layout import split_blocks, strokes
+
+    assert len(split_blocks(grid(4, 6), 20)) == 1
+    assert len(split_blocks(grid(4, 6, gap=(18, 0)), 20)) == 2
+    assert len(split_blocks(grid(4, 1, gap=(18, 0)), 20)) == 1  # one character deep: 1.5 are wanted
+    assert len(split_blocks(grid(4, 1, gap=(40, 0)), 20)) == 2
+    assert len(split_blocks(grid(4, 6, gap=(8, 30)), 20)) == 2  # staggered
+    assert split_blocks(np.zeros((5, 5)), 20) == []
+    assert (strokes((20, 20), [(5, 5)], 2) > 0).sum() == 13 and (strokes((20, 20), [(5, 5), (10, 5)], 0.5) > 0).sum() == 6
