@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 INSIDE = 0.85
 Cell = tuple[int, int, int, int]
@@ -55,19 +58,21 @@ def room_in(cell: Cell, block: Cell) -> Cell | None:
 def divided(blocks: DataFrame) -> DataFrame:
     """Each block's room in its balloon: all of it if the block is alone there, else its cell, or null if the cell doesn't hold the block.
 
-    A group is the blocks of one balloon, a few at most.
+    A row of the inner table is one balloon with its few blocks, so a batch divides many balloons.
     """
     edges = ["rx0", "ry0", "rx1", "ry1"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        boxes = [tuple(map(int, b)) for b in group[["x0", "y0", "x1", "y1"]].to_numpy()]
-        space = tuple(int(group[f"b{e}"].iloc[0]) for e in ("x0", "y0", "x1", "y1"))
-        cells = [room_in(c, b) for c, b in zip(divide(space, boxes), boxes)]
-        out = group[["page_id", "ord", "det_id", "balloon_id"]].copy()
-        for k, e in enumerate(edges):
-            out[e] = pd.array([c[k] if c else None for c in cells], "Int32")
-        return out
-
-    held = blocks.where("balloon_id is not null")
-    return held.groupBy("page_id", "balloon_id").applyInPandas(run, "page_id long, ord int, det_id int, balloon_id int, " + ", ".join(f"{e} int" for e in edges))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page, balloon, space, members in zip(frame["page_id"], frame["balloon_id"], frame["space"], frame["members"]):
+                boxes = [tuple(map(int, m["box"])) for m in members]
+                for m, box, cell in zip(members, boxes, divide(tuple(map(int, space)), boxes)):
+                    rows.append((page, m["ord"], m["det_id"], balloon, *(room_in(cell, box) or (None,) * 4)))
+            out = pd.DataFrame(rows, columns=["page_id", "ord", "det_id", "balloon_id", *edges])
+            yield out.astype({e: "Int32" for e in edges})
+
+    member = F.struct("ord", "det_id", F.array("x0", "y0", "x1", "y1").alias("box"))
+    held = blocks.where("balloon_id is not null").groupBy("page_id", "balloon_id", F.array("bx0", "by0", "bx1", "by1").alias("space"))
+    gathered = held.agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return gathered.mapInPandas(run, "page_id long, ord int, det_id int, balloon_id int, " + ", ".join(f"{e} int" for e in edges))
