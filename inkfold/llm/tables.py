@@ -30,6 +30,20 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
+def hash_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """The `bound` rows with the smallest hash of `key`.
+
+    The hashes are cut at about a third more than the bound before they are sorted, so what is gathered
+    doesn't grow with the table.
+    """
+    steps = 1 << 40
+    total = rows.count()
+    place = F.pmod(F.xxhash64(key), F.lit(steps))
+    if total > 2 * bound:
+        rows = rows.where(place < int(steps * (bound + 1000) * 1.3 / total))
+    return rows.orderBy(place, key).limit(bound)
+
+
 def labelled_sample(labels: DataFrame, target: str, held_out: tuple[int, int], bound: int) -> DataFrame:
     """At most `bound` (doc_id, label) rows outside the held-out remainder, chosen by id hash.
 
@@ -37,14 +51,13 @@ def labelled_sample(labels: DataFrame, target: str, held_out: tuple[int, int], b
     rounded. The bound keeps the result small enough to broadcast.
     """
     mod, rem = held_out
-    return (
+    usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
         .where(id_crc() % mod != rem)
         .groupBy("doc_id")
         .agg(F.round(F.avg(F.col(target).cast("double"))).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
     )
+    return hash_sample(usable, "doc_id", bound)
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
