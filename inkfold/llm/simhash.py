@@ -241,6 +241,9 @@ def near_groups(docs: DataFrame, most: int = 4, width: int = 4, seed: int = 42)
 
 
 def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id names its component: the smallest of each group of near copies."""
+    """The rows of docs whose doc_id names its component: the smallest of each group of near copies.
+
+    The ids kept grow with docs, so they are dealt with the texts at every size and never broadcast.
+    """
     kept = near_groups(docs, most).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(materialize(kept, "kept"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(materialize(kept, "kept").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
