@@ -8,7 +8,8 @@ order of frequency. The start of a text is an input of its own.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 
@@ -116,7 +117,9 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarr
         dh = dh * z + into_state @ p["state"].T
     g["bias"] = d_gates.sum((0, 1))
     g["input"] = np.zeros_like(p["input"])
-    np.add.at(g["input"], inputs.ravel(), d_gates.reshape(-1, 3 * k))
+    order = np.argsort(inputs, axis=None, kind="stable")
+    tokens, firsts = np.unique(inputs.ravel()[order], return_index=True)
+    g["input"][tokens] = np.add.reduceat(d_gates.reshape(-1, 3 * k)[order], firsts)
     return g, loss, h
 
 
@@ -138,15 +141,14 @@ class Adam:
             self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
 
 
-def train(p: Params, segments: list[np.ndarray], window: int = 32, batch: int = 96, rate: float = 0.01) -> tuple[Params, int]:
+def train(p: Params, segments: Iterable[np.ndarray], window: int = 32, batch: int = 96, rate: float = 0.01) -> tuple[Params, int]:
     """One pass over segments: arrays of an input token followed by targets. Returns new parameters and tokens seen.
 
     The segments of a batch go window by window; each window's last state starts the next.
     """
     p = {k: v.copy() for k, v in p.items()}
     adam, seen = Adam(p, rate), 0
-    for k in range(0, len(segments), batch):
-        part = segments[k : k + batch]
+    for part in batched(segments, batch):
         longest = max(map(len, part)) - 1
         grid = np.zeros((len(part), longest + 1), np.int64)
         mask = np.zeros((len(part), longest), bool)

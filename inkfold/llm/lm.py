@@ -3,10 +3,9 @@
 Tokens are the words of the whole text and one end token. Every training document counts towards the word
 counts, which Spark sums by 64-bit word hash (words are told apart by that hash). The GRU predicts the
 head words (the commonest; the end token is one) and one class for all others, inside which words have
-their smoothed share of the remaining counts. Every training document gives the GRU segments: one in
-`sparse` of its segments, from a place drawn from its id, each in one of the rounds. Each partition trains on its own
-documents from the same start; Spark averages the parameters, weighted by tokens, and the next round
-starts there. Whole documents are scored with the state carried from window to window.
+their smoothed share of the remaining counts; the head grows with the vocabulary. The GRU learns every
+segment of every training document in each round. Each partition trains on its own documents from the same
+start; Spark averages the parameters, weighted by tokens, and the next round starts there. Whole documents are scored with the state carried from window to window.
 
 What is broadcast is bounded: the model, and a table of LOOKUP slots with the commonest words' counts.
 Words outside it are counted by a shuffled join.
@@ -31,11 +30,12 @@ from inkfold.llm.tables import id_crc, materialize
 from inkfold.llm.words import chunks, mix
 
 HELD_OUT = (7, 2)
-HEAD = 2048
+BLOCK = 32
 LOOKUP = 1 << 20
 COMMON = 1 << 18
 END = np.uint64(1)
 SEGMENT = 64
+SLICE = 4096
 PORTION = 1_000_000
 
 
@@ -107,55 +107,81 @@ class Words:
         return np.where(known, self.count[slot], 0), np.where(known, self.rank[slot], len(self.head_counts))
 
 
-def train(docs: DataFrame, words: Words, start: gru.Params, rounds: int = 2, sparse: int = 16) -> gru.Params:
-    """GRU parameters from the segments of docs, averaged over partitions after each round."""
+def head_shape(distinct: int) -> tuple[int, int]:
+    """Head words and words in a class for a vocabulary of `distinct` words.
+
+    Classes are two blocks by number, so both sides of the softmax grow with the fourth root of the
+    vocabulary and the head with its square root: 2,048 words up to 2**18, then about four times the root.
+    """
+    block = max(BLOCK, int(np.ceil((4 * distinct) ** 0.25)))
+    return 2 * block * block, block
+
+
+def segments_of(rank: np.ndarray, opening: int) -> Iterator[np.ndarray]:
+    """All segments of a text: the token before each (`opening` for the first), then its own."""
+    padded = np.concatenate([np.array([opening], rank.dtype), rank])
+    for k in range(0, len(rank), SEGMENT):
+        yield padded[k : k + SEGMENT + 1]
+
+
+def train(docs: DataFrame, words: Words, start: gru.Params, rounds: int = 2) -> gru.Params:
+    """GRU parameters from every segment of docs in each round, averaged over partitions after it."""
     size = len(gru.flatten(start))
-    for number in range(rounds):
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        weights: dict[int, float] = {}
+        for batch in batches:
+            for at, value, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[at] = sums.get(at, 0) + np.frombuffer(value)
+                weights[at] = weights.get(at, 0.0) + weight
+        for at, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(total / weights[at]).tobytes()])], ["slice", "value"])
+
+    for _ in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast((words, start))
 
-        def run(batches: Iterator[pa.RecordBatch], number: int = number, held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             table, p = held.value
             opening = len(p["input"]) - 1
-            segments = []
-            for batch in batches:
-                ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-                for first, tokens, offsets in tokens_of(batch.column(1)):
-                    rank = table.look_up(tokens)[1]
-                    for i in range(len(offsets) - 1):
-                        text = rank[offsets[i] : offsets[i + 1]]
-                        whole = -(-len(text) // SEGMENT)
-                        draw = int(mix(np.array([ids[first + i]], np.int64).view(np.uint64))[0]) >> 8
-                        # the drawn segments go to the rounds in turn, so each is learnt once
-                        for k in range(draw % min(sparse, whole), whole, sparse):
-                            if (draw // sparse + k // sparse) % rounds != number:
-                                continue
-                            before = text[k * SEGMENT - 1] if k else opening
-                            segments.append(np.append(before, text[k * SEGMENT : (k + 1) * SEGMENT]))
-            if segments:
-                p, seen = gru.train(p, segments)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(size, dtype=np.int32)), pa.array(gru.flatten(p).astype(np.float64) * seen), pa.array(np.full(size, float(seen)))],
-                    ["at", "value", "weight"],
-                )
-
-        parts = docs.select("doc_id", "text").mapInArrow(run, "at int, value double, weight double")
-        mean = parts.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
-        if len(mean):
-            start = gru.unflatten(mean.sort_values("at")["value"].to_numpy(), start)
+
+            def segments() -> Iterator[np.ndarray]:
+                for batch in batches:
+                    for _, tokens, offsets in tokens_of(batch.column(0)):
+                        rank = table.look_up(tokens)[1]
+                        for i in range(len(offsets) - 1):
+                            yield from segments_of(rank[offsets[i] : offsets[i + 1]], opening)
+
+            p, seen = gru.train(p, segments())
+            if seen:
+                flat = gru.flatten(p).astype(np.float64) * seen
+                for k in range(0, size, SLICE):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k // SLICE], pa.int32()), pa.array([flat[k : k + SLICE].tobytes()]), pa.array([float(seen)])], ["slice", "value", "weight"]
+                    )
+
+        parts = docs.select("text").mapInArrow(run, "slice int, value binary, weight double").repartition("slice")
+        rows = sorted(parts.mapInArrow(mean, "slice int, value binary").collect())
+        if rows:
+            start = gru.unflatten(np.concatenate([np.frombuffer(r.value) for r in rows]), start)
     return start
 
 
-def score(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, head: int = HEAD, rounds: int = 2, sparse: int = 16) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
+def score(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, head: int | None = None, rounds: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
+
+    head: the GRU's words, a multiple of BLOCK; unless given, it grows with the vocabulary.
+    """
     mod, rem = held_out
     is_held_out = F.coalesce(id_crc() % mod == rem, F.lit(False))
     training = docs.where(~is_held_out)
     counts = materialize(word_counts(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = commonest(counts, COMMON).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    head, block = (head, BLOCK) if head else head_shape(distinct)
     words = Words(common["h"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64), head)
     rare_total, rare_distinct = total - int(words.head_counts.sum()), distinct - words.head_words
-    model = train(training, words, gru.initial(words.head_counts, rare_total), rounds, sparse)
+    model = train(training, words, gru.initial(words.head_counts, rare_total, block=block), rounds)
     held = docs.sparkSession.sparkContext.broadcast((words, model))
     rare_norm, base_norm = np.log10(rare_total + rare_distinct + 1), np.log10(total + distinct + 1)
 

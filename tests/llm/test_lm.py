@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from inkfold.llm import gru, lm
 
@@ -61,3 +62,27 @@ def test_base_is_exact_and_the_model_learns(spark, monkeypatch):
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert lm.score(docs.limit(0)).collect() == []
+
+
+def test_every_segment_is_learnt_in_each_round(spark):
+    docs = spark.createDataFrame([(i, " ".join("ab"[i % 2] for _ in range(n))) for i, n in enumerate((0, 63, 64, 5000))], "doc_id long, text string").coalesce(1)
+    counts = lm.word_counts(docs).toPandas()
+    words = lm.Words(counts["h"].to_numpy(np.int64).view(np.uint64), counts["c"].to_numpy(np.int64), 32)
+    start = gru.initial(words.head_counts, 0.0)
+    opening, want = len(start["input"]) - 1, start
+    ranks = []
+    for _, tokens, offsets in lm.tokens_of(pa.array([r.text for r in docs.collect()])):
+        rank = words.look_up(tokens)[1]
+        ranks += [rank[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    whole = [np.append(np.append(opening, r)[k : k + 1], r[k : k + 64]) for r in ranks for k in range(0, len(r), 64)]
+    for _ in range(2):
+        want, seen = gru.train(want, whole)
+        assert seen == sum(map(len, ranks)) == 1 + 64 + 65 + 5001
+    got = lm.train(docs, words, start)
+    assert np.allclose(gru.flatten(got), gru.flatten(want), atol=1e-4)
+
+
+def test_head_grows_with_the_vocabulary():
+    assert lm.head_shape(0) == lm.head_shape(1 << 18) == (2048, 32)
+    heads = [lm.head_shape(10**k)[0] for k in range(6, 10)]
+    assert all(3 * a < b < 4 * a for a, b in zip(heads, heads[1:])) and heads[-1] < lm.COMMON
