@@ -76,13 +76,13 @@ def merged_story(held: Column, news: Column) -> Column:
     return F.struct(scene.alias("scene"), merged_cast(held["cast"], news["cast"]).alias("cast"))
 
 
-def folded_beats(held: Column, news: Column, first: Column, most: int = BEATS) -> Column:
+def folded_beats(held: Column, news: Column, first: Column) -> Column:
     """Beats with `news` written from `first` on; a gap before it is filled with blanks."""
     gap = F.array_repeat(F.lit(""), F.greatest(first - F.size(held), F.lit(0)).cast("int"))
     padded = F.concat(held, gap)
     before = F.slice(padded, F.lit(1), first)
     after = F.slice(padded, first + F.size(news) + 1, F.greatest(F.size(padded) - first - F.size(news), F.lit(0)))
-    return F.slice(F.concat(before, news, after), 1, most)
+    return F.concat(before, news, after)
 
 
 def unless_blank(new: Column, held: Column) -> Column:

@@ -110,3 +110,10 @@ def test_corrections_settle(spark):
     edits = spark.createDataFrame([(1, "a", "gender", "female", 1), (1, "a", "gender", "male", 0), (1, "b", "note", "", 2)], "chapter long, name string, fact string, value string, seq int")
     got = {x.name: tuple(x)[2:] for x in folds.corrected(people, edits).collect()}
     assert got == {"a": ("female", "", ["gender"]), "b": ("unknown", "", [])}
+
+
+def test_folded_beats_keep_every_page(spark):
+    rows = spark.createDataFrame([([str(i) for i in range(398)], ["x"] * 8, 396), ([], ["x"] * 8, 496)], "held array<string>, news array<string>, first int")
+    a, b = (r[0] for r in rows.select(folds.folded_beats(F.col("held"), F.col("news"), F.col("first"))).collect())
+    assert a == [str(i) for i in range(396)] + ["x"] * 8
+    assert b == [""] * 496 + ["x"] * 8
