@@ -8,8 +8,8 @@ Cells above a size are cut into Gray runs, and only pairs of runs that the nodes
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any
 other; texts with fewer words than a shingle are one shingle; repeated texts share a fingerprint and are
-one entry of the index; a null doc_id keeps its row and never names a component; an empty table gives
-an empty result; extra columns are ignored.
+one entry of the index; a null doc_id keeps its row and never names a component (where one of each group is
+kept, rows without an id have groups too); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from inkfold.llm.words import chunks
 
 FAN = 16
 CELL = 4096
+_ROW = "struct<doc_id: long, text_hash: long, row: long>"
 
 
 def fingerprint(words: list[bytes], width: int, seed: int) -> int:
@@ -51,7 +52,7 @@ def fingerprint(words: list[bytes], width: int, seed: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_type: str = "long") -> DataFrame:
     """(doc_id, fp) for every row of docs; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
                     out[c.first + i] = fingerprint(raw[a:b].split(), width, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -241,9 +242,21 @@ def near_groups(docs: DataFrame, most: int = 4, width: int = 4, seed: int = 42)
 
 
 def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id names its component: the smallest of each group of near copies.
+    """One row of docs for each group of near copies; rows without an id belong to groups like any other.
 
-    The ids kept grow with docs, so they are dealt with the texts at every size and never broadcast.
+    It is the first by (doc_id, nulls last; text hash; hash of the whole row), and one of those equal in all
+    three. The rows kept grow with docs, so they are dealt with the texts at every size and never broadcast.
     """
-    kept = near_groups(docs, most).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(materialize(kept, "kept").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    row, order = F.xxhash64(*docs.columns), ["no_id", "doc_id", "text_hash", "row"]
+    # fingerprints carry the row's hash as their id
+    prints = fingerprints(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), row.alias("row")).alias("doc_id"), "text"), id_type=_ROW)
+    prints = materialize(prints.select("doc_id.*", "fp").withColumn("no_id", F.col("doc_id").isNull()).groupBy("fp", *order).agg(F.count("*").alias("n")), "prints")
+    entries = materialize(prints.select("fp", F.col("fp").alias("rep")).distinct(), "entries")
+    roots = connected_components(fingerprint_links(entries, most), "a", "b")
+    firsts = prints.groupBy("fp").agg(F.min(F.struct(*order, "n")).alias("first"))
+    kept = firsts.join(roots, firsts.fp == roots.id, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    kept = materialize(kept.select(F.col("first.row").alias("_row"), F.col("first.n").alias("n")), "kept")
+    rows = docs.withColumn("_row", row).join(kept.select("_row").hint("shuffle_hash"), "_row", "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["_row"])
+    return rows.select(docs.columns)

@@ -1,3 +1,4 @@
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -79,3 +80,20 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_groups(docs).collect()) == [(-1, -1), (4, 4), (4, 4)]
     assert [r.doc_id for r in simhash.one_of_each(docs.where("doc_id is not null").distinct()).collect()] == [4]
+
+
+def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
+    rng = np.random.RandomState(8)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.randint(0, 500, 300)) for _ in range(4))
+    rows = [
+        (None, a, 1), (None, a, 1), (None, a.replace(" ", "  "), 2),  # a group without ids
+        (4, b, 1), (4, b, 1), (4, c, 3), (9, c, 4), (None, c, 5),  # two texts under one id, and exact repeats
+        (7, d, 1), (3, d, 2), (3, d.replace(" ", "\t"), 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    groups = {a: "a", b: "b", c: "c", d: "d"}
+    for parts in (1, 4):
+        for some in (docs, docs.where("doc_id is null")):
+            got = corpus_pipeline.one_of_each(spark, some.repartition(parts), "").collect()
+            of = sorted((groups[" ".join(r.text.split())], r.doc_id or 0) for r in got)
+            assert of == ([("a", 0), ("b", 4), ("c", 4), ("d", 3)] if some is docs else [("a", 0), ("c", 0)])
