@@ -6,16 +6,15 @@ start in [l, c] and end in [c, r]. These are the wide nodes of the Cartesian tre
 are found with sliding minima, and their bounds with a stack. Windows with the same function and smallest
 hash, in any two documents, hold subsequences that share a signature.
 
-Verification compares what surrounds c: 12 blocks of four shingles on either side, one byte each. Two
-windows hold a common passage if 10 of some 12 consecutive blocks agree, which is 48 shingles with one
-edit, or 40 without a gap. Two such windows agree in an aligned group of four blocks, so windows are
-sorted by (hash, group) and compared with the first of each run; what agrees with it is linked and leaves,
-the others go on. A link stays if windows of `enough` hash functions that overlap it in the document are
-linked too.
-
-Equal windows are linked before the shuffle, inside each map task, so a passage that many documents share
-reaches the shuffle once per task. Links go to a representative, never between all pairs; a window that
-agrees with a representative doesn't meet the others that might agree with it alone at that place.
+Windows with the same hash and c are candidates only. Copies whose surroundings of c (48 shingles on
+either side, told apart by a 64-bit hash) are equal are linked first, inside each map task and again for each
+hash; one of them goes on. Where different surroundings are left, their shingles are read from the texts and
+aligned from c to both sides, with gaps: a matched shingle counts 1, one left over in either text -4, so a
+span has a score of 0 or more just where its shingles have a Jaccard similarity of 0.8. Two windows
+are linked if such a span has `least` shingles in both. It then holds a run of 20 equal shingles, so windows are only
+compared with those of the same hash that share an anchor: a run of 17, chosen as the smallest of 4 neighbours.
+Every window meets all others of its anchors unless links have joined the two already. A link stays if
+windows of `enough` hash functions that overlap it in the document are linked too.
 
 Defined cases: null and empty texts, and texts of fewer than `least` shingles, have no windows and are
 their own class; a null doc_id keeps its row, without a class, and links nothing; rows with one doc_id are
@@ -35,17 +34,21 @@ from pyspark.sql import functions as F
 
 from inkfold.llm.components import connected_components
 from inkfold.llm.tables import materialize
-from inkfold.llm.words import Chunk, chunks, mix, runs_of
+from inkfold.llm.simhash import _whole_groups
+from inkfold.llm.words import _BASE, Chunk, _grow, chunks, mix, runs_of
 
 SHINGLE = 5
 LEAST = 46
 HASHES = 4
 ENOUGH = 2
-BLOCK, SIDE = 4, 12
-SPAN, AGREE = 12, 10
+SIDE = 48
+SHIFT = 8
+RUN, NEAR = 17, 4
 HELD = 400_000
-FIELDS = ["kind", "key", "doc", "c", "l", "r", "b0", "b1", "b2", "rep", "rep_c"]
-SCHEMA = "kind int, key long, doc long, c int, l int, r int, b0 long, b1 long, b2 long, rep long, rep_c int"
+FIELDS = ["kind", "key", "doc", "c", "l", "r", "b0", "rep", "rep_c"]
+#: kind: 1 a link, 0 a window; b0: the hash of what surrounds c.
+SCHEMA = "kind int, key long, doc long, c int, l int, r int, b0 long, rep long, rep_c int"
+LINK = "key long, doc long, c int, l int, r int, rep long, rep_c int"
 
 
 def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
@@ -74,19 +77,40 @@ def _bounds(h: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, l
     return left, right
 
 
-def windows(c: Chunk, least: int = LEAST, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
-    """Row in the chunk, key, c, l, r (in the document's shingles) and blocks of each compact window."""
-    words = np.diff(c.docs)
-    doc_of_word = np.repeat(np.arange(c.rows), words)
+def _shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of the chunk, the row of each, and each row's first and last one."""
+    doc_of_word = np.repeat(np.arange(c.rows), np.diff(c.docs))
     every = runs_of(c.hashes(), SHINGLE)
     inside = doc_of_word[: len(every)] == doc_of_word[SHINGLE - 1 :][: len(every)]
-    shingles, doc = every[inside], doc_of_word[: len(every)][inside]
-    first = np.searchsorted(doc, np.arange(c.rows))
-    last = np.searchsorted(doc, np.arange(c.rows), "right") - 1
+    doc = doc_of_word[: len(every)][inside]
+    rows = np.arange(c.rows)
+    return every[inside], doc, np.searchsorted(doc, rows), np.searchsorted(doc, rows, "right") - 1
+
+
+def surroundings(shingles: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the shingles up to SIDE before and after each place, inside its document."""
+    up, down = _grow(len(shingles) + 1)
+    sums = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(mix(shingles) * up[: len(shingles)], out=sums[1:])
+    a, b = np.maximum(first, at - SIDE), np.minimum(last, at + SIDE) + 1
+    span = (sums[b] - sums[a]) * down[a]
+    return mix(span + mix((at - a).astype(np.uint64) * np.uint64(_BASE) + (b - a).astype(np.uint64))).view(np.int64)
+
+
+def codes(shingles: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """16 bits of each shingle up to SIDE before and after each place; 0 outside its document."""
+    places = at[:, None] + np.concatenate([np.arange(-SIDE, 0), np.arange(1, SIDE + 1)])
+    there = (places >= first[:, None]) & (places <= last[:, None])
+    short = (shingles % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    return np.where(there, short[np.clip(places, 0, len(shingles) - 1)], np.uint16(0))
+
+
+def windows(c: Chunk, least: int = LEAST, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
+    """Row in the chunk, key, c, l, r (in the document's shingles) and the hash of its surroundings for each compact window."""
+    shingles, doc, first, last = _shingles(c)
     none = np.zeros(0, np.int64)
     if len(shingles) < least:
-        return none, none, none, none, none, np.zeros((0, 2 * SIDE), np.uint8)
-    blocks = (runs_of(shingles, BLOCK) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        return none, none, none, none, none, none
     valid = doc[: len(doc) - least + 1] == doc[least - 1 :]
     found = []
     for f in range(hashes):
@@ -102,61 +126,129 @@ def windows(c: Chunk, least: int = LEAST, hashes: int = HASHES) -> tuple[np.ndar
         found.append((at, key.view(np.int64), l, r))
     at, key, l, r = (np.concatenate(x) for x in zip(*found))
     row = doc[at]
-    steps = np.concatenate([-BLOCK * np.arange(SIDE, 0, -1), BLOCK * np.arange(SIDE) + 1])
-    starts = at[:, None] + steps
-    there = (starts >= first[row][:, None]) & (starts + BLOCK - 1 <= last[row][:, None])
-    around = np.where(there, blocks[np.clip(starts, 0, len(blocks) - 1)], 0).astype(np.uint8)
-    return row, key, at - first[row], l - first[row], r - first[row], around
-
-
-def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of blocks hold a common passage."""
-    same = np.cumsum((a == b) & (a != 0), 1, dtype=np.int8)
-    same = np.concatenate([np.zeros((len(same), 1), np.int8), same], 1)
-    return (same[:, SPAN:] - same[:, :-SPAN]).max(1) >= AGREE
-
-
-def match(key: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, earlier row) links between rows of one key that agree; rows are in order of preference."""
+    return row, key, at - first[row], l - first[row], r - first[row], surroundings(shingles, at, first[row], last[row])
+
+
+def _extended(a: np.ndarray, b: np.ndarray, shift: int = SHIFT) -> np.ndarray:
+    """For each n up to the width, the best score of aligned starts of the rows of a and b, the shorter of n shingles."""
+    n, width = a.shape
+    never = np.int16(-10_000)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    out = np.full((width + 1, n), never, np.int16)
+    out[0] = 0
+    above: dict[int, np.ndarray] = {}
+    for i in range(width + 1):
+        row: dict[int, np.ndarray] = {}
+        for j in range(max(0, i - shift), min(width, i + shift) + 1):
+            best = np.zeros(n, np.int16) if i == j == 0 else np.full(n, never, np.int16)
+            if j in above:
+                best = np.maximum(best, np.where(a[i - 1] != 0, above[j] - np.int16(4), never))
+            if j - 1 in row:
+                best = np.maximum(best, np.where(b[j - 1] != 0, row[j - 1] - np.int16(4), never))
+            if j - 1 in above:
+                same = (a[i - 1] == b[j - 1]) & (a[i - 1] != 0)
+                best = np.maximum(best, np.where(same, above[j - 1] + np.int16(1), never))
+            row[j] = best
+            k = min(i, j)
+            np.maximum(out[k], best, out=out[k])
+        above = row
+    return np.maximum(out, never)
+
+
+def agree(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Whether spans around the places of two rows of codes, of `least` shingles or more, have a similarity of 0.8."""
+    yes = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 14):
+        part = slice(k, k + (1 << 14))
+        left = _extended(a[part, :SIDE][:, ::-1], b[part, :SIDE][:, ::-1])
+        right = _extended(a[part, SIDE:], b[part, SIDE:])
+        right = np.maximum.accumulate(right[::-1])[::-1]
+        need = np.maximum(0, least - 1 - np.arange(SIDE + 1))
+        fits = need <= SIDE
+        yes[part] = (left[fits].astype(np.int32) + right[need[fits]] + 1 >= 0).any(0)
+    return yes
+
+
+def anchors(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entry): runs of RUN codes, c's own place among them, of which any NEAR neighbours have one at least."""
     n = len(key)
-    groups = blocks.view(np.uint32)
-    full = (blocks != 0).reshape(n, blocks.shape[1] // 4, 4).all(2)
-    row, slot = np.nonzero(full)
-    entry = mix(key.view(np.uint64)[row] + mix(groups[row, slot].astype(np.uint64) + (slot.astype(np.uint64) << np.uint64(32))))
+    whole = np.concatenate([code[:, :SIDE], np.full((n, 1), 1, np.uint16), code[:, SIDE:]], 1)
+    wide = whole.astype(np.uint64)
+    size = wide.shape[1] - RUN + 1
+    run, there = wide[:, :size].copy(), whole[:, :size] != 0
+    for k in range(1, RUN):
+        run = run * np.uint64(0xD6E8FEB86659FD93) + wide[:, k : k + size]
+        there &= whole[:, k : k + size] != 0
+    run = np.where(there, mix(run), np.uint64(2**64 - 1))
+    least = np.minimum.reduce([run[:, k : size - NEAR + 1 + k] for k in range(NEAR)])
+    chosen = np.zeros(run.shape, bool)
+    for k in range(NEAR):
+        chosen[:, k : size - NEAR + 1 + k] |= run[:, k : size - NEAR + 1 + k] == least
+    row, at = np.nonzero(chosen & there)
+    return row, mix(key.view(np.uint64)[row] + run[row, at])
+
+
+def match(key: np.ndarray, code: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row) links that join all rows of one key that agree and share an anchor."""
+    n, label = len(key), np.arange(len(key))
+    row, entry = anchors(key, code)
     order = np.lexsort((row, entry))
     row, entry = row[order], entry[order]
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # a text that repeats itself has an anchor at many places
+    once = np.concatenate([[True], (row[1:] != row[:-1]) | (entry[1:] != entry[:-1])])[: len(row)]
+    row, entry = row[once], entry[once]
+    found = [np.zeros(0, np.int64)]
     while len(row) > 1:
-        opens = np.concatenate([[True], entry[1:] != entry[:-1]])
-        heads = np.flatnonzero(opens)
-        leader = row[np.repeat(heads, np.diff(np.append(heads, len(row))))]
-        rest = np.flatnonzero(~opens)
-        a, b = row[rest], leader[rest]
-        yes = (key[a] == key[b]) & agree(blocks[a], blocks[b])
-        out_a.append(a[yes])
-        out_b.append(b[yes])
-        row, entry = a[~yes], entry[rest][~yes]
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    both = np.unique(a * n + b)
+        heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        sizes = np.diff(np.append(heads, len(row)))
+        within = np.arange(len(row)) - np.repeat(heads, sizes)
+        # several leaders at a time where few rows are left
+        leaders = max(1, min(64, (1 << 14) // len(row)))
+        met = []
+        for k in range(leaders):
+            later = np.flatnonzero(within > k)
+            leader = row[later - within[later] + k]
+            apart = (label[row[later]] != label[leader]) & (key[row[later]] == key[leader])
+            met.append(row[later[apart]] * n + leader[apart])
+        pairs = np.unique(np.concatenate(met))
+        a, b = pairs // n, pairs % n
+        yes = agree(code[a], code[b], least)
+        found.append(pairs[yes])
+        a, b = a[yes], b[yes]
+        while (label[a] != label[b]).any():
+            parent = np.arange(n)
+            np.minimum.at(parent, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+        row, entry = row[within >= leaders], entry[within >= leaders]
+        if len(row):
+            # runs that links have joined are done
+            heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+            own = label[row]
+            many = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
+            go = np.repeat(many, np.diff(np.append(heads, len(row))))
+            row, entry = row[go], entry[go]
+    both = np.unique(np.concatenate(found))
     return both // n, both % n
 
 
+def _links(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    apart = rows["doc"][a] != rows["doc"][b]
+    a, b = a[apart], b[apart]
+    return pd.DataFrame({k: rows[k][a] for k in ("key", "doc", "c", "l", "r")} | {"rep": rows["doc"][b], "rep_c": rows["c"][b]})
+
+
 def _resolve(rows: dict[str, np.ndarray]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Links between documents among the rows, and the rows that linked to no earlier one."""
-    order = np.lexsort((rows["c"], rows["doc"], rows["key"]))
+    """Links from windows to the first with their hash and surroundings, and the rows that are the first."""
+    order = np.lexsort((rows["c"], rows["doc"], rows["b0"], rows["key"]))
     rows = {k: v[order] for k, v in rows.items()}
-    key = rows["key"]
-    same = key[1:] == key[:-1]
-    shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-    blocks = np.ascontiguousarray(np.stack([rows["b0"], rows["b1"], rows["b2"]], 1)[shared]).view(np.uint8).reshape(len(shared), 2 * SIDE)
-    a, b = match(key[shared], blocks)
-    a, b = shared[a], shared[b]
+    key, near = rows["key"], rows["b0"]
     leads = np.ones(len(key), bool)
-    leads[a] = False
-    apart = rows["doc"][a] != rows["doc"][b]
-    a, b = a[apart], b[apart]
-    links = pd.DataFrame({k: rows[k][a] for k in ("key", "doc", "c", "l", "r")} | {"rep": rows["doc"][b], "rep_c": rows["c"][b]})
-    return links, pd.DataFrame({k: v[leads] for k, v in rows.items()})
+    leads[1:] = (key[1:] != key[:-1]) | (near[1:] != near[:-1])
+    first = np.maximum.accumulate(np.where(leads, np.arange(len(key)), 0))
+    a = np.flatnonzero(~leads)
+    return _links(rows, a, first[a]), pd.DataFrame({k: v[leads] for k, v in rows.items()})
 
 
 def _frame(kind: int, part: pd.DataFrame) -> pd.DataFrame:
@@ -180,41 +272,64 @@ def window_links(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> D
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for c in chunks(batch.column(1)):
-                row, key, at, l, r, blocks = windows(c, least, hashes)
-                packed = blocks.view(np.int64).reshape(-1, 3)
-                held.append({"key": key, "doc": ids[c.first + row], "c": at, "l": l, "r": r, "b0": packed[:, 0], "b1": packed[:, 1], "b2": packed[:, 2]})
+                row, key, at, l, r, near = windows(c, least, hashes)
+                held.append({"key": key, "doc": ids[c.first + row], "c": at, "l": l, "r": r, "b0": near})
                 if sum(len(h["key"]) for h in held) > HELD:
                     yield from flush()
         if held:
             yield from flush()
 
     def shared_by_key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = ["key", "doc", "c", "l", "r", "rep", "rep_c"]
-        held: list[pd.DataFrame] = []
-
-        def done(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-            links, leads = _resolve({k: part[k].to_numpy() for k in FIELDS[1:9]})
-            return links[wanted].astype({c: "int32" for c in ("c", "l", "r", "rep_c")}), leads
-
-        for frame in frames:
-            ready = frame["kind"].to_numpy() == 1
-            if ready.any():
-                yield frame.loc[ready, wanted]
-            held.append(frame[~ready])
-            if sum(map(len, held)) > HELD:
-                # the last key may go on: only its rows without an earlier match are kept
-                part = pd.concat(held, ignore_index=True)
-                links, leads = done(part)
-                yield links
-                held = [_frame(0, leads[leads["key"] == part["key"].iloc[-1]])]
-        if held:
-            yield done(pd.concat(held, ignore_index=True))[0]
-
-    local = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(shared_in_task, SCHEMA)
+        def ready() -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame[frame["kind"] == 0]
+                done.append(frame[frame["kind"] == 1])
+
+        done: list[pd.DataFrame] = []
+        for part in _whole_groups(ready(), "key", HELD):
+            links, leads = _resolve({k: part[k].to_numpy() for k in FIELDS[1:7]})
+            yield _frame(1, links)
+            # windows of a hash with one surrounding only, or of one document, meet no other
+            by = leads.groupby("key")["doc"]
+            yield _frame(0, leads[by.transform("min") != by.transform("max")])
+            yield from done
+            done.clear()
+        yield from done
+
+    def read_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            offsets, fields = wanted.offsets.to_numpy(), wanted.values
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in chunks(batch.column(1)):
+                shingles, _, first, last = _shingles(c)
+                bounds = offsets[c.first : c.first + c.rows + 1]
+                part = {k: fields.field(k).slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False) for k in ("key", "c", "l", "r", "b0")}
+                row = np.repeat(np.arange(c.rows), np.diff(bounds))
+                at = first[row] + part["c"]
+                # another text under the same id may have the window
+                own = np.flatnonzero(at <= last[row])
+                own = own[surroundings(shingles, at[own], first[row[own]], last[row[own]]) == part["b0"][own]]
+                near = codes(shingles, at[own], first[row[own]], last[row[own]])
+                out = [pa.array(part["key"][own]), pa.array(ids[c.first + row[own]].astype(np.int64)), *(pa.array(part[k][own].astype(np.int32)) for k in ("c", "l", "r"))]
+                yield pa.RecordBatch.from_arrays([*out, pa.array([x.tobytes() for x in near], pa.binary())], ["key", "doc", "c", "l", "r", "near"])
+
+    def near_by_key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _whole_groups(frames, "key"):
+            rows = {k: part[k].to_numpy() for k in ("key", "doc", "c", "l", "r")}
+            code = np.frombuffer(b"".join(part["near"]), np.uint16).reshape(-1, 2 * SIDE)
+            yield _links(rows, *match(rows["key"], code, least))
+
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    local = texts.mapInArrow(shared_in_task, SCHEMA)
     # finished links are spread; they don't need to meet
     spread = F.when(F.col("kind") == 1, F.xxhash64("doc", "c", "key")).otherwise(F.col("key"))
     dealt = local.repartition(spread).sortWithinPartitions("kind", "key")
-    return dealt.mapInPandas(shared_by_key, "key long, doc long, c int, l int, r int, rep long, rep_c int")
+    met = materialize(dealt.mapInPandas(shared_by_key, SCHEMA), "met")
+    wanted = met.where("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("key", "c", "l", "r", "b0")).alias("wanted"))
+    asked = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted").mapInArrow(read_codes, "key long, doc long, c int, l int, r int, near binary")
+    near = asked.repartition("key").sortWithinPartitions("key", "doc", "c").mapInPandas(near_by_key, LINK)
+    return met.where("kind = 1").select(near.columns).union(near)
 
 
 def supported(links: DataFrame, enough: int = ENOUGH, reach: int = LEAST - 1) -> DataFrame:

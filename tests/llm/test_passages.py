@@ -83,3 +83,54 @@ def test_windows_that_nothing_shares_are_all_leaders():
     for n in (0, 3):
         links, leads = passages._resolve({k: np.arange(n) for k in fields})
         assert len(links) == 0 and len(leads) == n
+
+
+def similarity(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_agree_is_a_shingle_similarity_of_four_fifths():
+    rng = np.random.RandomState(4)
+
+    def around(text, c):
+        (chunk,) = chunks(pa.array([" ".join(text)]))
+        shingles, _, first, last = passages._shingles(chunk)
+        return passages.codes(shingles, np.array([c]), first, last)
+
+    for n, edits, kind in ((50, 1, "change"), (50, 2, "change"), (50, 1, "insert"), (52, 1, "change"), (49, 1, "delete"), (80, 1, "insert"), (60, 3, "insert"), (53, 1, "delete"), (90, 2, "insert")):
+        text = words(rng, n)
+        other, at = list(text), [n * (k + 1) // (edits + 1) for k in range(edits)]
+        for k in reversed(at):
+            other[k : k + (kind != "insert")] = [] if kind == "delete" else ["edit"]
+        wide = similarity(text, other) >= 0.8 and min(len(text), len(other)) - 4 >= 46
+        for c in range(0, at[0] - 4, 3):
+            got = passages.agree(around(text, c), around(other, c))[0]
+            assert got == wide or (got and n >= 80), (n, edits, kind, c)
+
+
+def test_edited_passages_are_linked_whatever_the_partitions(spark):
+    rng = np.random.RandomState(6)
+    rows, groups = [], 0
+    for n, step, kind in ((60, 30, "change"), (80, 40, "insert"), (80, 40, "delete"), (300, 42, "insert"), (2000, 42, "insert")) * 3:
+        text = words(rng, n)
+        other = []
+        for k, w in enumerate(text):
+            other += [w] if k == 0 or k % step else ["x", w] if kind == "insert" else ["x"] if kind == "change" else []
+        for t in (text, other):
+            rows.append((len(rows), " ".join(t)))
+        assert similarity(text, other) >= 0.8
+        groups += 1
+    # a chain: neighbours overlap, the ends don't
+    whole = words(rng, 400)
+    chain = len(rows)
+    for k in range(6):
+        rows.append((len(rows), " ".join(whole[k * 50 : k * 50 + 150])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = []
+    for parts in (1, 7):
+        got = {r.doc_id: r.class_id for r in passages.passage_classes(docs.repartition(parts)).collect()}
+        assert sum(got[2 * g] == got[2 * g + 1] for g in range(groups)) >= groups - 1
+        assert {got[i] for i in range(chain, len(rows))} == {chain}
+        classes.append(got)
+    assert classes[0] == classes[1]
