@@ -6,7 +6,7 @@ start in [l, c] and end in [c, r]. These are the wide nodes of the Cartesian tre
 are found with sliding minima, and their bounds with a stack. Windows with the same function and smallest
 hash, in any two documents, hold subsequences that share a signature.
 
-Windows with the same hash and c are candidates only. Copies whose surroundings of c (48 shingles on
+Windows with the same hash and c are candidates only; of those in a periodic stretch the ends suffice. Copies whose surroundings of c (48 shingles on
 either side, told apart by a 64-bit hash) are equal are linked first, inside each map task and again for each
 hash; one of them goes on. Where different surroundings are left, their shingles are read from the texts and
 aligned from c to both sides, with gaps: a matched shingle counts 1, one left over in either text -4, so a
@@ -32,19 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.alignment import LEAST, SIDE, agree, anchors, match  # noqa: F401
 from inkfold.llm.components import connected_components
 from inkfold.llm.tables import materialize
 from inkfold.llm.simhash import _whole_groups
 from inkfold.llm.words import _BASE, Chunk, _grow, chunks, mix, runs_of
 
 SHINGLE = 5
-LEAST = 46
 HASHES = 4
 ENOUGH = 2
-SIDE = 48
-SHIFT = 8
-RUN, NEAR = 17, 4
 HELD = 400_000
+HOT = 1 << 17
 FIELDS = ["kind", "key", "doc", "c", "l", "r", "b0", "rep", "rep_c"]
 #: kind: 1 a link, 0 a window; b0: the hash of what surrounds c.
 SCHEMA = "kind int, key long, doc long, c int, l int, r int, b0 long, rep long, rep_c int"
@@ -105,8 +103,26 @@ def codes(shingles: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndar
     return np.where(there, short[np.clip(places, 0, len(shingles) - 1)], np.uint16(0))
 
 
-def windows(c: Chunk, least: int = LEAST, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
-    """Row in the chunk, key, c, l, r (in the document's shingles) and the hash of its surroundings for each compact window."""
+def repeats(shingles: np.ndarray, at: np.ndarray, key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a window lies inside a periodic stretch: its neighbours of the same hash are as far to either side, after equal text."""
+    up, down = _grow(len(shingles) + 1)
+    sums = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(mix(shingles) * up[: len(shingles)], out=sums[1:])
+    order = np.lexsort((at, key, row))
+    place, step = at[order], np.diff(at[order])
+    tied = (key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])
+    inner = np.zeros(len(at), bool)
+    mid = np.flatnonzero(tied[:-1] & tied[1:] & (step[:-1] == step[1:])) + 1
+    a, b, c = place[mid - 1], place[mid], place[mid + 1]
+    inner[order[mid]] = (sums[b] - sums[a]) * down[a] == (sums[c] - sums[b]) * down[b]
+    return inner
+
+
+def windows(c: Chunk, least: int = LEAST, hashes: int = HASHES, ends: bool = False) -> tuple[np.ndarray, ...]:
+    """Row in the chunk, key, c, l, r (in the document's shingles) and the hash of its surroundings for each compact window.
+
+    ends: of the windows of a periodic stretch keep the first and the last, from which either side is aligned as well.
+    """
     shingles, doc, first, last = _shingles(c)
     none = np.zeros(0, np.int64)
     if len(shingles) < least:
@@ -125,114 +141,13 @@ def windows(c: Chunk, least: int = LEAST, hashes: int = HASHES) -> tuple[np.ndar
         key = (h[at] >> np.uint64(2) << np.uint64(2)) | np.uint64(f & 3)
         found.append((at, key.view(np.int64), l, r))
     at, key, l, r = (np.concatenate(x) for x in zip(*found))
+    if ends:
+        kept = ~repeats(shingles, at, key, doc[at])
+        at, key, l, r = at[kept], key[kept], l[kept], r[kept]
     row = doc[at]
     return row, key, at - first[row], l - first[row], r - first[row], surroundings(shingles, at, first[row], last[row])
 
 
-def _extended(a: np.ndarray, b: np.ndarray, shift: int = SHIFT) -> np.ndarray:
-    """For each n up to the width, the best score of aligned starts of the rows of a and b, the shorter of n shingles."""
-    n, width = a.shape
-    never = np.int16(-10_000)
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    out = np.full((width + 1, n), never, np.int16)
-    out[0] = 0
-    above: dict[int, np.ndarray] = {}
-    for i in range(width + 1):
-        row: dict[int, np.ndarray] = {}
-        for j in range(max(0, i - shift), min(width, i + shift) + 1):
-            best = np.zeros(n, np.int16) if i == j == 0 else np.full(n, never, np.int16)
-            if j in above:
-                best = np.maximum(best, np.where(a[i - 1] != 0, above[j] - np.int16(4), never))
-            if j - 1 in row:
-                best = np.maximum(best, np.where(b[j - 1] != 0, row[j - 1] - np.int16(4), never))
-            if j - 1 in above:
-                same = (a[i - 1] == b[j - 1]) & (a[i - 1] != 0)
-                best = np.maximum(best, np.where(same, above[j - 1] + np.int16(1), never))
-            row[j] = best
-            k = min(i, j)
-            np.maximum(out[k], best, out=out[k])
-        above = row
-    return np.maximum(out, never)
-
-
-def agree(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Whether spans around the places of two rows of codes, of `least` shingles or more, have a similarity of 0.8."""
-    yes = np.zeros(len(a), bool)
-    for k in range(0, len(a), 1 << 14):
-        part = slice(k, k + (1 << 14))
-        left = _extended(a[part, :SIDE][:, ::-1], b[part, :SIDE][:, ::-1])
-        right = _extended(a[part, SIDE:], b[part, SIDE:])
-        right = np.maximum.accumulate(right[::-1])[::-1]
-        need = np.maximum(0, least - 1 - np.arange(SIDE + 1))
-        fits = need <= SIDE
-        yes[part] = (left[fits].astype(np.int32) + right[need[fits]] + 1 >= 0).any(0)
-    return yes
-
-
-def anchors(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, entry): runs of RUN codes, c's own place among them, of which any NEAR neighbours have one at least."""
-    n = len(key)
-    whole = np.concatenate([code[:, :SIDE], np.full((n, 1), 1, np.uint16), code[:, SIDE:]], 1)
-    wide = whole.astype(np.uint64)
-    size = wide.shape[1] - RUN + 1
-    run, there = wide[:, :size].copy(), whole[:, :size] != 0
-    for k in range(1, RUN):
-        run = run * np.uint64(0xD6E8FEB86659FD93) + wide[:, k : k + size]
-        there &= whole[:, k : k + size] != 0
-    run = np.where(there, mix(run), np.uint64(2**64 - 1))
-    least = np.minimum.reduce([run[:, k : size - NEAR + 1 + k] for k in range(NEAR)])
-    chosen = np.zeros(run.shape, bool)
-    for k in range(NEAR):
-        chosen[:, k : size - NEAR + 1 + k] |= run[:, k : size - NEAR + 1 + k] == least
-    row, at = np.nonzero(chosen & there)
-    return row, mix(key.view(np.uint64)[row] + run[row, at])
-
-
-def match(key: np.ndarray, code: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(row, earlier row) links that join all rows of one key that agree and share an anchor."""
-    n, label = len(key), np.arange(len(key))
-    row, entry = anchors(key, code)
-    order = np.lexsort((row, entry))
-    row, entry = row[order], entry[order]
-    # a text that repeats itself has an anchor at many places
-    once = np.concatenate([[True], (row[1:] != row[:-1]) | (entry[1:] != entry[:-1])])[: len(row)]
-    row, entry = row[once], entry[once]
-    found = [np.zeros(0, np.int64)]
-    while len(row) > 1:
-        heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-        sizes = np.diff(np.append(heads, len(row)))
-        within = np.arange(len(row)) - np.repeat(heads, sizes)
-        # several leaders at a time where few rows are left
-        leaders = max(1, min(64, (1 << 14) // len(row)))
-        met = []
-        for k in range(leaders):
-            later = np.flatnonzero(within > k)
-            leader = row[later - within[later] + k]
-            apart = (label[row[later]] != label[leader]) & (key[row[later]] == key[leader])
-            met.append(row[later[apart]] * n + leader[apart])
-        pairs = np.unique(np.concatenate(met))
-        a, b = pairs // n, pairs % n
-        yes = agree(code[a], code[b], least)
-        found.append(pairs[yes])
-        a, b = a[yes], b[yes]
-        while (label[a] != label[b]).any():
-            parent = np.arange(n)
-            np.minimum.at(parent, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            label = parent[label]
-        row, entry = row[within >= leaders], entry[within >= leaders]
-        if len(row):
-            # runs that links have joined are done
-            heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-            own = label[row]
-            many = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
-            go = np.repeat(many, np.diff(np.append(heads, len(row))))
-            row, entry = row[go], entry[go]
-    both = np.unique(np.concatenate(found))
-    return both // n, both % n
-
-
 def _links(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     apart = rows["doc"][a] != rows["doc"][b]
     a, b = a[apart], b[apart]
@@ -256,8 +171,11 @@ def _frame(kind: int, part: pd.DataFrame) -> pd.DataFrame:
     return part.astype({"kind": "int32", "c": "int32", "l": "int32", "r": "int32", "rep_c": "int32"})
 
 
-def window_links(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFrame:
-    """Verified links: key, doc, c, l, r, rep, rep_c. rep is an earlier document with the passage around c."""
+def window_links(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, hot: int = HOT) -> DataFrame:
+    """Verified links: key, doc, c, l, r, rep, rep_c. rep is another document with the passage around c.
+
+    Windows of a hash that has more than `hot` of them with surroundings of their own meet by anchor instead.
+    """
 
     def shared_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -272,7 +190,7 @@ def window_links(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> D
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for c in chunks(batch.column(1)):
-                row, key, at, l, r, near = windows(c, least, hashes)
+                row, key, at, l, r, near = windows(c, least, hashes, ends=True)
                 held.append({"key": key, "doc": ids[c.first + row], "c": at, "l": l, "r": r, "b0": near})
                 if sum(len(h["key"]) for h in held) > HELD:
                     yield from flush()
@@ -304,21 +222,29 @@ def window_links(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> D
             for c in chunks(batch.column(1)):
                 shingles, _, first, last = _shingles(c)
                 bounds = offsets[c.first : c.first + c.rows + 1]
-                part = {k: fields.field(k).slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False) for k in ("key", "c", "l", "r", "b0")}
+                part = {k: fields.field(k).slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False) for k in ("key", "c", "l", "r", "b0", "hot")}
                 row = np.repeat(np.arange(c.rows), np.diff(bounds))
                 at = first[row] + part["c"]
                 # another text under the same id may have the window
                 own = np.flatnonzero(at <= last[row])
                 own = own[surroundings(shingles, at[own], first[row[own]], last[row[own]]) == part["b0"][own]]
+                key, hot = part["key"][own], np.flatnonzero(part["hot"][own])
                 near = codes(shingles, at[own], first[row[own]], last[row[own]])
-                out = [pa.array(part["key"][own]), pa.array(ids[c.first + row[own]].astype(np.int64)), *(pa.array(part[k][own].astype(np.int32)) for k in ("c", "l", "r"))]
+                if len(hot):
+                    # windows of a hot hash are dealt by anchor; the key keeps the number of the hash function
+                    of, entry = anchors(key[hot], near[hot])
+                    dealt_key = entry >> np.uint64(2) << np.uint64(2) | key[hot][of].view(np.uint64) & np.uint64(3)
+                    of = np.concatenate([np.setdiff1d(np.arange(len(own)), hot), hot[of]])
+                    key = np.concatenate([np.delete(key, hot), dealt_key.view(np.int64)])
+                    own, near = own[of], near[of]
+                out = [pa.array(key), pa.array(ids[c.first + row[own]].astype(np.int64)), *(pa.array(part[k][own].astype(np.int32)) for k in ("c", "l", "r"))]
                 yield pa.RecordBatch.from_arrays([*out, pa.array([x.tobytes() for x in near], pa.binary())], ["key", "doc", "c", "l", "r", "near"])
 
     def near_by_key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _whole_groups(frames, "key"):
             rows = {k: part[k].to_numpy() for k in ("key", "doc", "c", "l", "r")}
             code = np.frombuffer(b"".join(part["near"]), np.uint16).reshape(-1, 2 * SIDE)
-            yield _links(rows, *match(rows["key"], code, least))
+            yield _links(rows, *match(rows["key"], code, rows["doc"], least))
 
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     local = texts.mapInArrow(shared_in_task, SCHEMA)
@@ -326,7 +252,10 @@ def window_links(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> D
     spread = F.when(F.col("kind") == 1, F.xxhash64("doc", "c", "key")).otherwise(F.col("key"))
     dealt = local.repartition(spread).sortWithinPartitions("kind", "key")
     met = materialize(dealt.mapInPandas(shared_by_key, SCHEMA), "met")
-    wanted = met.where("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("key", "c", "l", "r", "b0")).alias("wanted"))
+    open_ = met.where("kind = 0").select("key", "doc", "c", "l", "r", "b0")
+    many = open_.groupBy("key").agg((F.count("*") > hot).alias("hot")).where("hot")
+    wanted = open_.join(many, "key", "left").withColumn("hot", F.col("hot").isNotNull())
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "c", "l", "r", "b0", "hot")).alias("wanted"))
     asked = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted").mapInArrow(read_codes, "key long, doc long, c int, l int, r int, near binary")
     near = asked.repartition("key").sortWithinPartitions("key", "doc", "c").mapInPandas(near_by_key, LINK)
     return met.where("kind = 1").select(near.columns).union(near)

@@ -134,3 +134,65 @@ def test_edited_passages_are_linked_whatever_the_partitions(spark):
         assert {got[i] for i in range(chain, len(rows))} == {chain}
         classes.append(got)
     assert classes[0] == classes[1]
+
+
+def test_hot_hashes_dealt_by_anchor_give_the_same_classes(spark):
+    rng = np.random.RandomState(7)
+    shared, line = words(rng, 60), words(rng, 30)
+    rows = []
+    for k in range(40):
+        text = list(shared)
+        text[10 + k % 40] = "edit"
+        rows.append((k, " ".join(words(rng, 40) + (text if k < 20 else line) + words(rng, 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = []
+    for hot in (2, passages.HOT):
+        links = passages.window_links(docs, hot=hot)
+        assert links.where("(key & 3) > 3 or (key & 3) < 0").isEmpty()
+        roots = {r.id: r.root for r in passages.connected_components(passages.supported(links), "doc", "rep").collect()}
+        groups.append(roots)
+    assert groups[0] == groups[1] and {groups[0].get(k) for k in range(20)} == {0} and not any(k in groups[0] for k in range(20, 40))
+
+
+def test_ends_of_repeats_suffice(spark):
+    rng = np.random.RandomState(9)
+    page = words(rng, 30)
+    texts = [words(rng, 20) + page * 5 + words(rng, 20), words(rng, 33) + page * 4 + words(rng, 7), ["la"] * 90 + words(rng, 40), words(rng, 9) + ["la"] * 70, words(rng, 50) + ["la"] * 30 + words(rng, 50)]
+    (chunk,) = chunks(pa.array([" ".join(t) for t in texts]))
+    every, ends = passages.windows(chunk), passages.windows(chunk, ends=True)
+    assert 0 < len(ends[0]) < len(every[0]) / 2
+    assert {tuple(x) for x in zip(*ends)} <= {tuple(x) for x in zip(*every)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in passages.passage_classes(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+
+
+def test_every_shared_passage_of_a_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.passage_classes(docs).collect()}
+    first, shared = {}, 0
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        for passage in {tuple(w[i : i + 50]) for i in range(len(w) - 49)}:
+            other = first.setdefault(passage, r.doc_id)
+            if other != r.doc_id:
+                shared += 1
+                assert got[other][0] == got[r.doc_id][0] and got[other][1] and got[r.doc_id][1]
+    assert shared
+
+
+def test_quick_answers_of_agree_are_those_of_the_alignment():
+    rng = np.random.RandomState(11)
+    from inkfold.llm import alignment
+
+    base = rng.randint(1, 60, (400, 96)).astype(np.uint16)
+    other = base.copy()
+    for row in other:
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randint(96)
+            row[at : at + rng.randint(3, 9)] = 7
+        if rng.rand() < 0.5:
+            at = rng.randint(48, 96)
+            row[at:] = np.roll(row[at:], rng.randint(-3, 4))
+        row[96 - rng.randint(0, 30) :] = 0
+    assert (alignment.agree(base, other) == alignment._aligned(base, other, 46)).all()
+    assert 50 < alignment.agree(base, other).sum() < 350
