@@ -12,10 +12,13 @@ from inkfold.operators.folds import BEATS, CAST, GLOSSARY, PLACEHOLDERS
 GENDERS = ("male", "female", "unknown")
 
 
+#: A code fence and its line, if the text opens with one, then all from the first brace to the last.
+_OBJECT = r"(?sU)^(?:\s*```[^\n]*\n?)?+[^{]*(\{.*\})"
+
+
 def reply(x: Column) -> Column:
     """The object in a reply, as VARIANT: without a code fence and its line, from the first brace to the last; null if there is none."""
-    bare = F.when(F.startswith(t.strip(x), F.lit("```")), F.regexp_replace(t.strip(x), r"^```[^\n]*\n?", "")).otherwise(x)
-    return F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit("")))
+    return F.try_parse_json(F.nullif(F.regexp_extract(x, _OBJECT, 1), F.lit("")))
 
 
 def elements(v: Column, path: str) -> Column:
@@ -24,8 +27,8 @@ def elements(v: Column, path: str) -> Column:
 
 
 def usable(*fields: Column, key: str) -> Column:
-    """The first field whose object has a list under `key`."""
-    return F.coalesce(*[F.when(elements(reply(f), f"$.{key}").isNotNull(), reply(f)) for f in fields])
+    """The first field whose object has a list under `key`. Each field is read once."""
+    return F.get(F.filter(F.transform(F.array(*fields), reply), lambda v: elements(v, f"$.{key}").isNotNull()), 0)
 
 
 def said(v: Column, path: str) -> Column:

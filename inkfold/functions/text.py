@@ -11,9 +11,13 @@ IMAGE_TYPES = {
 }
 
 
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 def blank(x: Column) -> Column:
