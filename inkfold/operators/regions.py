@@ -32,6 +32,19 @@ def on_page(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.withColumns(dict(zip(EDGES, box.columns()))).where("x1 - x0 > 1 and y1 - y0 > 1")
 
 
+def _box(b: Column) -> Box:
+    return Box(*[b[e] for e in EDGES])
+
+
+def _kept(entries: Column, duplicate: float) -> Column:
+    """Greedy suppression of an array that is sorted by falling score: a box stays if it covers no kept box too far."""
+    return F.aggregate(
+        entries,
+        F.filter(entries, lambda b: F.lit(False)),
+        lambda kept, b: F.when(F.exists(kept, lambda k: _box(k).covers_share(_box(b), duplicate)), kept).otherwise(F.concat(kept, F.array(b))),
+    )
+
+
 def suppressed(boxes: DataFrame, group: list[str], duplicate: float = DUPLICATE) -> DataFrame:
     """Greedy duplicate suppression in each group: by falling score, a box stays if it covers no kept box too far.
 
@@ -39,17 +52,8 @@ def suppressed(boxes: DataFrame, group: list[str], duplicate: float = DUPLICATE)
     """
     rest = [c for c in boxes.columns if c not in (*group, "score", "det_id")]
     entry = F.struct((-F.col("score")).alias("worse"), F.col("det_id"), *rest)
-
-    def box(b: Column) -> Box:
-        return Box(*[b[e] for e in EDGES])
-
     gathered = boxes.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    kept = F.aggregate(
-        "all",
-        F.filter("all", lambda b: F.lit(False)),
-        lambda kept, b: F.when(F.exists(kept, lambda k: box(k).covers_share(box(b), duplicate)), kept).otherwise(F.concat(kept, F.array(b))),
-    )
-    out = gathered.select(*group, F.explode(kept).alias("b"))
+    out = gathered.select(*group, F.explode(_kept(F.col("all"), duplicate)).alias("b"))
     return out.select(*group, (-F.col("b.worse")).alias("score"), "b.det_id", *[f"b.{c}" for c in rest]).select(boxes.columns)
 
 
@@ -94,13 +98,30 @@ def assigned(blocks: DataFrame, balloons: DataFrame, inside: float = INSIDE) ->
 
 
 def analysed(detections: DataFrame, width: int, height: int, rtl: bool = True) -> DataFrame:
-    """From raw detector rows to text blocks in reading order, each with its balloon."""
-    sure = on_page(confident(detections), width, height).withColumn("is_balloon", F.col("label") == 0)
-    single = suppressed(sure, ["page_id", "is_balloon"])
-    balloons = single.where("is_balloon")
-    blocks = in_reading_order(padded(single.where("not is_balloon"), BLOCK_PAD, width, height), rtl)
-    return assigned(blocks, balloons).select(
-        "page_id", "ord", "det_id", kind(F.col("label")).alias("kind"), F.round("score", 3).alias("confidence"), *EDGES, "balloon_id", *[f"b{e}" for e in EDGES]
+    """From raw detector rows to text blocks in reading order, each with its balloon.
+
+    A page is gathered once; suppression, order and balloons are folds over its two arrays, so one exchange by
+    page is all there is. A page is one detector pass.
+    """
+    sure = on_page(confident(detections), width, height)
+    entry = F.struct((-F.col("score")).alias("worse"), "det_id", "label", *EDGES)
+    pages = sure.groupBy("page_id").agg(*[F.array_sort(F.collect_list(F.when(own, entry))).alias(name) for name, own in (("balloons", F.col("label") == 0), ("texts", F.col("label") != 0))])
+    pages = pages.select("page_id", *[_kept(F.col(name), DUPLICATE).alias(name) for name in ("balloons", "texts")])
+
+    def block(b: Column) -> Column:
+        box = _box(b).padded(BLOCK_PAD, LEAST_PAD, width, height)
+        places = dict(zip(EDGES, box.columns()))
+        across = -places["x1"] if rtl else places["x0"]
+        return F.struct(places["y0"].alias("top"), across.alias("across"), b.worse.alias("worse"), b.det_id.alias("det_id"), b.label.alias("label"), F.struct(*[c.alias(e) for e, c in places.items()]).alias("box"))
+
+    def holder(b: Column) -> Column:
+        holds = F.filter("balloons", lambda k: _box(b.box).within(_box(k)) >= INSIDE)
+        return F.array_min(F.transform(holds, lambda k: F.struct(_box(k).area.alias("area"), k.det_id.alias("balloon_id"), *[k[e].alias(f"b{e}") for e in EDGES])))
+
+    ordered = pages.select("page_id", "balloons", F.array_sort(F.transform("texts", block)).alias("texts"))
+    blocks = ordered.select("page_id", F.posexplode(F.transform("texts", lambda b: F.struct(b.alias("b"), holder(b).alias("k")))).alias("ord", "x"))
+    return blocks.select(
+        "page_id", "ord", "x.b.det_id", kind(F.col("x.b.label")).alias("kind"), F.round(-F.col("x.b.worse"), 3).alias("confidence"), *[f"x.b.box.{e}" for e in EDGES], "x.k.balloon_id", *[f"x.k.b{e}" for e in EDGES]
     )
 
 

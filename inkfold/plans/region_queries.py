@@ -50,7 +50,7 @@ balloons as (select page_id, det_id as balloon_id, x0 as bx0, y0 as by0, x1 as b
 pairs as (select k.page_id, k.det_id, b.*exclude(page_id), row_number() over (partition by k.page_id, k.det_id order by (bx1 - bx0) * (by1 - by0), balloon_id) as n
   from padded k join balloons b on k.page_id = b.page_id
     and ({_SHARED.format(a='k.', b='b.b')})::double / {_AREA.format(a='k.')} >= 0.85),
-blocks as (select k.page_id, (row_number() over (partition by k.page_id order by y0, -x1, score desc, k.det_id) - 1)::int as ord, k.det_id,
+blocks as materialized (select k.page_id, (row_number() over (partition by k.page_id order by y0, -x1, score desc, k.det_id) - 1)::int as ord, k.det_id,
   case label when 1 then 'speech' else 'free' end as kind, round(score, 3) as confidence, x0, y0, x1, y1,
   balloon_id, bx0, by0, bx1, by1
   from padded k left join (select * from pairs where n = 1) p on k.page_id = p.page_id and k.det_id = p.det_id)
