@@ -85,40 +85,70 @@ def answers(lines: list[str], ask: Asker) -> tuple[list[str], int]:
     return [s[0] if s else "" for s in single], 2 + len(lines)
 
 
+def _runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames sorted by key, cut where the key changes: no part has two keys, and a key may span parts."""
+    for frame in frames:
+        changes = (frame[key] != frame[key].shift()).cumsum()
+        yield from (part for _, part in frame.groupby(changes))
+
+
 def translated(asked: DataFrame, make: Callable[[], Asker]) -> DataFrame:
-    """(page_id, n, answer, asks) for lines as asked_once gives them: (page_id, n, text). A group is one page's distinct lines."""
+    """(page_id, n, answer, asks) for lines as asked_once gives them: (page_id, n, text).
+
+    A request is one page's distinct lines. A task makes its model once and takes one page after the other.
+    """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("n")
-        texts, asks = answers(page["text"].tolist(), make())
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, held = make(), None
+        for part in _runs(frames, "page_id"):
+            if held is not None and held["page_id"].iloc[0] == part["page_id"].iloc[0]:
+                held = pd.concat([held, part])
+                continue
+            if held is not None:
+                yield told(held, ask)
+            held = part
+        if held is not None:
+            yield told(held, ask)
+
+    def told(page: pd.DataFrame, ask: Asker) -> pd.DataFrame:
+        texts, asks = answers(page["text"].tolist(), ask)
         return pd.DataFrame({"page_id": page["page_id"], "n": page["n"], "answer": texts, "asks": asks})
 
-    return asked.select("page_id", "n", "text").groupBy("page_id").applyInPandas(run, "page_id long, n int, answer string, asks int")
+    pages = asked.select("page_id", "n", "text").repartition("page_id").sortWithinPartitions("page_id", "n")
+    return pages.mapInPandas(run, "page_id long, n int, answer string, asks int")
 
 
 def surveyed(windows: DataFrame, make: Callable[[], Asker]) -> DataFrame:
     """(chapter, page_no, beat): windows in order, each told what came before; the chapter ends at the first that fails.
 
-    A window whose beats don't fit its pages gives none. windows: (chapter, window, first, pages, text); a
-    group is one chapter's windows.
+    A window whose beats don't fit its pages gives none. windows: (chapter, window, first, pages, text). A
+    task makes its model once; of a chapter it holds what was told so far, not the windows.
     """
 
-    def run(chapter: pd.DataFrame) -> pd.DataFrame:
-        ask, synopsis, out = make(), "", []
-        for _, w in chapter.sort_values("window").iterrows():
-            try:
-                reply = ask({"pages": w["text"], "count": int(w["pages"]), "synopsis": synopsis})
-            except Exception:  # noqa: BLE001  what was told so far stands
-                break
-            try:
-                synopsis = json.loads(reply).get("synopsis") or synopsis
-            except ValueError:
-                pass
-            beats = _list(reply, "beats", int(w["pages"])) or []
-            out += [(w["chapter"], int(w["first"]) + i, b) for i, b in enumerate(beats)]
-        return pd.DataFrame(out, columns=["chapter", "page_no", "beat"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, chapter, synopsis, failed = make(), None, "", False
+        for frame in frames:
+            out = []
+            for w in frame.itertuples(index=False):
+                if w.chapter != chapter:
+                    chapter, synopsis, failed = w.chapter, "", False
+                if failed:
+                    continue
+                try:
+                    reply = ask({"pages": w.text, "count": int(w.pages), "synopsis": synopsis})
+                except Exception:  # noqa: BLE001  what was told so far stands
+                    failed = True
+                    continue
+                try:
+                    synopsis = json.loads(reply).get("synopsis") or synopsis
+                except ValueError:
+                    pass
+                beats = _list(reply, "beats", int(w.pages)) or []
+                out += [(chapter, int(w.first) + i, b) for i, b in enumerate(beats)]
+            yield pd.DataFrame(out, columns=["chapter", "page_no", "beat"])
 
-    return windows.groupBy("chapter").applyInPandas(run, "chapter string, page_no int, beat string")
+    ordered = windows.repartition("chapter").sortWithinPartitions("chapter", "window")
+    return ordered.mapInPandas(run, "chapter string, page_no int, beat string")
 
 
 def fake_asker() -> Asker:
@@ -152,39 +182,57 @@ def fake_reader() -> Reader:
 
 
 def carried(pages: DataFrame, make: Callable[[], Asker], most: int = 40) -> DataFrame:
-    """(chapter, page_no, answer, known): pages in order, each told the terms that earlier pages gave; first wins, `most` at most.
+    """(chapter, page_no, answer, known, scene): pages in order, each told the terms and the scene that earlier pages gave.
 
-    pages: (chapter, page_no, text). A page's reply may hold `terms`; a group is one chapter.
+    The first of a term wins, `most` at most; a blank scene keeps the held one. pages: (chapter, page_no, text).
+    A task makes its model once; of a chapter it holds the terms and the scene only. known and scene: what the
+    page was told.
     """
 
-    def run(chapter: pd.DataFrame) -> pd.DataFrame:
-        ask, terms, out = make(), {}, []
-        for _, page in chapter.sort_values("page_no").iterrows():
-            reply = ask({"lines": [page["text"]], "terms": dict(terms)})
-            got = _list(reply, "translations", 1)
-            out.append((page["chapter"], page["page_no"], got[0] if got else "", len(terms)))
-            for source, target in _terms(reply):
-                if source not in terms and len(terms) < most:
-                    terms[source] = target
-        return pd.DataFrame(out, columns=["chapter", "page_no", "answer", "known"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, chapter, terms, scene = make(), None, {}, ""
+        for frame in frames:
+            out = []
+            for page in frame.itertuples(index=False):
+                if page.chapter != chapter:
+                    chapter, terms, scene = page.chapter, {}, ""
+                reply = ask({"lines": [page.text], "terms": dict(terms), "scene": scene})
+                got = _list(reply, "translations", 1)
+                out.append((chapter, page.page_no, got[0] if got else "", len(terms), scene))
+                for source, target in _terms(reply):
+                    if source not in terms and len(terms) < most:
+                        terms[source] = target
+                scene = _scene(reply) or scene
+            yield pd.DataFrame(out, columns=["chapter", "page_no", "answer", "known", "scene"])
+
+    ordered = pages.select("chapter", "page_no", "text").repartition("chapter").sortWithinPartitions("chapter", "page_no")
+    return ordered.mapInPandas(run, "chapter string, page_no int, answer string, known int, scene string")
+
+
+def _object(reply: str) -> dict:
+    try:
+        return json.loads(reply[reply.index("{") : reply.rindex("}") + 1])
+    except ValueError:
+        return {}
+
 
-    return pages.select("chapter", "page_no", "text").groupBy("chapter").applyInPandas(run, "chapter string, page_no int, answer string, known int")
+def _scene(reply: str) -> str:
+    story = _object(reply).get("story")
+    scene = story.get("scene") if isinstance(story, dict) else ""
+    return scene.strip() if isinstance(scene, str) else ""
 
 
 def _terms(reply: str) -> list[tuple[str, str]]:
-    try:
-        found = json.loads(reply[reply.index("{") : reply.rindex("}") + 1]).get("terms", [])
-    except ValueError:
-        return []
+    found = _object(reply).get("terms") or []
     return [(t["source"], t["target"]) for t in found if isinstance(t, dict) and t.get("source") and t.get("target")]
 
 
 def fake_term_asker() -> Asker:
-    """Answers in angle brackets and gives a line's first character as a term."""
+    """Answers in angle brackets; gives a line's first character as a term and, for lines of even length, its last as the scene."""
 
     def ask(request: dict) -> str:
         line = request["lines"][0]
-        return json.dumps({"translations": [f"<{line}>"], "terms": [{"source": line[:1], "target": "t"}]})
+        return json.dumps({"translations": [f"<{line}>"], "terms": [{"source": line[:1], "target": "t"}], "story": {"scene": line[-1:] if len(line) % 2 == 0 else " "}})
 
     return ask
 

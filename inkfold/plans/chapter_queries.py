@@ -83,17 +83,16 @@ def cast_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("chapter", "name", "gender", "note", F.array_contains("settled", "gender").alias("settled"), line.alias("line"))
 
 
-@query(with_views("""with w as (select chapter, page_no // 8 as win, min(page_no) as first, max(page_no) as last from chapter_pages group by 1, 2 having win % 2 = 1)
-select chapter, (max(last) + 1)::int as n, (max(last) + 1 - sum(last - first + 1))::int as blanks from w group by 1""", "chapter_pages"))
+@query(with_views("select chapter, page_no, beat from chapter_pages", "chapter_pages"))
 def chapter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second survey window written into the chapter's beats; the pages between are blank."""
+    """Survey windows written into the chapter's beats, the odd ones first: they leave blanks that the even ones fill."""
     pages = chapter_pages(spark, sf_dir)
-    windows = pages.where("floor(page_no / 8) % 2 = 1").groupBy("chapter", F.floor(F.col("page_no") / 8).alias("w")).agg(
+    windows = pages.groupBy("chapter", F.floor(F.col("page_no") / 8).alias("w")).agg(
         F.min("page_no").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("page_no", "beat"))), lambda b: b.beat).alias("beats")
     )
-    ordered = windows.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("first", "beats"))).alias("news"))
+    ordered = windows.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct((F.col("w") % 2 == 0).alias("even"), "first", "beats"))).alias("news"))
     folded = F.aggregate("news", F.array().cast("array<string>"), lambda acc, x: folds.folded_beats(acc, x.beats, x.first))
-    return ordered.select("chapter", folded.alias("beats")).select("chapter", F.size("beats").alias("n"), F.size(F.filter("beats", lambda b: b == "")).alias("blanks"))
+    return ordered.select("chapter", F.posexplode(folded).alias("page_no", "beat"))
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:

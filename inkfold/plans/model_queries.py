@@ -35,8 +35,10 @@ def survey_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.surveyed(context.survey_windows(chapter_pages(spark, sf_dir)), models.fake_asker)
 
 
-@query(with_views("""with f as (select chapter, substring(beat, 1, 1) as s, min(page_no) as first from chapter_pages group by 1, 2)
-select p.chapter, p.page_no, '<' || p.beat || '>' as answer, least(40, (select count(*) from f where f.chapter = p.chapter and f.first < p.page_no))::int as known from chapter_pages p""", "chapter_pages"))
+@query(with_views("""with f as (select chapter, substring(beat, 1, 1) as s, min(page_no) as first from chapter_pages where beat <> '' group by 1, 2),
+s as (select chapter, page_no, case when length(beat) % 2 = 0 then trim(substring(beat, -1, 1), ' ' || chr(9) || chr(10) || chr(13)) else '' end as said from chapter_pages)
+select p.chapter, p.page_no, '<' || p.beat || '>' as answer, least(40, (select count(*) from f where f.chapter = p.chapter and f.first < p.page_no))::int as known,
+  coalesce((select arg_max(said, page_no) from s where s.chapter = p.chapter and s.page_no < p.page_no and said <> ''), '') as scene from chapter_pages p""", "chapter_pages"))
 def translate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a chapter in order, each told the terms of those before it."""
     return models.carried(chapter_pages(spark, sf_dir).select("chapter", "page_no", F.col("beat").alias("text")), models.fake_term_asker)
@@ -82,25 +84,21 @@ def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 people as (select *, row_number() over (partition by chapter order by first_seq)::int as place from f)
 select chapter, name, gender, note, place from people where place <= 12""", "mentions"))
 def streamed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cast of each chapter, kept as state while its mentions come in by two batches of files."""
+    """The cast of each chapter, kept as state while its mentions come in by two batches; the second goes on from the checkpoint of the first."""
     folder = _scratch(spark)
     rows = mentions(spark, sf_dir)
-    for part, some in enumerate((rows.where("seq < 20"), rows.where("seq >= 20"))):
-        some.coalesce(1).write.mode("append").parquet(f"{folder}/in/part={part}")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    # a session of its own, so that the caller's settings stay as they are
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for some in (rows.where("seq < 20"), rows.where("seq >= 20")):
+        some.write.mode("append").parquet(f"{folder}/in")
+        stream = own.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        # a batch that is run again overwrites what it wrote before
         run = (
             chapters.cast_updates(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-            .foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start()
+            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start()
         )
         run.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     out = spark.read.schema(f"{chapters.OUT}, batch long").parquet(f"{folder}/out")
     last = F.max("batch").over(Window.partitionBy("chapter"))
     return out.withColumn("last", last).where("batch = last").drop("batch", "last")

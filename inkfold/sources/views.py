@@ -13,16 +13,17 @@ select page_id, det_id, label, score, x0, y0, cast(x0 + w as int) as x1, cast(y0
     case when label = 0 then 150 + 4 * qn else 30 + 2 * qn end as w,
     case when label = 0 then 150 + 3 * qn else 40 + 3 * qn end as h
   from (
-    select l_orderkey {div} 8 as page_id,
-      cast(row_number() over (partition by l_orderkey {div} 8 order by l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    select page_id,
+      cast(row_number() over (partition by page_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey,
         l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) as int) as det_id,
       cast(l_linenumber % 3 as int) as label, cast(round(l_extendedprice * 100) as bigint) as c,
       cast(l_quantity as int) as qn, l_partkey as pk, l_suppkey as sk
-    from {lineitem}) numbered) boxed
+    from (select l_orderkey {div} 8 as page_id, * from {lineitem}) keyed) numbered) boxed
 """
+# a chapter is at most 200 pages at every size
 _CHAPTER_PAGES = """
-select source as chapter, cast(row_number() over (partition by source order by doc_id) - 1 as int) as page_no,
-  doc_id, substring(text, 1, 160) as beat from {documents}
+select chapter, cast(row_number() over (partition by chapter order by doc_id) - 1 as int) as page_no, doc_id, text as beat
+from (select concat(source, '/', doc_id {div} 200) as chapter, doc_id, text from {documents}) keyed
 """
 _MENTIONS = """
 select user_id as chapter, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as seq,
@@ -40,7 +41,7 @@ select doc_id as page_id, cast(i - 1 as int) as ord, a[i] as text,
   case when lang = 'en' then 'speech' else 'free' end as kind, cast(length(a[i]) % 40 as int) as budget
 from (select doc_id, lang, string_split(text, chr(10)) as a from documents) d, unnest(range(1, len(a) + 1)) u(i)
 """,
-    "chapter_pages": _CHAPTER_PAGES.format(documents="documents"),
+    "chapter_pages": _CHAPTER_PAGES.format(div="//", documents="documents"),
     "mentions": _MENTIONS.format(events="events", k="json_extract_string(props, '$.k')"),
     "files": r"""
 select page_id, concat(regexp_extract(url, '://([^/]+)/', 1), '/', regexp_extract(url, '/(\d+)(?:[?#].*)?$', 1),
@@ -75,7 +76,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chapter, page_no, doc_id, beat): the pages of a chapter, counted from 0."""
-    return spark.sql(_CHAPTER_PAGES, documents=_table(spark, sf_dir, "documents"))
+    return spark.sql(_CHAPTER_PAGES.replace("{div}", "div"), documents=_table(spark, sf_dir, "documents"))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
