@@ -1,4 +1,4 @@
-"""Dividing a balloon among the blocks in it."""
+"""Dividing a page among the blocks that share a balloon, and each block's own room in its part."""
 
 from __future__ import annotations
 
@@ -8,71 +8,63 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INSIDE = 0.85
+from inkfold.functions.geometry import Box
+from inkfold.operators.regions import INSIDE
+
 Cell = tuple[int, int, int, int]
 
 
-def _seam(spans: list[tuple[int, int]]) -> tuple[float, int, float]:
-    """(gap, how many come before it, its middle) of the widest seam among spans sorted by start."""
+def _widest(spans: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """(gap, how many come before it, its middle) of the widest gap among sorted spans, the first of equals; overlaps are gaps below zero."""
     best, reach = None, spans[0][1]
-    for i in range(1, len(spans)):
-        low, high = spans[i]
+    for place, (low, high) in enumerate(spans[1:], 1):
         if best is None or low - reach > best[0]:
-            best = (low - reach, i, (low + reach) / 2)
+            best = (low - reach, place, (low + reach) // 2)
         reach = max(reach, high)
     return best
 
 
 def divide(space: Cell, blocks: list[Cell]) -> list[Cell]:
-    """A cell of the space for each block: cut at the widest seam of either axis, x on a tie, until each is alone.
+    """A cell of the space for each block: cut at the widest gap of either axis, x on a tie, until each is alone.
 
     The cells are disjoint and cover the space. A cut stays a pixel inside the space at least.
     """
-    if len(blocks) < 2:
-        return [space] * len(blocks)
-    choices = []
-    for axis in (0, 1):
-        order = sorted(range(len(blocks)), key=lambda i: (blocks[i][axis], blocks[i][axis + 2], i))
-        gap, before, middle = _seam([(blocks[i][axis], blocks[i][axis + 2]) for i in order])
-        choices.append((gap, axis, before, middle, order))
-    _, axis, before, middle, order = max(choices, key=lambda c: c[0])
-    low, high = space[axis], space[axis + 2]
-    cut = max(low + 1, min(high - 1, int(middle))) if high - low > 1 else low
-    first, second = list(space), list(space)
-    first[axis + 2] = second[axis] = cut
-    near, rest = order[:before], order[before:]
-    out: dict[int, Cell] = {}
-    for part, ids in ((first, near), (second, rest)):
-        out.update(zip(ids, divide(tuple(part), [blocks[i] for i in ids])))
-    return [out[i] for i in range(len(blocks))]
-
-
-def room_in(cell: Cell, block: Cell) -> Cell | None:
-    """The cell, if enough of the block lies in it."""
-    w = min(cell[2], block[2]) - max(cell[0], block[0])
-    h = min(cell[3], block[3]) - max(cell[1], block[1])
-    area = (block[2] - block[0]) * (block[3] - block[1])
-    return cell if area and max(w, 0) * max(h, 0) / area >= INSIDE else None
-
-
-def divided(blocks: DataFrame) -> DataFrame:
-    """Each block's room in its balloon: all of it if the block is alone there, else its cell, or null if the cell doesn't hold the block.
-
-    A row of the inner table is one balloon with its few blocks, so a batch divides many balloons.
+    cells, open_ = [space] * len(blocks), [(space, list(range(len(blocks))))]
+    while open_:
+        cell, ids = open_.pop()
+        if len(ids) < 2:
+            cells[ids[0] if ids else slice(0)] = cell
+            continue
+        by_axis = [sorted(ids, key=lambda i: (blocks[i][axis], blocks[i][axis + 2], i)) for axis in (0, 1)]
+        gaps = [_widest([(blocks[i][axis], blocks[i][axis + 2]) for i in by_axis[axis]]) for axis in (0, 1)]
+        axis = 0 if gaps[0][0] >= gaps[1][0] else 1
+        _, before, middle = gaps[axis]
+        at = min(max(middle, cell[axis] + 1), cell[axis + 2] - 1)
+        near, far = list(cell), list(cell)
+        near[axis + 2] = far[axis] = at
+        open_ += [(tuple(near), by_axis[axis][:before]), (tuple(far), by_axis[axis][before:])]
+    return cells
+
+
+def divided(blocks: DataFrame, width: int, height: int) -> DataFrame:
+    """Each block's own room (columns r<edge>): as it is if the block is alone in its balloon, else cropped to the block's cell of the page.
+
+    Null where what is left doesn't hold the block. blocks: page_id, ord, det_id, balloon_id, x0..y1, rx0..ry1. A row
+    of the inner table is one balloon with its few blocks, so a batch divides many balloons.
     """
-    edges = ["rx0", "ry0", "rx1", "ry1"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for page, balloon, space, members in zip(frame["page_id"], frame["balloon_id"], frame["space"], frame["members"]):
-                boxes = [tuple(map(int, m["box"])) for m in members]
-                for m, box, cell in zip(members, boxes, divide(tuple(map(int, space)), boxes)):
-                    rows.append((page, m["ord"], m["det_id"], balloon, *(room_in(cell, box) or (None,) * 4)))
-            out = pd.DataFrame(rows, columns=["page_id", "ord", "det_id", "balloon_id", *edges])
-            yield out.astype({e: "Int32" for e in edges})
-
-    member = F.struct("ord", "det_id", F.array("x0", "y0", "x1", "y1").alias("box"))
-    held = blocks.where("balloon_id is not null").groupBy("page_id", "balloon_id", F.array("bx0", "by0", "bx1", "by1").alias("space"))
-    gathered = held.agg(F.array_sort(F.collect_list(member)).alias("members"))
-    return gathered.mapInPandas(run, "page_id long, ord int, det_id int, balloon_id int, " + ", ".join(f"{e} int" for e in edges))
+            boxes = [[tuple(map(int, m["box"])) for m in members] for members in frame["members"]]
+            yield frame[["page_id", "balloon_id"]].assign(cells=[divide((0, 0, width, height), b) for b in boxes], members=frame["members"])
+
+    inner = "members: array<struct<ord: int, det_id: int, box: array<int>, room: array<int>>>"
+    member = F.struct("ord", "det_id", F.array("x0", "y0", "x1", "y1").alias("box"), F.array("rx0", "ry0", "rx1", "ry1").alias("room"))
+    gathered = blocks.where("balloon_id is not null and rx0 is not null").groupBy("page_id", "balloon_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    cells = gathered.mapInPandas(run, f"page_id long, balloon_id int, cells array<array<int>>, {inner}")
+    each = cells.select("page_id", "balloon_id", (F.size("members") > 1).alias("shared"), F.explode(F.arrays_zip("cells", "members")).alias("z"))
+    room, cell, block = (Box(*[F.col(f"z.{name}")[i] for i in range(4)]) for name in ("members.room", "cells", "members.box"))
+    own = Box(*[F.when(F.col("shared"), a).otherwise(b) for a, b in zip(room.cropped(cell).columns(), room.columns())])
+    placed = each.select("page_id", "z.members.ord", "z.members.det_id", "balloon_id", "shared", *own.columns("r"), *block.columns("b"))
+    holds = ~F.col("shared") | (Box.of("b").within(Box.of("r")) >= INSIDE)
+    return placed.select("page_id", "ord", "det_id", "balloon_id", *[F.when(holds, F.col(e)).alias(e) for e in ("rx0", "ry0", "rx1", "ry1")])

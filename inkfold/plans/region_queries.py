@@ -182,10 +182,36 @@ def balloon_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.seams(_blocks(spark, sf_dir).where("balloon_id is not null"), ["page_id", "balloon_id"], "x0", "x1")
 
 
-@query()
+_DIVIDED = f"""
+, cells(page_id, balloon_id, path, ord, det_id, x0, y0, x1, y1, bx0, by0, bx1, by1, cx0, cy0, cx1, cy1, n) as (
+  select page_id, balloon_id, '', ord, det_id, x0, y0, x1, y1, bx0, by0, bx1, by1, 0, 0, {W}, {H}, count(*) over (partition by page_id, balloon_id) from blocks where balloon_id is not null
+  union all
+  select page_id, balloon_id, path, ord, det_id, x0, y0, x1, y1, bx0, by0, bx1, by1,
+    case when on_x and not near then place else cx0 end::int, case when not on_x and not near then place else cy0 end::int,
+    case when on_x and near then place else cx1 end::int, case when not on_x and near then place else cy1 end::int, count(*) over (partition by page_id, balloon_id, path)
+  from (select *exclude(path), path || case when near then 'a' else 'b' end as path,
+      case when on_x then least(greatest(mid, cx0 + 1), cx1 - 1) else least(greatest(mid, cy0 + 1), cy1 - 1) end as place
+    from (select *, case when on_x then px < kx else py < ky end as near, max(case when on_x then case when px = kx then x0 + rx end else case when py = ky then y0 + ry end end) over g // 2 as mid
+      from (select *, gx >= gy as on_x, min(case when x0 - rx = gx then px end) over g as kx, min(case when y0 - ry = gy then py end) over g as ky
+        from (select *, max(x0 - rx) over g as gx, max(y0 - ry) over g as gy
+          from (select *, row_number() over (partition by page_id, balloon_id, path order by x0, x1, ord) as px, row_number() over (partition by page_id, balloon_id, path order by y0, y1, ord) as py,
+              max(x1) over (partition by page_id, balloon_id, path order by x0, x1, ord rows between unbounded preceding and 1 preceding) as rx,
+              max(y1) over (partition by page_id, balloon_id, path order by y0, y1, ord rows between unbounded preceding and 1 preceding) as ry
+            from cells where n > 1)
+          window g as (partition by page_id, balloon_id, path))
+        window g as (partition by page_id, balloon_id, path))
+      window g as (partition by page_id, balloon_id, path)))),
+kept as (select *, path <> '' as shared, case when path <> '' then greatest(bx0, cx0) else bx0 end as qx0, case when path <> '' then greatest(by0, cy0) else by0 end as qy0,
+  case when path <> '' then greatest(bx0, cx0, least(bx1, cx1)) else bx1 end as qx1, case when path <> '' then greatest(by0, cy0, least(by1, cy1)) else by1 end as qy1 from cells where n = 1),
+judged as (select *, not shared or (greatest(least(x1, qx1) - greatest(x0, qx0), 0) * greatest(least(y1, qy1) - greatest(y0, qy0), 0))::double / ((x1 - x0) * (y1 - y0)) >= 0.85 as holds from kept)
+select page_id, ord, det_id, balloon_id, case when holds then qx0 end::int as rx0, case when holds then qy0 end::int as ry0, case when holds then qx1 end::int as rx1, case when holds then qy1 end::int as ry1 from judged"""
+
+
+@query(with_views(_ANALYSED + _DIVIDED.strip(), "detections"))
 def divide_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each block's share of a balloon that several blocks are in; a recursion of cuts, so rows only."""
-    return space.divided(_blocks(spark, sf_dir))
+    """Each block's own room cropped to its cell of the page; the balloon's box stands for the room that pixels would give."""
+    own = _blocks(spark, sf_dir).select("*", *[F.col(f"b{e}").alias(f"r{e}") for e in r.EDGES])
+    return space.divided(own, W, H)
 
 
 @query(with_views(_ORDERED + " select page_id, case when ord = 1 then 3 when ord in (2, 3) then ord - 1 else ord end::int as ord, det_id, x0, y0, x1, y1 from ordered", "detections"))

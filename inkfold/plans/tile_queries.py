@@ -114,9 +114,16 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grids(spark, sf_dir).mapInPandas(run, "vec_id long, i int, component int")
 
 
-@query()
+@query(with_views("""with recursive near as (select distinct a.vec_id, b.i from tiles a join tiles b on a.vec_id = b.vec_id and abs(a.i % 8 - b.i % 8) <= 1 and abs(a.i // 8 - b.i // 8) <= 1 where a.grey > 200),
+walk(vec_id, i, root) as (select vec_id, i, i from near
+  union
+  select w.vec_id, n.i, w.root from walk w join near n on w.vec_id = n.vec_id and abs(n.i % 8 - w.i % 8) <= 1 and abs(n.i // 8 - w.i // 8) <= 1),
+piece as (select vec_id, i, min(root) as root from walk group by 1, 2),
+mark as (select vec_id, root, min(i % 8) as x0, min(i // 8) as y0, max(i % 8) + 1 as x1, max(i // 8) + 1 as y1 from piece join tiles using (vec_id, i) where grey > 200 group by 1, 2),
+more as (select *, greatest(1, round_even(0.25 * greatest(x1 - x0, y1 - y0), 0))::int as m from mark)
+select vec_id, (row_number() over (partition by vec_id order by root) - 1)::int as patch, greatest(0, x0 - m)::int as x0, greatest(0, y0 - m)::int as y0, least(8, x1 + m)::int as x1, least(8, y1 + m)::int as y1 from more""", "tiles"))
 def patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work patches around the marks of a tile; components on a dilated mask, so rows only."""
+    """Work patches around the marks of a tile: components on a dilated mask."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
