@@ -1,7 +1,8 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
-Fingerprints that differ in at most k bits agree on one of k + 1 bit blocks, so a fingerprint goes to
-one cell for each block. In a cell the fingerprints are sorted by Gray rank; neighbours then share many
+Fingerprints that differ in at most k bits agree on m - k of m bit blocks, whatever m, so a fingerprint goes
+to one cell for each choice of m - k blocks. m is k + 1, or more where the table is so large that cells would
+be: each step makes cells smaller by about a block's bits, and finds the same links. In a cell the fingerprints are sorted by Gray rank; neighbours then share many
 bits. Nodes over runs of neighbours hold the bits that all of the run share (mask and pattern); two
 nodes whose shared bits already differ in more than k places are pruned with all that is below them.
 Cells above a size are cut into Gray runs, and only pairs of runs that the nodes can't prune are compared.
@@ -15,6 +16,7 @@ kept, rows without an id have groups too); an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -81,6 +83,18 @@ def blocks(bits: int = 64, parts: int = 5) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
 
 
+def block_masks(most: int, entries: int, cell: int) -> list[int]:
+    """Bit masks of the choices of blocks that name cells, of the fewest blocks that give `entries` in cells of about `cell`."""
+    parts = most + 1
+    while True:
+        by_block = [((1 << width) - 1) << shift for shift, width in blocks(64, parts)]
+        masks = [sum(choice) for choice in combinations(by_block, parts - most)]
+        narrowest = min(m.bit_count() for m in masks)
+        if entries <= cell << narrowest or parts == most + 5:
+            return masks
+        parts += 1
+
+
 class GrayIndex:
     """Nodes over fingerprints sorted by (group, Gray rank); a node never spans two groups."""
 
@@ -191,11 +205,9 @@ def fingerprint_links(entries: DataFrame, most: int = 4, cell: int = CELL) -> Da
     entries: distinct fp with an id rep. A cell of more than `cell` entries is cut into runs by Gray
     rank; each task compares two runs, of about `cell` entries.
     """
-    parts = blocks(64, most + 1)
-    at = F.array(*[
-        F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) * 8 + F.lit(i)
-        for i, (shift, width) in enumerate(parts)
-    ])
+    masks = block_masks(most, entries.count(), cell)
+    # cells whose hashes clash are one cell with more to compare
+    at = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), F.lit(i)) for i, m in enumerate(masks)])
     cells = entries.withColumn("rank", gray_rank(F.col("fp"))).select("fp", "rep", "rank", F.explode(at).alias("cell"))
     large = materialize(cells.groupBy("cell").count().where(F.col("count") > cell), "cells")
     most_in_cell = large.agg(F.max("count")).first()[0]
