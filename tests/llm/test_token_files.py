@@ -10,12 +10,11 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_files_round_trip(spark, tmp_path):
-    texts = [None, "", " a  b ", "one two\nthree", "日本 語　x", "<|endoftext|> y", "w " * 3000, "tab\tand\r\n line", "one two\nthree"]
+    texts = [None, "", " a  b ", "one two\nthree", "日本 語　x", "x <|endoftext|> y", "<|endoftext|>", "w " * 3000, "tab\tand\r\n line", "one two\nthree"]
     rows = [(i * 7 - 3, t, "z") for i, t in enumerate(texts)] + [(None, "null id", "z"), (-3, "same id", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
     got = token_files.read(token_files.write(docs, VOCABULARY, f"file://{tmp_path}/t")).collect()
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     at, want = 0, []
     for doc, text, _ in sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(2**63), r[1] or "")):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
