@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm import topics
 from inkfold.llm.tables import materialize
 
 DIMS = ("source", "lang", "topic")
@@ -36,24 +37,9 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def form(text: Column) -> Column:
-    """A topic where none is given: what form the whole text has."""
-    size = F.length(text)
-    lines = size - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    bars = size - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return (
-        F.when(F.coalesce(size, F.lit(0)) == 0, "empty")
-        .when(bars * 40 > size, "table")
-        .when(lines * 60 > size, "lines")
-        .when(size < 600, "short")
-        .when(size < 6000, "page")
-        .otherwise("long")
-    )
-
-
 @dataclass(frozen=True)
 class Targets:
-    """Target shares by dimension. A dimension without given shares has its own ones, tempered by `power`."""
+    """Target shares by dimension. A dimension without given shares has its own ones, tempered by `power` (0 makes them equal)."""
 
     power: float = 0.95
     shares: tuple[tuple[str, dict], ...] = ()
@@ -74,6 +60,10 @@ class Targets:
         return {v: raw.get(v, 0.0) / whole for v in observed}
 
 
+#: The production mix: given language shares; sources and topics tempered towards equal shares.
+MIX = Targets(0.7, (("lang", {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}),))
+
+
 def rake(table: pd.DataFrame, targets: dict[str, dict], sweeps: int = 50, tolerance: float = 1e-6) -> np.ndarray:
     """Shares of the cells whose margins meet targets: source, lang, topic and tokens in, one share per row out."""
     share = table["tokens"].to_numpy(np.float64)
@@ -93,6 +83,15 @@ def rake(table: pd.DataFrame, targets: dict[str, dict], sweeps: int = 50, tolera
     return share
 
 
+def apart(table: pd.DataFrame, share: np.ndarray, targets: dict[str, dict]) -> float:
+    """The largest difference between a margin of the cells' shares and its target."""
+    off = 0.0
+    for d in DIMS:
+        for value, fitted in pd.Series(share).groupby(table[d], dropna=False).sum().items():
+            off = max(off, abs(fitted - targets[d].get(None if pd.isna(value) else value, 0.0)))
+    return float(off)
+
+
 def rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """rake for any number of cells: adds share. targets: (value, goal) by dimension."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
@@ -117,8 +116,10 @@ def cell_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
 
 
-def cell_copies(rows: DataFrame, targets: Targets, budget: int | None = None, small: int = SMALL) -> tuple[DataFrame, bool]:
-    """Expected copies of a document of each cell, and whether the cells are few. rows: DIMS and n_tokens.
+def cell_copies(rows: DataFrame, targets: Targets, budget: int | None = None, small: int = SMALL) -> tuple[DataFrame, bool, float]:
+    """Expected copies of a document of each cell, whether the cells are few, and how far a fitted margin is from its target at most.
+
+    rows: DIMS and n_tokens.
 
     budget: tokens that the sample should have; by default as many as there are without a second copy of any
     document.
@@ -139,13 +140,18 @@ def cell_copies(rows: DataFrame, targets: Targets, budget: int | None = None, sm
         copies = np.where(tokens > 0, np.round(per_token * scale, 12), 1.0)
         rows_out = [(*(None if pd.isna(v) else v for v in cell), float(e)) for cell, e in zip(table[list(DIMS)].itertuples(index=False), copies)]
         kinds = ", ".join(f"{d} string" for d in DIMS)
-        return cells.sparkSession.createDataFrame(rows_out, f"{kinds}, expected double"), True
+        return cells.sparkSession.createDataFrame(rows_out, f"{kinds}, expected double"), True, apart(table, share, goal) if tokens.any() else 0.0
     goals = {d: _goals(margins[d], targets, d) for d in DIMS}
     fitted = rake_by_joins(cells, goals).withColumn("per_token", F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens")))
     top = fitted.agg(F.max("per_token")).first()[0] or 1.0
     scale = float(budget) if budget is not None else 1 / top
     expected = F.coalesce(F.round(F.col("per_token") * scale, 12), F.lit(1.0))
-    return materialize(fitted.select(*DIMS, expected.alias("expected")), "copies"), False
+    off = 0.0
+    for d in DIMS:
+        margin = fitted.groupBy(F.col(d).alias("value")).agg(F.sum("share").alias("share"))
+        both = margin.join(goals[d], margin["value"].eqNullSafe(goals[d]["value"]))
+        off = max(off, both.agg(F.max(F.abs(F.col("share") - F.col("goal")))).first()[0] or 0.0)
+    return materialize(fitted.select(*DIMS, expected.alias("expected")), "copies"), False, off
 
 
 def _goals(margin: DataFrame, targets: Targets, dim: str) -> DataFrame:
@@ -180,13 +186,16 @@ def _with_expected(rows: DataFrame, names: dict[str, str], cells: DataFrame, few
 
 
 def plan(docs: DataFrame, targets: Targets = Targets(), budget: int | None = None, seed: int = 17, topic: Column | None = None, small: int = SMALL) -> DataFrame:
-    """doc_id, the cell, n_tokens, the expected copies and the copies drawn, for every row of docs."""
-    own = topic if topic is not None else form(F.col("text"))
+    """doc_id, the cell, n_tokens, the expected copies, the copies drawn and the residual, for every row of docs.
+
+    topic: by default the clusters of topics.fit. residual: how far a fitted margin is from its target at most, a share.
+    """
+    own = topic if topic is not None else topics.fit(docs).of(F.col("text"))
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), own.alias("topic"), token_count(F.col("text")).alias("n_tokens"))
     rows = materialize(rows, "mix-rows")
-    cells, few = cell_copies(rows, targets, budget, small)
+    cells, few, off = cell_copies(rows, targets, budget, small)
     out = _with_expected(rows, {d: d for d in DIMS}, cells, few, "expected")
-    return out.select("doc_id", *DIMS, "n_tokens", "expected", copies(F.col("expected"), F.col("doc_id"), seed).alias("copies"))
+    return out.select("doc_id", *DIMS, "n_tokens", "expected", copies(F.col("expected"), F.col("doc_id"), seed).alias("copies"), F.lit(off).alias("residual"))
 
 
 def sampled(docs: DataFrame, targets: Targets = Targets(), budget: int | None = None, seed: int = 17, topic: Column | None = None, small: int = SMALL) -> DataFrame:
@@ -195,10 +204,10 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), budget: int | None =
     while any(c.startswith(mark) for c in docs.columns):
         mark = "_" + mark
     names = {d: f"{mark}_own_{d}" for d in DIMS}
-    own = topic if topic is not None else form(F.col("text"))
+    own = topic if topic is not None else topics.fit(docs).of(F.col("text"))
     rows = docs.select("*", F.col("source").cast("string").alias(names["source"]), F.col("lang").cast("string").alias(names["lang"]), own.alias(names["topic"]))
     stats = rows.select(*[F.col(names[d]).alias(d) for d in DIMS], token_count(F.col("text")).alias("n_tokens"))
-    cells, few = cell_copies(stats, targets, budget, small)
+    cells, few, _ = cell_copies(stats, targets, budget, small)
     drawn = _with_expected(rows, names, cells, few, f"{mark}_expected")
     n = copies(F.col(f"{mark}_expected"), F.col("doc_id"), seed)
     one_each = drawn.where(n >= 1).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), n)).alias(f"{mark}_copy"))

@@ -18,7 +18,7 @@ def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(read(spark, sf_dir, "documents"))
+    return mixing.plan(read(spark, sf_dir, "documents"), mixing.MIX)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkfold.llm import mixing
+from inkfold.llm import mixing, topics
 
 
 def corpus(spark):
@@ -44,3 +45,32 @@ def test_sample_keeps_columns_and_repeats_copies(spark):
     assert {i: seen.count(i) for i in plan} == plan
     assert max(plan.values()) > 1
     assert mixing.sampled(docs.limit(0)).collect() == [] and mixing.plan(docs.limit(0)).collect() == []
+
+
+def test_content_topics_and_given_languages_match_brute_force_raking(spark):
+    rng = np.random.RandomState(3)
+    subjects = [[f"{s}{i}" for i in range(60)] for s in ("sea", "law", "zoo")]
+    rows = []
+    for i in range(240):
+        t = int(rng.randint(3))
+        words = rng.choice(subjects[t], rng.randint(30, 90)).tolist() + ["the"] * 9
+        rows.append((i, " ".join(words), f"s{rng.randint(4)}", ["en", "de", "fr"][int(rng.randint(0, 3))], t))
+    rows += [(240, None, "s0", "en", -1), (241, " ", "s1", None, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject int")
+    targets = mixing.Targets(0.0, (("lang", {"en": 0.2, "de": 0.5, "fr": 0.3}),))
+    topic = topics.fit(docs, k=3).of(F.col("text"))
+    again = topics.fit(docs.repartition(5), k=3)
+    got = mixing.plan(docs, targets, topic=topic).join(docs.select("doc_id", "subject", again.of(F.col("text")).alias("again")), "doc_id").toPandas()
+    assert (got.topic == got.again).all()
+    assert got[got.subject >= 0].groupby("subject").topic.nunique().max() == 1 and got[got.subject >= 0].topic.nunique() == 3
+    assert set(got[got.subject < 0].topic) == {topics.NONE}
+    # raking by the definition, document by document
+    own = got[got.n_tokens > 0]
+    w = own.n_tokens / own.n_tokens.sum()
+    goals = {"lang": {"en": 0.2, "de": 0.5, "fr": 0.3}, "source": {f"s{i}": 0.25 for i in range(4)}, "topic": {t: 1 / 3 for t in own.topic.unique()}}
+    for _ in range(200):
+        for d, goal in goals.items():
+            w = w * own[d].map(goal) / w.groupby(own[d]).transform("sum")
+    per_token = w / own.n_tokens
+    assert np.allclose(own.expected, per_token / per_token.max(), atol=1e-5)
+    assert got.residual.max() < 1e-5
