@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import batched
+from itertools import islice
 
 import numpy as np
 
 Params = dict[str, np.ndarray]
+PART = 1024
 
 
 def initial(counts: np.ndarray, rare: float, hidden: int = 24, block: int = 32, seed: int = 7) -> Params:
@@ -34,43 +35,82 @@ def initial(counts: np.ndarray, rare: float, hidden: int = 24, block: int = 32,
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(p: Params, gates_in: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of a batch of states. Fastest where both arrays are transposed views, so that a gate is one stretch of memory."""
     k = h.shape[1]
-    from_state = h @ p["state"]
-    both = _sigmoid(gates_in[:, : 2 * k] + from_state[:, : 2 * k])
+    both = (p["state"].T @ h.T).T
+    s = both[:, 2 * k :].copy("K")
+    both = both[:, : 2 * k]
+    both += gates_in[:, : 2 * k]
+    np.negative(both, out=both)
+    np.exp(np.minimum(both, 60, out=both), out=both)
+    both += 1
+    np.reciprocal(both, out=both)
     r, z = both[:, :k], both[:, k:]
-    n = np.tanh(gates_in[:, 2 * k :] + r * from_state[:, 2 * k :])
-    return n + z * (h - n), r, z, n, from_state[:, 2 * k :]
+    n = r * s
+    n += gates_in[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, r, z, n, s
+
+
+def _with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([w, b[..., None, :]], -2)
+
+
+def _bounded(w: np.ndarray) -> bool:
+    """Whether no state (its entries are in [-1, 1]) can give a logit whose exp is too large."""
+    return float(np.abs(w).sum(-2).max()) < 60
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax_parts(logits: np.ndarray, picks: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits (in their place), its row sums, and the log of each row's picked share."""
+    if not bounded:
+        np.minimum(logits, 60, out=logits)
+    picked = logits[np.arange(len(picks)), picks]
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, sums, picked - np.log(sums)
 
 
-def _by_class(classes: np.ndarray, rare: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(rare + 1))
-    for c in range(rare):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+def _by_class(classes: np.ndarray, rare: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The rows of head words in order of class, and the stretch of each class that has any."""
+    # numbers of 16 bits are sorted by radix
+    order = np.argsort(classes.astype(np.uint16 if rare < 1 << 16 else np.int64), kind="stable")
+    bounds = np.searchsorted(classes[order], np.arange(rare + 1)).tolist()
+    return order[: bounds[-1]], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
 def log_probs(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of P(target) for each state; the probability of RARE is that of its class."""
-    classes, _, block = p["word_w"].shape
+    classes, k, block = p["word_w"].shape
+    if states.shape[1] == k:
+        states = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+    by_class, by_word = _with_bias(p["class_w"], p["class_b"]), _with_bias(p["word_w"], p["word_b"])
+    safe = _bounded(by_class), _bounded(by_word)
     cls = np.minimum(targets // block, classes)
-    out = _log_softmax(states @ p["class_w"] + p["class_b"])[np.arange(len(cls)), cls]
-    for c, at in _by_class(cls, classes):
-        logits = _log_softmax(states[at] @ p["word_w"][c] + p["word_b"][c])
-        out[at] += logits[np.arange(len(at)), targets[at] - c * block]
+    out = np.empty(len(cls), states.dtype)
+    for c in range(0, len(cls), PART):
+        out[c : c + PART] = _softmax_parts(states[c : c + PART] @ by_class, cls[c : c + PART], safe[0])[2]
+    order, stretches = _by_class(cls, classes)
+    inner, own = states[order], targets[order] - cls[order] * block
+    more = np.empty(len(order), states.dtype)
+    for c, at in stretches:
+        more[at] = _softmax_parts(inner[at] @ by_word[c], own[at], safe[1])[2]
+    out[order] += more
     return out
 
 
+def _output(w: np.ndarray, x: np.ndarray, picks: np.ndarray, weight: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradients of one softmax by its weights (the last row is the bias) and its inputs, and the summed loss."""
+    d, sums, logp = _softmax_parts(x @ w, picks, bounded)
+    d *= (weight / sums)[:, None]
+    d[np.arange(len(picks)), picks] -= weight
+    return x.T @ d, d @ w[:-1].T, -float(logp @ weight)
+
+
 def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Params, float, np.ndarray]:
     """Backpropagation through one window: gradients, summed loss and the state after it.
 
@@ -78,48 +118,59 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarr
     """
     steps, batch = inputs.shape
     classes, k, block = p["word_w"].shape
-    kept, states = [], np.empty((steps, batch, k), np.float32)
-    gates = p["input"][inputs] + p["bias"]
+    kind = p["state"].dtype
+    # steps x gates x batch
+    gates = np.ascontiguousarray((p["input"] + p["bias"])[inputs].transpose(0, 2, 1))
+    kept, states = [], np.ones((steps, batch, k + 1), kind)
     for t in range(steps):
-        new, r, z, n, s = _step(p, gates[t], h)
-        kept.append((h, r, z, n, s))
-        states[t] = h = new
-    flat, goal, weight = states.reshape(-1, k), targets.ravel(), mask.ravel().astype(np.float32)
+        new, *parts = _step(p, gates[t].T, h)
+        kept.append([x.T for x in (h, *parts)])
+        states[t, :, :k] = h = new
+    flat, goal, weight = states.reshape(-1, k + 1), targets.ravel(), mask.ravel().astype(kind)
     cls = np.minimum(goal // block, classes)
-    rows = np.arange(len(cls))
-    logp = _log_softmax(flat @ p["class_w"] + p["class_b"])
-    loss = -float(logp[rows, cls] @ weight)
-    d = np.exp(logp)
-    d[rows, cls] -= 1
-    d *= weight[:, None]
-    g = {"class_w": flat.T @ d, "class_b": d.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
-    d_flat = d @ p["class_w"].T
-    for c, at in _by_class(cls, classes):
-        lp = _log_softmax(flat[at] @ p["word_w"][c] + p["word_b"][c])
-        own = goal[at] - c * block
-        loss -= float(lp[np.arange(len(at)), own] @ weight[at])
-        d = np.exp(lp)
-        d[np.arange(len(at)), own] -= 1
-        d *= weight[at][:, None]
-        g["word_w"][c], g["word_b"][c] = flat[at].T @ d, d.sum(0)
-        d_flat[at] += d @ p["word_w"][c].T
-    d_states, d_gates = d_flat.reshape(steps, batch, k), np.empty((steps, batch, 3 * k), np.float32)
-    g["state"], dh = np.zeros_like(p["state"]), np.zeros((batch, k), np.float32)
+    by_class, by_word = _with_bias(p["class_w"], p["class_b"]), _with_bias(p["word_w"], p["word_b"])
+    safe = _bounded(by_class), _bounded(by_word)
+    g_class, g_word, loss, d_flat = np.zeros_like(by_class), np.zeros_like(by_word), 0.0, np.empty((len(flat), k), kind)
+    for c in range(0, len(cls), PART):
+        part = slice(c, c + PART)
+        g_part, d_flat[part], lost = _output(by_class, flat[part], cls[part], weight[part], safe[0])
+        g_class += g_part
+        loss += lost
+    order, stretches = _by_class(cls, classes)
+    inner, own, inner_weight, d_inner = flat[order], goal[order] - cls[order] * block, weight[order], np.empty((len(order), k), kind)
+    for c, at in stretches:
+        g_word[c], d_inner[at], lost = _output(by_word[c], inner[at], own[at], inner_weight[at], safe[1])
+        loss += lost
+    d_flat[order] += d_inner
+    g = {"class_w": g_class[:-1], "class_b": g_class[-1], "word_w": g_word[:, :-1], "word_b": g_word[:, -1], "state": np.zeros_like(p["state"])}
+    d_states = np.ascontiguousarray(d_flat.reshape(steps, batch, k).transpose(0, 2, 1))
+    dh, into_state = np.zeros((k, batch), kind), np.empty((3 * k, batch), kind)
     for t in reversed(range(steps)):
         before, r, z, n, s = kept[t]
-        dh = dh + d_states[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * s * r * (1 - r)
-        d_gates[t] = np.concatenate([dr, dz, dn], 1)
-        into_state = np.concatenate([dr, dz, dn * r], 1)
-        g["state"] += before.T @ into_state
-        dh = dh * z + into_state @ p["state"].T
-    g["bias"] = d_gates.sum((0, 1))
-    g["input"] = np.zeros_like(p["input"])
-    order = np.argsort(inputs, axis=None, kind="stable")
-    tokens, firsts = np.unique(inputs.ravel()[order], return_index=True)
-    g["input"][tokens] = np.add.reduceat(d_gates.reshape(-1, 3 * k)[order], firsts)
+        dh += d_states[t]
+        out = gates[t]
+        dr, dz, dn = out[:k], out[k : 2 * k], out[2 * k :]
+        keep = 1 - z
+        np.subtract(before, n, out=dz)
+        dz *= dh
+        dz *= z
+        dz *= keep
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        keep *= dh
+        dn *= keep
+        np.multiply(dn, s, out=dr)
+        np.multiply(dn, r, out=into_state[2 * k :])
+        dr *= r
+        dr *= 1 - r
+        into_state[: 2 * k] = out[: 2 * k]
+        g["state"] += before @ into_state.T
+        dh *= z
+        dh += p["state"] @ into_state
+    tokens, g["input"] = inputs.ravel(), np.empty_like(p["input"])
+    for j in range(3 * k):
+        g["input"][:, j] = np.bincount(tokens, gates[:, j].ravel(), len(p["input"]))
+    g["bias"] = g["input"].sum(0)
     return g, loss, h
 
 
@@ -129,43 +180,61 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def step(self, g: Params) -> None:
+    def step(self, g: Params, n: int) -> None:
+        """One step along the mean of gradients summed over n tokens, its norm clipped at 5. g is used up."""
         self.t += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 5.0 / (norm + 1e-9))
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())) / n
+        scale = np.float32(min(1.0, 5.0 / (norm + 1e-9)) / n)
+        rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            x = x * scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
-
-
-def train(p: Params, segments: Iterable[np.ndarray], window: int = 32, batch: int = 96, rate: float = 0.01) -> tuple[Params, int]:
+            m, v = self.m[k], self.v[k]
+            x *= scale
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            np.multiply(x, x, out=x)
+            x *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += x
+            np.sqrt(v, out=x)
+            x += np.float32(1e-8)
+            np.divide(m, x, out=x)
+            x *= rate
+            self.p[k] -= x
+
+
+def portions(segments: Iterable[np.ndarray], least: int, most: int) -> Iterator[list[np.ndarray]]:
+    """Batches that grow by an eighth from `least` to `most` segments: small steps first, then cheap ones."""
+    segments, size = iter(segments), float(least)
+    while part := list(islice(segments, int(size))):
+        yield part
+        size = min(size * 1.125, most)
+
+
+def train(p: Params, segments: Iterable[np.ndarray], window: int = 32, batch: tuple[int, int] = (48, 384), rate: float = 0.02) -> tuple[Params, int]:
     """One pass over segments: arrays of an input token followed by targets. Returns new parameters and tokens seen.
 
     The segments of a batch go window by window; each window's last state starts the next.
     """
     p = {k: v.copy() for k, v in p.items()}
     adam, seen = Adam(p, rate), 0
-    for part in batched(segments, batch):
-        longest = max(map(len, part)) - 1
-        grid = np.zeros((len(part), longest + 1), np.int64)
-        mask = np.zeros((len(part), longest), bool)
-        for i, s in enumerate(part):
-            grid[i, : len(s)] = s
-            mask[i, : len(s) - 1] = True
-        h = np.zeros((len(part), p["state"].shape[0]), np.float32)
+    for part in portions(segments, *batch):
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        longest = int(sizes.max()) - 1
+        there = np.arange(longest + 1) < sizes[:, None]
+        grid = np.zeros(there.shape, np.int64)
+        grid[there] = np.concatenate(part)
+        mask = there[:, 1:]
+        h = np.zeros((p["state"].shape[0], len(part)), np.float32).T
         for t in range(0, longest, window):
-            inputs, targets, m = grid[:, t : min(t + window, longest)].T, grid[:, t + 1 : min(t + window, longest) + 1].T, mask[:, t : t + window].T
+            inputs, targets, m = (np.ascontiguousarray(x.T) for x in (grid[:, t : min(t + window, longest)], grid[:, t + 1 : min(t + window, longest) + 1], mask[:, t : t + window]))
             g, _, h = gradients(p, inputs, targets, m, h)
             n = int(m.sum())
-            adam.step({k: v / max(n, 1) for k, v in g.items()})
+            adam.step(g, max(n, 1))
             seen += n
     return p, seen
 
 
-def score(p: Params, tokens: np.ndarray, offsets: np.ndarray, slots: int = 256, window: int = 64) -> np.ndarray:
+def score(p: Params, tokens: np.ndarray, offsets: np.ndarray, slots: int = 512, window: int = 64) -> np.ndarray:
     """Natural log-likelihood of each text; text i is tokens[offsets[i]:offsets[i + 1]].
 
     Texts are packed into slots that run side by side; a slot's state is carried from window to window
@@ -196,21 +265,25 @@ def score(p: Params, tokens: np.ndarray, offsets: np.ndarray, slots: int = 256,
     owner[place] = np.repeat(order, size)
     grid, owner = grid.reshape(total, slots), owner.reshape(total, slots)
     start = len(p["input"]) - 1
-    out, h = np.zeros(n + 1), np.zeros((slots, p["state"].shape[0]), np.float32)
+    out, h = np.zeros(n + 1), np.zeros((p["state"].shape[0], slots), np.float32).T
     table = p["input"] + p["bias"]
     for t in range(0, total, window):
         steps, busy = min(window, total - t), int((ends > t).sum())
-        h, states = h[:busy], np.empty((steps, busy, h.shape[1]), np.float32)
-        for s in range(t, t + steps):
-            opens = owner[s, :busy] != owner[s - 1, :busy] if s else np.ones(busy, bool)
-            before = np.where(opens, start, grid[s - 1, :busy]) if s else np.full(busy, start)
-            if opens.any():
-                h = h * ~opens[:, None]
-            h = _step(p, table[before], h)[0]
-            states[s - t] = h
+        h, states = h[:busy], np.ones((steps, busy, h.shape[1] + 1), np.float32)
+        before = np.full((steps, busy), start)
+        before[1 if t == 0 else 0 :] = grid[max(t - 1, 0) : t + steps - 1, :busy]
+        opens = np.ones((steps, busy), bool)
+        opens[1 if t == 0 else 0 :] = owner[max(t, 1) : t + steps, :busy] != owner[max(t, 1) - 1 : t + steps - 1, :busy]
+        before[opens] = start
+        any_opens = opens.any(1)
+        for s in range(steps):
+            if any_opens[s]:
+                h = h * ~opens[s][:, None]
+            h = _step(p, np.ascontiguousarray(table[before[s]].T).T, h)[0]
+            states[s, :, :-1] = h
         mine = owner[t : t + steps, :busy].ravel()
         real = np.flatnonzero(mine < n)
-        lp = log_probs(p, states.reshape(-1, h.shape[1])[real], grid[t : t + steps, :busy].ravel()[real])
+        lp = log_probs(p, states.reshape(-1, h.shape[1] + 1)[real], grid[t : t + steps, :busy].ravel()[real])
         out += np.bincount(mine[real], lp, n + 1)
     return out[:n]
 

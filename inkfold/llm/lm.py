@@ -36,7 +36,7 @@ COMMON = 1 << 18
 END = np.uint64(1)
 SEGMENT = 64
 SLICE = 4096
-PORTION = 1_000_000
+PORTION = 3_000_000
 
 
 def tokens_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -108,12 +108,13 @@ class Words:
 
 
 def head_shape(distinct: int) -> tuple[int, int]:
-    """Head words and words in a class for a vocabulary of `distinct` words.
+    """Head words and words in a block for a vocabulary of `distinct` words.
 
-    Classes are two blocks by number, so both sides of the softmax grow with the fourth root of the
-    vocabulary and the head with its square root: 2,048 words up to 2**18, then about four times the root.
+    A class has two blocks (rare words need no look inside a class, so it may be wide), and there are as many
+    classes as words in a block: both sides of the softmax grow with the fourth root of the vocabulary and
+    the head with its square root, 2,048 words up to 2**20, then about twice the root.
     """
-    block = max(BLOCK, int(np.ceil((4 * distinct) ** 0.25)))
+    block = max(BLOCK, int(np.ceil(distinct**0.25)))
     return 2 * block * block, block
 
 
@@ -170,7 +171,7 @@ def train(docs: DataFrame, words: Words, start: gru.Params, rounds: int = 2) ->
 def score(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, head: int | None = None, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
-    head: the GRU's words, a multiple of BLOCK; unless given, it grows with the vocabulary.
+    head: the GRU's words, a multiple of twice BLOCK; unless given, it grows with the vocabulary.
     """
     mod, rem = held_out
     is_held_out = F.coalesce(id_crc() % mod == rem, F.lit(False))
@@ -181,7 +182,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, head: int | Non
     head, block = (head, BLOCK) if head else head_shape(distinct)
     words = Words(common["h"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64), head)
     rare_total, rare_distinct = total - int(words.head_counts.sum()), distinct - words.head_words
-    model = train(training, words, gru.initial(words.head_counts, rare_total, block=block), rounds)
+    model = train(training, words, gru.initial(words.head_counts, rare_total, block=2 * block), rounds)
     held = docs.sparkSession.sparkContext.broadcast((words, model))
     rare_norm, base_norm = np.log10(rare_total + rare_distinct + 1), np.log10(total + distinct + 1)
 
