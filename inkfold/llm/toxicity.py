@@ -5,7 +5,8 @@ each counted once. Words are runs of letters, digits and bytes from 0x80; A-Z co
 coordinate has its own learning rate, and L1 sets most weights to zero, so the model is a short list.
 
 Training is online, in one task, over a bounded, hash-chosen sample (SAMPLE) of the labelled documents
-outside the held-out remainder; every document is scored from its whole text.
+outside the held-out remainder, in the order of their id hashes (ties: by features and label); every document is
+scored from its whole text.
 
 Defined cases: a null or empty text has no feature but the bias; a null doc_id is scored and never held
 out; without labels the score is one half; repeated rows score alike; an empty table gives an empty
@@ -14,6 +15,8 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,23 +70,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tu
     """(bucket, weight) of the weights that aren't zero."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in frames:
-            ids, labels = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
-            for c in chunks(batch.column("text")):
-                doc, bucket = chunk_features(c)
-                keys = np.unique(doc * BUCKETS + bucket)
-                bounds = np.searchsorted(keys, np.arange(c.rows + 1) * BUCKETS)
-                for i in range(c.rows):
-                    features = (keys[bounds[i] : bounds[i + 1]] % BUCKETS).astype(np.int32)
-                    order = mix(np.array([ids[c.first + i]], np.int64).view(np.uint64))[0]
-                    rows.append((order, labels[c.first + i], np.concatenate([np.zeros(1, np.int32), features])))
-        rows.sort(key=lambda r: (r[0], len(r[2])))
-        model = Ftrl(**how)
-        for _ in range(epochs):
-            for _, label, features in rows:
-                model.learn(features, label)
-        w = model.weights()
+        # features go to a file of this task, so texts of any length are learnt in bounded memory
+        with tempfile.TemporaryFile() as spool:
+            rows, at = [], 0
+            for batch in frames:
+                ids, labels = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
+                for c in chunks(batch.column("text")):
+                    doc, bucket = chunk_features(c)
+                    keys = np.unique(doc * BUCKETS + bucket)
+                    bounds = np.searchsorted(keys, np.arange(c.rows + 1) * BUCKETS)
+                    for i in range(c.rows):
+                        features = np.append(np.int32(0), (keys[bounds[i] : bounds[i + 1]] % BUCKETS).astype(np.int32))
+                        order = mix(np.array([ids[c.first + i]], np.int64).view(np.uint64))[0]
+                        spool.write(features.tobytes())
+                        rows.append((order, len(features), zlib.crc32(features.tobytes()), labels[c.first + i], at))
+                        at += len(features)
+            rows.sort()
+            spool.flush()
+            features = np.memmap(spool, np.int32, "r") if at else np.zeros(0, np.int32)
+            model = Ftrl(**how)
+            for _ in range(epochs):
+                for _, n, _, label, first in rows:
+                    model.learn(features[first : first + n], label)
+            w = model.weights()
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], ["bucket", "weight"])
 

@@ -49,3 +49,22 @@ def test_verdicts(spark):
     assert {(i, False, bool(i % 2)) for i in range(300)} | {(900, True, False), (901, True, False), (None, False, True)} == got
     assert out.count() == 304 and rules.rules
     assert dl.verdicts(docs.limit(0), labels)[0].collect() == []
+
+
+def test_first_rule_matches_brute_force(spark):
+    rng = np.random.RandomState(4)
+    x, y = np.round(rng.rand(600), 2), np.round(rng.rand(600), 2)
+    label = ((x <= 0.6) | (rng.rand(600) < 0.03)).astype(int)
+    df = spark.createDataFrame([(int(v), i % 3, float(a), float(b)) for i, (v, a, b) in enumerate(zip(label, x, y))], "label int, fold int, x double, y double")
+    (rule, *_) = dl.learn(df, ["x", "y"], bins=20, max_tests=1).rules
+    grow = np.arange(600) % 3 < 2
+    p0, n0 = (label[grow] == 0).sum(), (label[grow] == 1).sum()
+
+    def gain(covered):
+        p, n = (label[covered & grow] == 0).sum(), (label[covered & grow] == 1).sum()
+        return p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p >= 20 else 0.0
+
+    every = [side for v in (x, y) for c in np.unique(np.quantile(v, np.arange(1, 20) / 20, method="inverted_cdf")) for side in (v <= c, v > c)]
+    (test,) = rule
+    v = {"x": x, "y": y}[test.feature]
+    assert abs(gain(v > test.cut if test.above else v <= test.cut) - max(map(gain, every))) < 1e-9

@@ -1,3 +1,5 @@
+import collections
+import math
 import zlib
 
 import numpy as np
@@ -78,3 +80,52 @@ def test_l1_leaves_few_weights():
         model.learn(features, float(7 in features))
     w = model.weights()
     assert w.argmax() == 7 and (w != 0).sum() < 200
+
+
+def test_ftrl_steps_match_the_definition():
+    rng = np.random.RandomState(2)
+    model = toxicity.Ftrl(50, alpha=0.7, beta=1.5, l1=0.3, l2=0.2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= 0.3:
+            return 0.0
+        return -(z[i] - math.copysign(0.3, z[i])) / ((1.5 + math.sqrt(n[i])) / 0.7 + 0.2)
+
+    for _ in range(300):
+        features, label = np.unique(np.append(0, rng.randint(1, 50, 6))), float(rng.rand() < 0.3)
+        w = {i: weight(i) for i in features.tolist()}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in w:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7 * w[i]
+            n[i] += g * g
+        model.learn(features, label)
+    assert np.allclose(model.weights(), [weight(i) for i in range(50)], atol=1e-9)
+
+
+def test_long_texts_are_learnt_whole(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    docs = spark.createDataFrame([(i, f"{long} foul{i}" if i % 2 else f"fine {i}") for i in range(1, 41)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, toxic int")
+    got = [toxicity.train(docs.repartition(parts), labels, l1=0.5).sort_values("bucket", ignore_index=True) for parts in (1, 4)]
+    assert got[0].equals(got[1]) and len(got[0]) > 10_000
+
+
+def test_first_split_and_leaves_match_brute_force():
+    rng = np.random.RandomState(3)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = (x[:, 1] + rng.normal(size=120) > 0.2).astype(float)
+    trees = boosting.fit(x, y, trees=1, depth=1, rate=0.5, bins=16, ridge=1.0)
+    share = (y.sum() + 1) / (len(y) + 2)
+    g, h = share - y, np.full(len(y), share * (1 - share))
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+    best = max(
+        (score(x[:, f] <= c) + score(x[:, f] > c) - score(np.ones(len(y), bool)), -f, -c)
+        for f in range(3)
+        for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1]))
+        if h[x[:, f] <= c].sum() >= 1 and h[x[:, f] > c].sum() >= 1
+    )
+    f, c = trees.feature[0, 0], trees.cut[0, 0]
+    assert abs(score(x[:, f] <= c) + score(x[:, f] > c) - score(np.ones(len(y), bool)) - best[0]) < 1e-9
+    for leaf, rows in enumerate((x[:, f] <= c, x[:, f] > c)):
+        assert abs(trees.leaf[0, leaf] + 0.5 * g[rows].sum() / (h[rows].sum() + 1.0)) < 1e-9
