@@ -73,32 +73,60 @@ def solid(mask: np.ndarray) -> np.ndarray:
 
 
 def joined(ground: np.ndarray, seed: Box) -> np.ndarray:
-    """The piece of ground that the seed box is part of, without holes."""
-    painted = np.maximum(ground, rasterised(ground.shape, [seed]))
-    labels, _ = labelled(painted, corners=False)
-    own = labels[(seed[1] + seed[3]) // 2, (seed[0] + seed[2]) // 2]
-    return solid(np.where(labels == own, 255, 0).astype(np.uint8))
+    """The seed box with all pieces of ground that it overlaps or borders on, without holes."""
+    x0, y0, x1, y1 = seed
+    pieces, _ = labelled(ground, corners=False)
+    beside = (pieces[max(y0 - 1, 0) : y1 + 1, x0:x1], pieces[y0:y1, max(x0 - 1, 0) : x1 + 1])
+    own = np.setdiff1d(np.concatenate([x.ravel() for x in beside]), [0])
+    return solid(rasterised(ground.shape, [seed], np.where(np.isin(pieces, own), 255, 0).astype(np.uint8)))
 
 
-def holding(mask: np.ndarray, block: Box) -> Box | None:
-    """The largest rectangle of set pixels that holds the block; the first in reading order of equals; null if a pixel of the block isn't set."""
+def _run(values: np.ndarray) -> int:
+    """How many of the first values hold."""
+    return len(values) if values.all() else int(np.argmin(values))
+
+
+def _largest(on: np.ndarray, block: Box) -> Box | None:
     x0, y0, x1, y1 = block
-    if x1 <= x0 or y1 <= y0 or not mask[y0:y1, x0:x1].all():
+    if x1 <= x0 or y1 <= y0 or not on[y0:y1, x0:x1].all():
         return None
-    on = mask > 0
-    # how far a band of rows around the block reaches left and right of it
-    left = np.array([x0 - (np.flatnonzero(~row[:x0])[-1] + 1 if (~row[:x0]).any() else 0) for row in on])
-    right = np.array([(np.flatnonzero(~row[x1:])[0] if (~row[x1:]).any() else len(row) - x1) for row in on])
+    # how far each row reaches left and right of the block, and how many whole rows there are above and below it
+    left = np.where(on[:, :x0].all(1), x0, np.argmin(on[:, :x0][:, ::-1], 1) if x0 else 0)
+    right = np.where(on[:, x1:].all(1), on.shape[1] - x1, np.argmin(on[:, x1:], 1) if x1 < on.shape[1] else 0)
     full = on[:, x0:x1].all(1)
-    tops = [y for y in range(y0, -1, -1) if full[y : y0 + 1].all()]
-    ends = [y for y in range(y1, len(on) + 1) if full[y1 - 1 : y].all()]
-    best, area = None, 0
-    for top in sorted(tops):
-        for end in ends:
-            a, b = x0 - left[top:end].min(), x1 + right[top:end].min()
-            if (b - a) * (end - top) > area:
-                best, area = (int(a), int(top), int(b), int(end)), (b - a) * (end - top)
-    return best
+    above, below = _run(full[:y0][::-1]), _run(full[y1:])
+
+    def reach(side: np.ndarray) -> np.ndarray:
+        """Of the rows from each top to each end, the least reach."""
+        band = side[y0:y1].min()
+        tops = np.minimum.accumulate(np.append(band, side[y0 - above : y0][::-1]))[::-1]
+        ends = np.minimum.accumulate(np.append(band, side[y1 : y1 + below]))
+        return np.minimum(tops[:, None], ends)
+
+    l, r = reach(left), reach(right)
+    height = (y1 - y0) + np.arange(above, -1, -1)[:, None] + np.arange(below + 1)
+    top, end = np.unravel_index(np.argmax((l + r + x1 - x0) * height), l.shape)
+    return (int(x0 - l[top, end]), int(y0 - above + top), int(x1 + r[top, end]), int(y1 + end))
+
+
+def holding(mask: np.ndarray, block: Box, grid: int = 128) -> Box | None:
+    """The largest rectangle of set pixels that holds the block; the first in reading order of equals; null if a pixel of the block isn't set.
+
+    A mask with more than `grid` pixels to a side is searched in coarse cells: set ones are set all over, and the
+    block takes all that it touches. Where the block isn't whole in them, pixels are searched.
+    """
+    on, size = mask > 0, -(-max(mask.shape) // grid)
+    if size > 1:
+        high, wide = (-(-n // size) for n in on.shape)
+        # what is beyond the page doesn't hinder the cells at its edge
+        whole = np.ones((high * size, wide * size), bool)
+        whole[: on.shape[0], : on.shape[1]] = on
+        coarse = whole.reshape(high, size, wide, size).all((1, 3))
+        x0, y0, x1, y1 = block
+        found = _largest(coarse, (x0 // size, y0 // size, -(-x1 // size), -(-y1 // size))) if x1 > x0 and y1 > y0 else None
+        if found:
+            return (found[0] * size, found[1] * size, min(found[2] * size, on.shape[1]), min(found[3] * size, on.shape[0]))
+    return _largest(on, block)
 
 
 def otsu(grey: np.ndarray) -> int:
