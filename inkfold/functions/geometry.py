@@ -146,5 +146,12 @@ def turned(dx: Column, dy: Column, degrees: Column) -> tuple[Column, Column]:
     return dx * F.cos(a) + dy * F.sin(a), dy * F.cos(a) - dx * F.sin(a)
 
 
+def anchored(was: Box, now: Box, degrees: Column) -> Box:
+    """A turned box after it was resized: moved so that the corner that wasn't dragged stays where it is drawn."""
+    x, y = was.cx - now.cx, was.cy - now.cy
+    drawn_x, drawn_y = turned(x, y, -degrees)
+    return now.moved(x - drawn_x, y - drawn_y)
+
+
 def angle(degrees: Column) -> Column:
     return F.pmod(degrees, F.lit(360))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfold.functions import text as t
 from inkfold.functions.raster import Box, bounds
 
 LINE_HEIGHT = 1.15
@@ -27,25 +28,55 @@ def wrapped(text: Column, most: Column) -> Column:
     return F.aggregate(words(text), F.lit(""), step)
 
 
-def line_count(lengths: Column, most: Column) -> Column:
-    """How many lines words of these lengths take."""
+def hyphenated(text: Column, most: Column) -> Column:
+    """Paragraphs wrapped one by one, blank ones left out; a word longer than a line is cut, with hyphens, on lines of its own."""
+
+    def pieces(w: Column) -> Column:
+        last = F.floor((F.length(w) - 1) / (most - 1)).cast("int")
+        cut = lambda i: F.concat(F.substring(w, i * (most - 1) + 1, most - 1), F.when(i < last, "-").otherwise(""))
+        long = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(cut(i).alias("text"), F.lit(True).alias("opens")))
+        return F.when(F.length(w) > most, long).otherwise(F.array(F.struct(w.alias("text"), F.lit(False).alias("opens"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        used = F.length(F.substring_index(acc, "\n", -1))
+        joins = ~x.opens & (used + 1 + F.length(x.text) <= most)
+        return F.when(acc == "", x.text).otherwise(F.concat(acc, F.when(joins, " ").otherwise("\n"), x.text))
+
+    lines = F.transform(F.split(t.strip(text), "\n"), lambda p: F.aggregate(F.flatten(F.transform(words(p), pieces)), F.lit(""), step))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def line_count(lengths: Column, most: Column, hyphens: bool = False) -> Column:
+    """How many lines words of these lengths take. hyphens: longer ones are cut into lines of their own."""
     start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("used"))
 
     def step(acc: Column, n: Column) -> Column:
         fits = (acc.lines > 0) & (acc.used + 1 + n <= most)
-        return F.struct(F.when(fits, acc.lines).otherwise(acc.lines + 1).alias("lines"), F.when(fits, acc.used + 1 + n).otherwise(n).alias("used"))
+        whole = F.struct(F.when(fits, acc.lines).otherwise(acc.lines + 1).alias("lines"), F.when(fits, acc.used + 1 + n).otherwise(n).alias("used"))
+        if not hyphens:
+            return whole
+        parts = F.ceil(n / (most - 1)).cast("int")
+        return F.when(n > most, F.struct((acc.lines + parts).alias("lines"), (n - (parts - 1) * (most - 1)).alias("used"))).otherwise(whole)
 
     return F.aggregate(lengths, start, step, lambda acc: acc.lines)
 
 
-def largest_size(w: Column, h: Column, low: int = SIZE_MIN, high: int = SIZE_MAX, char_width: float = 0.5) -> Column:
-    """The largest size at which no word is too wide and all lines fit; `low` if none does. The words are their lengths, in word_lengths."""
+def largest_size(w: Column, h: Column, low: int = SIZE_MIN, high: int = SIZE_MAX, char_width: float = 0.5, hyphens: bool = False) -> Column:
+    """The largest size at which no word is too wide and all lines fit; `low` if none does. The words are their lengths, in word_lengths.
+
+    hyphens: if no size does with whole words, the largest at which words may be cut is tried.
+    """
 
     def fits(size: Column) -> Column:
         most = F.floor(w / (size * char_width)).cast("int")
         return (F.array_max("word_lengths") <= most) & (line_count(F.col("word_lengths"), most) * size * LINE_HEIGHT <= h)
 
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(low), F.lit(high)), fits)), F.lit(low))
+    def fits_cut(size: Column) -> Column:
+        most = F.floor(w / (size * char_width)).cast("int")
+        return (most >= 2) & (line_count(F.col("word_lengths"), F.greatest(most, F.lit(2)), True) * size * LINE_HEIGHT <= h)
+
+    sizes = F.sequence(F.lit(low), F.lit(high))
+    return F.coalesce(*[F.array_max(F.filter(sizes, f)) for f in ((fits, fits_cut) if hyphens else (fits,))], F.lit(low))
 
 
 def _blank_runs(used: np.ndarray) -> list[tuple[int, int]]:

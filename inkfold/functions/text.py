@@ -33,6 +33,12 @@ def not_blank_or_null(x: Column) -> Column:
     return F.when(~blank(x), x)
 
 
+def split_at(text: Column, caret: Column) -> Column:
+    """struct(first, second, share): the text on either side of the caret and where it stands; null if a side is blank."""
+    first, second = strip(F.substring(text, F.lit(1), caret)), strip(F.substring(text, caret + 1, F.length(text)))
+    return F.when((first != "") & (second != ""), F.struct(first.alias("first"), second.alias("second"), (caret / F.length(text)).alias("share")))
+
+
 def filled(template: Column, target: Column, source: Column) -> Column:
     """{target}, then {source}, replaced as they stand; other braces stay."""
     return F.replace(F.replace(template, F.lit("{target}"), target), F.lit("{source}"), source)

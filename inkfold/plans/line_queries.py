@@ -110,6 +110,44 @@ def font_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "ord", layout.largest_size(F.lit(300), F.lit(220), 6, 30).alias("size"))
 
 
+@query(with_views(f"""with w as (select page_id, ord, list_transform({_WORDS}, lambda x: length(x)) as n from lines),
+s as (select page_id, ord, unnest(range(6, 31)) as size, n from w where len(n) > 0),
+f as (select *, floor(60 / (size * 0.5))::int as most from s),
+c as (select page_id, ord, size, most, n,
+  list_reduce(list_prepend(0::bigint, n), lambda acc, x: case when acc > 0 and acc % 100000 + 1 + x <= most then acc + 1 + x else (acc // 100000 + 1) * 100000 + x end) // 100000 as lines,
+  list_reduce(list_prepend(0::bigint, n), lambda acc, x: case when x > most then (acc // 100000 + (x + most - 2) // (most - 1)) * 100000 + x - ((x + most - 2) // (most - 1) - 1) * (most - 1)
+    when acc > 0 and acc % 100000 + 1 + x <= most then acc + 1 + x else (acc // 100000 + 1) * 100000 + x end) // 100000 as cut_lines from f)
+select page_id, ord, coalesce(max(size) filter (list_max(n) <= most and lines * size * 1.15 <= 400), max(size) filter (most >= 2 and cut_lines * size * 1.15 <= 400), 6)::int as size from c group by 1, 2""", "lines"))
+def font_fit_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text in a narrow column: words are cut only where no size takes them whole."""
+    rows = lines(spark, sf_dir).select("page_id", "ord", F.transform(layout.words(F.col("text")), lambda w: F.length(w)).alias("word_lengths")).where("size(word_lengths) > 0")
+    return rows.select("page_id", "ord", layout.largest_size(F.lit(60), F.lit(400), 6, 30, hyphens=True).alias("size"))
+
+
 @query(with_views("select page_id, ord, sha256(text) as hash from lines", "lines"))
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("page_id", "ord", F.sha2("text", 256).alias("hash"))
+
+
+@query(with_views(r"""with v as (select page_id, ord, length(text) as n, trim(substring(text, 1, length(text) // 3), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as first, trim(substring(text, length(text) // 3 + 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as second from lines)
+select page_id, ord, case when first <> '' and second <> '' then first end as first, case when first <> '' and second <> '' then second end as second,
+  case when first <> '' and second <> '' then (n // 3)::double / n end as share from v""", "lines"))
+def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines split at a caret a third of the way in; none where a side would be blank."""
+    caret = F.floor(F.length("text") / 3).cast("int")
+    rows = lines(spark, sf_dir).select("page_id", "ord", t.split_at(F.col("text"), caret).alias("s"))
+    return rows.select("page_id", "ord", "s.first", "s.second", "s.share")
+
+
+@query(with_views(r"""with p as (select page_id, ord, unnest([text, substring(text, 5)]) as part, unnest([1, 2]) as k from lines),
+w as (select *, list_filter(regexp_split_to_array(part, '\s+'), lambda x: x <> '') as words from p),
+c as (select *, flatten(list_transform(words, lambda x: case when length(x) > 8
+  then list_transform(range(0, (length(x) - 1) // 7 + 1), lambda i: chr(1) || substring(x, (i * 7 + 1)::int, 7) || case when i < (length(x) - 1) // 7 then '-' else '' end) else [x] end)) as tokens from w),
+l as (select page_id, ord, k, case when len(tokens) = 0 then '' else replace(list_reduce(tokens, lambda acc, x:
+  case when not starts_with(x, chr(1)) and length(replace(regexp_extract(acc, '[^
+]*$', 0), chr(1), '')) + 1 + length(x) <= 8 then acc || ' ' || x else acc || chr(10) || x end), chr(1), '') end as line from c)
+select page_id, ord, coalesce(string_agg(line, chr(10) order by k) filter (line <> ''), '') as wrapped from l group by 1, 2""", "lines"))
+def hyphen_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two paragraphs from each line, in lines of eight characters."""
+    two = F.concat("text", F.lit("\n"), F.substring("text", F.lit(5), F.length("text")))
+    return lines(spark, sf_dir).select("page_id", "ord", layout.hyphenated(two, F.lit(8)).alias("wrapped"))

@@ -125,6 +125,17 @@ def box_turning(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(with_views("""with b as (select *, radians(det_id * 7) as a, ((x0 + x1) - (x0 + 10 + x1 + 30)) / 2 as x, ((y0 + y1) - (y0 + y1 + 16)) / 2 as y from detections)
+select page_id, det_id, round(x0 + 10 + x - (x * cos(a) - y * sin(a)), 6) as x0, round(y0 + y - (x * sin(a) + y * cos(a)), 6) as y0,
+  round(x1 + 30 + x - (x * cos(a) - y * sin(a)), 6) as x1, round(y1 + 16 + y - (x * sin(a) + y * cos(a)), 6) as y1 from b""", "detections"))
+def box_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned boxes after a resize, with the far corner where it was drawn."""
+    was = Box.of()
+    now = Box(was.x0 + 10, was.y0, was.x1 + 30, was.y1 + 16)
+    kept = g.anchored(was, now, F.col("det_id") * 7)
+    return detections(spark, sf_dir).select("page_id", "det_id", *[F.round(c, 6).alias(e) for e, c in zip(r.EDGES, (kept.x0, kept.y0, kept.x1, kept.y1))])
+
+
 @query(with_views(f"""with v as (select page_id, det_id, [case when det_id % 9 = 0 then 'x' else (x1 + 0.5)::varchar end, (y1 + 0.25)::varchar, (x0 - 0.5)::varchar, y0::varchar] as box from detections),
 n as (select page_id, det_id, list_transform(box, lambda b: round_even(try_cast(b as double), 0)) as n from v)
 select page_id, det_id, least(greatest(case when n[1] is not null then least(n[1], n[3]) end, 0), {W})::int as x0, least(greatest(case when n[1] is not null then least(n[2], n[4]) end, 0), {H})::int as y0,
