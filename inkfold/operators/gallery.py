@@ -43,10 +43,15 @@ def in_natural_order(files: DataFrame, group: str, path: str) -> DataFrame:
 def unique_names(files: DataFrame, folder: str, name: str, order: str) -> DataFrame:
     """Adds unique_name: the first keeps its name, later ones get ` (n)` before the extension, from 2, past names that are taken.
 
-    A name such as `a (2).png` may itself come in, so the names of a folder are folded in order.
+    Only names of one family (alike but for such numbers) can clash. A family of one name is numbered by a
+    window; one with several, such as `a.png` and `a (2).png`, is folded in order.
     """
-    listed = F.array_sort(F.collect_list(F.struct(order, name)))
-    numbered = lambda x, n: F.concat(t.stem(x), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract(x, r"\.[^.]+$", 0))
+    ending = lambda x: F.regexp_extract(x, r"\.[^.]+$", 0)
+    numbered = lambda x, n: F.concat(t.stem(x), F.lit(" ("), n.cast("string"), F.lit(")"), ending(x))
+    family = Window.partitionBy(folder, "family")
+    rows = files.select(folder, order, name, F.concat(F.regexp_replace(t.stem(F.col(name)), r"( \(\d+\))+$", ""), ending(F.col(name))).alias("family"))
+    rows = rows.withColumn("mixed", F.min(name).over(family) != F.max(name).over(family)).withColumn("nth", F.row_number().over(family.orderBy(order)))
+    alone = rows.where("not mixed").withColumn("unique_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(numbered(F.col(name), F.col("nth"))))
 
     def step(acc: Column, x: Column) -> Column:
         # names before this one bound how far the probing can go
@@ -54,10 +59,11 @@ def unique_names(files: DataFrame, folder: str, name: str, order: str) -> DataFr
         free = F.get(F.filter(tries, lambda c: ~F.array_contains(acc, c)), 0)
         return F.concat(acc, F.array(F.when(F.array_contains(acc, x[name]), free).otherwise(x[name])))
 
-    grouped = files.groupBy(folder).agg(listed.alias("listed"))
+    grouped = rows.where("mixed").groupBy(folder, "family").agg(F.array_sort(F.collect_list(F.struct(order, name))).alias("listed"))
     taken = F.aggregate("listed", F.array().cast("array<string>"), step)
     zipped = grouped.select(folder, F.explode(F.arrays_zip("listed", taken.alias("taken"))).alias("z"))
-    return zipped.select(folder, F.col(f"z.listed.{order}").alias(order), F.col(f"z.listed.{name}").alias(name), F.col("z.taken").alias("unique_name"))
+    folded = zipped.select(folder, F.col(f"z.listed.{order}").alias(order), F.col(f"z.listed.{name}").alias(name), F.col("z.taken").alias("unique_name"))
+    return alone.select(folder, order, name, "unique_name").unionByName(folded)
 
 
 def best_pages(pages: DataFrame) -> DataFrame:

@@ -95,6 +95,15 @@ def chapter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("chapter", F.posexplode(folded).alias("page_no", "beat"))
 
 
+@query(with_views("select chapter, count(*) % 2 = 1 as fits from chapter_pages group by 1", "chapter_pages"))
+def chapter_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of an even number of pages come with a beat too few and aren't handed on."""
+    pages = chapter_pages(spark, sf_dir)
+    n = F.count("*")
+    told = pages.groupBy("chapter").agg(F.slice(F.collect_list("beat"), F.lit(1), (n - F.when(n % 2 == 0, 1).otherwise(0)).cast("int")).alias("beats"))
+    return context.fits(told, pages).select("chapter", "fits")
+
+
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies built from events: fenced, wrapped, ragged or broken."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -105,3 +105,31 @@ def language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.when(e == 0, " JA ").when(e == 1, "").when(e == 2, "zz").when(e == 3, "Ko").otherwise(F.col("lang"))
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", asked.alias("asked"))
     return languages.looked_up(rows, "asked").select("doc_id", F.col("code"), F.when(F.col("code").isNotNull(), F.col("rtl")).alias("rtl"))
+
+
+@query(with_views(_F + """, held as (select distinct folder as name, 'f:' || folder as id, case when length(folder) % 4 <> 0 then 'old.zip' end as archive from f where length(folder) % 2 = 0),
+gained as (select distinct folder from f where page_id % 3 = 0 and not ends_with(path, '.txt'))
+select g.folder as name, coalesce(h.id, 'new:' || g.folder) as id, coalesce(h.archive, g.folder || '.cbz') as archive, h.id is null as is_new from gained g left join held h on h.name = g.folder""", "files"))
+def archive_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives named like folders: some folders are there, with or without an archive of their own."""
+    rows = _files(spark, sf_dir)
+    names = rows.select(F.col("folder").alias("name")).distinct()
+    size = F.length("name")
+    held = names.where(size % 2 == 0).select("name", F.concat(F.lit("f:"), "name").alias("id"), F.when(size % 4 != 0, "old.zip").alias("archive"))
+    archives = names.select("name", F.concat("name", F.lit(".cbz")).alias("archive"))
+    return gl.folders_for(archives, held, rows.where((F.col("page_id") % 3 == 0) & ~F.endswith("path", F.lit(".txt"))))
+
+
+@query(with_views("select page_id, path from files where page_id % 5 = 0", "files"))
+def root_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gallery's root shows: pages that are in no folder."""
+    rows = _files(spark, sf_dir).withColumn("folder", F.when(F.col("page_id") % 5 != 0, F.col("folder")))
+    return gl.view(rows, None).select("page_id", "path")
+
+
+@query(with_views(_F + "select distinct folder as name, length(folder) % 3 = 0 as manual from f where length(folder) % 3 = 0 or folder in (select folder from f where page_id % 40 = 0)", "files"))
+def folders_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders after most pages are deleted: those with a page left, and those made by hand."""
+    rows = _files(spark, sf_dir)
+    folders = rows.select(F.col("folder").alias("name"), (F.length("folder") % 3 == 0).alias("manual")).distinct()
+    return gl.without_empty_folders(folders, rows.where("page_id % 40 = 0"))
