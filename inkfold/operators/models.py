@@ -10,10 +10,13 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.functions import raster
+
 Reply = dict
 
 
@@ -62,6 +65,55 @@ def read(crops: DataFrame, make: Callable[[], Reader], least: int = 4) -> DataFr
     return crops.select("page_id", "ord", "w", "h", "data", "language").mapInPandas(run, "page_id long, ord int, text string")
 
 
+def read_slices(crops: DataFrame, make: Callable[[str], Callable[[np.ndarray], str]], whole: tuple[str, ...], unspaced: tuple[str, ...]) -> DataFrame:
+    """(page_id, ord, text): crops (grey, ink: arrays of h rows of w) read line by line.
+
+    Languages in `whole` are read in one piece, others slice by slice, joined by blanks unless in `unspaced`. A task
+    makes a language's model when it first meets it, once.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models: dict[str, Callable[[np.ndarray], str]] = {}
+        for frame in frames:
+            texts = []
+            for w, h, grey, ink, language in zip(frame["w"], frame["h"], frame["grey"], frame["ink"], frame["language"]):
+                if language not in models:
+                    models[language] = make(language)
+                image = np.reshape(grey, (h, w))
+                parts = [(0, 0, w, h)] if language in whole else raster.slices(np.reshape(ink, (h, w)))
+                read_parts = [models[language](image[y0:y1, x0:x1]).strip() for x0, y0, x1, y1 in parts]
+                texts.append(("" if language in unspaced else " ").join(x for x in read_parts if x))
+            yield frame[["page_id", "ord"]].assign(text=texts)
+
+    return crops.select("page_id", "ord", "w", "h", "grey", "ink", "language").mapInPandas(run, "page_id long, ord int, text string")
+
+
+def segmented(pages: DataFrame, make: Callable[[], Callable[[bytes], list[np.ndarray]]], grow: int = 4) -> DataFrame:
+    """(page_id, mask, ink, why): the ink of pages (page_id, width, height, data) as PNG masks and how many pixels it has.
+
+    Of a model's outputs the one shaped like a square map of one value a pixel is the map of probabilities, over the
+    page with its longer side to the map's. A page that fails gives the reason.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            rows = []
+            for page_id, w, h, data in zip(frame["page_id"], frame["width"], frame["height"], frame["data"]):
+                try:
+                    maps = [x.squeeze() for x in model(bytes(data))]
+                    chosen = [x for x in maps if x.ndim == 2 and x.shape[0] == x.shape[1] > 1]
+                    if not chosen:
+                        raise ValueError("no map")
+                    mask = raster.page_mask(chosen[0], int(h), int(w), grow)
+                    rows.append((page_id, raster.png(mask), int((mask > 0).sum()), None))
+                except Exception as e:  # noqa: BLE001  the reason is the result
+                    rows.append((page_id, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["page_id", "mask", "ink", "why"]).astype({"ink": "Int64"})
+
+    return pages.select("page_id", "width", "height", "data").mapInPandas(run, "page_id long, mask binary, ink long, why string")
+
+
 def _list(reply: str, key: str, wanted: int) -> list[str] | None:
     try:
         found = json.loads(reply[reply.index("{") : reply.rindex("}") + 1])[key]
@@ -70,19 +122,26 @@ def _list(reply: str, key: str, wanted: int) -> list[str] | None:
     return [str(x) for x in found] if isinstance(found, list) and len(found) == wanted else None
 
 
+def _asked(lines: list[str], ask: Asker) -> tuple[list[str], list[str]]:
+    """A text for each line and all replies: asked once, once more with its reply and a complaint, then line by line."""
+    request, replies = {"lines": lines}, []
+
+    def told(more: dict, wanted: int) -> list[str] | None:
+        replies.append(ask(request | more))
+        return _list(replies[-1], "translations", wanted)
+
+    got = told({}, len(lines))
+    if got is None:
+        got = told({"before": replies[-1], "complaint": f"{len(lines)} are wanted"}, len(lines))
+    if got is None:
+        got = [(told({"lines": [line]}, 1) or [""])[0] for line in lines]
+    return got, replies
+
+
 def answers(lines: list[str], ask: Asker) -> tuple[list[str], int]:
-    """A text for each line and how often the model was asked: once, once more with a complaint, then line by line."""
-    request = {"lines": lines}
-    reply = ask(request)
-    got = _list(reply, "translations", len(lines))
-    if got is not None:
-        return got, 1
-    reply = ask(request | {"before": reply, "complaint": f"{len(lines)} are wanted"})
-    got = _list(reply, "translations", len(lines))
-    if got is not None:
-        return got, 2
-    single = [_list(ask({"lines": [line]}), "translations", 1) for line in lines]
-    return [s[0] if s else "" for s in single], 2 + len(lines)
+    """A text for each line and how often the model was asked."""
+    got, replies = _asked(lines, ask)
+    return got, len(replies)
 
 
 def _runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -93,7 +152,7 @@ def _runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
 
 
 def translated(asked: DataFrame, make: Callable[[], Asker]) -> DataFrame:
-    """(page_id, n, answer, asks) for lines as asked_once gives them: (page_id, n, text).
+    """(page_id, n, answer, asks, terms, scene) for lines as asked_once gives them: (page_id, n, text).
 
     A request is one page's distinct lines. A task makes its model once and takes one page after the other.
     """
@@ -111,11 +170,14 @@ def translated(asked: DataFrame, make: Callable[[], Asker]) -> DataFrame:
             yield told(held, ask)
 
     def told(page: pd.DataFrame, ask: Asker) -> pd.DataFrame:
-        texts, asks = answers(page["text"].tolist(), ask)
-        return pd.DataFrame({"page_id": page["page_id"], "n": page["n"], "answer": texts, "asks": asks})
+        texts, replies = _asked(page["text"].tolist(), ask)
+        # terms and scene are those of the first reply that had any
+        terms, scene = next(filter(None, map(_terms, replies)), []), next(filter(None, map(_scene, replies)), "")
+        sources = json.dumps([source for source, _ in terms], ensure_ascii=False)
+        return pd.DataFrame({"page_id": page["page_id"], "n": page["n"], "answer": texts, "asks": len(replies), "terms": sources, "scene": scene})
 
     pages = asked.select("page_id", "n", "text").repartition("page_id").sortWithinPartitions("page_id", "n")
-    return pages.mapInPandas(run, "page_id long, n int, answer string, asks int")
+    return pages.mapInPandas(run, "page_id long, n int, answer string, asks int, terms string, scene string")
 
 
 def surveyed(windows: DataFrame, make: Callable[[], Asker]) -> DataFrame:
@@ -152,7 +214,10 @@ def surveyed(windows: DataFrame, make: Callable[[], Asker]) -> DataFrame:
 
 
 def fake_asker() -> Asker:
-    """Answers each line in angle brackets. It drops a line of requests of 3, 6, 9... lines until told, and of 10, 20... lines always."""
+    """Answers each line in angle brackets. It drops a line of requests of 3, 6, 9... lines until told, and of 10, 20... lines always.
+
+    A first request of an even number of lines gets a term, a complaint another, each with a scene.
+    """
 
     def ask(request: dict) -> str:
         if "pages" in request:
@@ -160,7 +225,9 @@ def fake_asker() -> Asker:
         lines = [f"<{x}>" for x in request["lines"]]
         n = len(lines)
         short = n > 1 and (n % 10 == 0 or (n % 3 == 0 and "complaint" not in request))
-        return "Sure: " + json.dumps({"translations": lines[: n - 1] if short else lines})
+        told = "again" if "complaint" in request else "first" if n % 2 == 0 else ""
+        more = {"terms": [{"source": told, "target": "t"}], "story": {"scene": f" {told} "}} if told else {}
+        return "Sure: " + json.dumps({"translations": lines[: n - 1] if short else lines} | more)
 
     return ask
 
@@ -181,6 +248,25 @@ def fake_reader() -> Reader:
     return lambda crop, language: f"{language} {len(crop)}"
 
 
+def fake_slice_reader(language: str) -> Callable[[np.ndarray], str]:
+    """Tells the language and the size of what it was given."""
+    return lambda image: f" {language}{image.shape[1]}x{image.shape[0]} "
+
+
+def fake_segmenter(side: int = 64) -> Callable[[bytes], list[np.ndarray]]:
+    """Ink in the upper quarter of the map for pages of even length, else none; empty pages give no map."""
+
+    def segment(page: bytes) -> list[np.ndarray]:
+        box = np.zeros((1, 5), np.float32)
+        if not page:
+            return [box]
+        found = np.zeros((1, 1, side, side), np.float32)
+        found[..., : side // 4, :] = 0.9 if len(page) % 2 == 0 else 0.1
+        return [box, found]
+
+    return segment
+
+
 def carried(pages: DataFrame, make: Callable[[], Asker], most: int = 40) -> DataFrame:
     """(chapter, page_no, answer, known, scene): pages in order, each told the terms and the scene that earlier pages gave.
 

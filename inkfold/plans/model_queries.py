@@ -23,9 +23,10 @@ def _scratch(spark: SparkSession) -> str:
 
 @query(with_views("""with u as (select page_id, text, min(ord) as o from lines where trim(text, ' ' || chr(9) || chr(13)) <> '' group by 1, 2),
 a as (select page_id, text, row_number() over (partition by page_id order by o)::int as n, count(*) over (partition by page_id) as wanted from u)
-select page_id, n, '<' || text || '>' as answer, case when wanted = 1 then 1 when wanted % 10 = 0 then 2 + wanted when wanted % 3 = 0 then 2 else 1 end::int as asks from a""", "lines"))
+select page_id, n, '<' || text || '>' as answer, case when wanted = 1 then 1 when wanted % 10 = 0 then 2 + wanted when wanted % 3 = 0 then 2 else 1 end::int as asks,
+  case when wanted % 2 = 0 then '["first"]' when wanted % 3 = 0 then '["again"]' else '[]' end as terms, case when wanted % 2 = 0 then 'first' when wanted % 3 = 0 then 'again' else '' end as scene from a""", "lines"))
 def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct lines of a page through a fake model that miscounts: asked again, then line by line."""
+    """Distinct lines of a page through a fake model that miscounts: asked again, then line by line; the first terms and scene stay."""
     asked = ln.asked_once(ln.not_blank(lines(spark, sf_dir)).withColumn("kind", F.lit("")))
     return models.translated(asked, models.fake_asker)
 
@@ -68,6 +69,31 @@ def read_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.read(crops, models.fake_reader)
 
 
+@query("""select page_id, case when page_id % 10 = 0 then null when strlen(html) % 2 = 0 then 200 * (50 + 3) else 0 end as ink, case when page_id % 10 = 0 then 'no map' end as why from pages""")
+def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink masks of pages twice as wide as high: the map covers them with its upper half, and the ink in it grows by a pixel of the map."""
+    data = F.when(F.col("page_id") % 10 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lit(200).alias("width"), F.lit(100).alias("height"), data.alias("data"))
+    return models.segmented(pages, models.fake_segmenter, grow=1).select("page_id", "ink", "why")
+
+
+@query(with_views("""with ink as (select vec_id, i % 8 as x, i // 8 as y from tiles where grey > 128), box as (select vec_id, max(y) - min(y) > max(x) - min(x) as upright from ink group by 1),
+used as (select distinct vec_id, upright, case when upright then x else y end as p from ink join box using (vec_id)),
+islands as (select *, p - row_number() over (partition by vec_id order by p) as island from used),
+runs as (select vec_id, upright, min(p) as a, count(*) as n from islands group by vec_id, upright, island having count(*) >= 3),
+every as (select distinct vec_id, ['ja', 'en', 'zh'][vec_id % 3 + 1] as lang from tiles),
+parts as (select vec_id, string_agg(n || case when upright then 'x8' else '' end, '/' order by case when upright then -a else a end) as sizes, any_value(upright) as upright from runs group by 1)
+select e.vec_id as page_id, 0 as ord, case when lang = 'ja' then 'ja8x8' else coalesce(replace(lang || case when upright then '' else '8x' end || sizes, '/', case when lang = 'zh' then '' else ' ' end || lang || case when upright then '' else '8x' end), lang || '8x8') end as text
+from every e left join parts p on e.vec_id = p.vec_id""", "tiles"))
+def read_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles read as a whole or by their lines of ink, by language."""
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + x * 400))).cast("int"))
+    language = F.element_at(F.array(*map(F.lit, ("ja", "en", "zh"))), (F.col("vec_id") % 3 + 1).cast("int"))
+    crops = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("page_id"), F.lit(0).alias("ord"), F.lit(8).alias("w"), F.lit(8).alias("h"), grey.alias("grey"), language.alias("language"))
+    crops = crops.withColumn("ink", F.transform("grey", lambda g: (g > 128).cast("int")))
+    return models.read_slices(crops, models.fake_slice_reader, ("ja",), ("zh",))
+
+
 @query(with_views("""with f as (select page_id, regexp_extract(path, '^([^/]*)/', 1) as folder, regexp_extract(path, '[^/]*$', 0) as name, path from files),
 u as (select folder, page_id, path, case when n = 1 then name else regexp_replace(name, '\\.[^.]+$', '') || ' (' || n || ')' || regexp_extract(name, '\\.[^.]+$', 0) end as name
   from (select *, row_number() over (partition by folder, name order by page_id) as n from f))
