@@ -154,3 +154,22 @@ def test_blocks_split_at_wide_blanks_only():
     assert len(split_blocks(grid(4, 6, gap=(8, 30)), 20)) == 2  # staggered
     assert split_blocks(np.zeros((5, 5)), 20) == []
     assert (strokes((20, 20), [(5, 5)], 2) > 0).sum() == 13 and (strokes((20, 20), [(5, 5), (10, 5)], 0.5) > 0).sum() == 6
+
+
+def test_coarse_search_stays_inside_and_holds_the_block():
+    rng = np.random.RandomState(5)
+    for _ in range(20):
+        mask = np.where(rng.rand(300, 420) < 0.999, 255, 0).astype(np.uint8)
+        y, x = rng.randint(20, 240), rng.randint(20, 360)
+        block = (x, y, x + 9, y + 7)
+        mask[y - 6 : y + 16, x - 6 : x + 18] = 255
+        got, exact = raster.holding(mask, block), raster.holding(mask, block, grid=1000)
+        for x0, y0, x1, y1 in (got, exact):
+            assert mask[y0:y1, x0:x1].all() and x0 <= block[0] and y0 <= block[1] and x1 >= block[2] and y1 >= block[3]
+        area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        assert area(exact) >= area(got)
+
+
+def test_first_of_equal_rectangles_in_reading_order():
+    mask = raster.rasterised((9, 9), [(3, 0, 6, 9), (0, 3, 9, 6)])
+    assert raster.holding(mask, (4, 4, 5, 5)) == (3, 0, 6, 9)
