@@ -102,14 +102,17 @@ def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
   select w.vec_id, t.i, w.root from walk w join tiles t on w.vec_id = t.vec_id and t.grey > 150 and abs(t.i % 8 - w.i % 8) <= 1 and abs(t.i // 8 - w.i // 8) <= 1)
 select vec_id, i, dense_rank() over (partition by vec_id order by root)::int as component from (select vec_id, i, min(root) as root from walk group by 1, 2)""", "tiles"))
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiles of a batch are labelled at once, as one column of tiles with blank rows between them."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for vec, grey in zip(frame["vec_id"], frame["grey"]):
-                labels = raster.labelled((np.reshape(grey, (SIDE, SIDE)) > 150).astype(np.uint8))[0].ravel()
-                at = np.flatnonzero(labels)
-                out.append(pd.DataFrame({"vec_id": vec, "i": at.astype(np.int32), "component": labels[at]}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"vec_id": [], "i": [], "component": []})
+            n = len(frame)
+            stack = np.zeros((n, SIDE + 1, SIDE), np.uint8)
+            stack[:, :SIDE] = np.array(frame["grey"].tolist()).reshape(n, SIDE, SIDE) > 150
+            labels = raster.labelled(stack.reshape(-1, SIDE))[0].reshape(n, -1)[:, : SIDE * SIDE]
+            first = np.where(labels > 0, labels, np.iinfo(np.int32).max).min(1)
+            tile, at = np.nonzero(labels)
+            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[tile], "i": at.astype(np.int32), "component": labels[tile, at] - first[tile] + 1})
 
     return _grids(spark, sf_dir).mapInPandas(run, "vec_id long, i int, component int")
 
