@@ -86,3 +86,20 @@ def test_head_grows_with_the_vocabulary():
     assert lm.head_shape(0) == lm.head_shape(1 << 18) == (2048, 32)
     heads = [lm.head_shape(10**k)[0] for k in range(6, 10)]
     assert all(3 * a < b < 4 * a for a, b in zip(heads, heads[1:])) and heads[-1] < lm.COMMON
+
+
+def test_words_tied_at_the_top_and_very_long_texts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[k::7]) + " " + " ".join(words[k::7])) for i, k in enumerate(range(7))] + [(50, "w1 " * 40_000)]
+    docs = spark.createDataFrame(rows[:7], "doc_id long, text string")
+    monkeypatch.setattr(lm, "COMMON", 200)
+    top = lm.commonest(lm.word_counts(docs).where("c = 2"), 200).count()
+    assert 100 < top <= 200
+    for some in (docs, spark.createDataFrame(rows, "doc_id long, text string")):
+        got = lm.score(some, head=64, held_out=(10**9, 10**9 - 1), rounds=1).collect()
+        c = collections.Counter(w for _, t in rows[: len(got)] for w in [*t.encode().lower().split(), 0])
+        n, v = sum(c.values()), len(c)
+        for r in got:
+            text = [*dict(rows)[r.doc_id].encode().lower().split(), 0]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(text), len(text), n) and math.isfinite(r.score)
+            assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in text)) < 1e-6 * len(text)
