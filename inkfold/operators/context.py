@@ -18,8 +18,8 @@ def around(pages: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFr
     A blank beat is left out but its page keeps its place; the page itself has an arrow; pages count from 1.
     """
     near = Window.partitionBy("chapter").orderBy("page_no").rowsBetween(-before, after)
-    seen = F.collect_list(F.struct("page_no", t.cut(F.col("beat"), BEAT).alias("beat"))).over(near)
-    rows = pages.withColumn("seen", seen)
+    # cut before the window, which would cut a page's text again for every page that sees it
+    rows = pages.withColumn("seen", F.struct("page_no", t.cut(F.col("beat"), BEAT).alias("beat"))).withColumn("seen", F.collect_list("seen").over(near))
     line = F.transform(
         F.filter("seen", lambda b: b.beat != ""),
         lambda b: F.concat(F.when(b.page_no == F.col("page_no"), "→ ").otherwise("  "), (b.page_no + 1).cast("string"), F.lit(". "), b.beat),
