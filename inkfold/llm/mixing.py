@@ -43,6 +43,13 @@ class Targets:
 
     power: float = 0.95
     shares: tuple[tuple[str, dict], ...] = ()
+    #: Temper cells instead of margins: the targets are the margins of cells to the power of `power`, scaled to the given
+    #: shares (of one dimension at most), so they agree with each other even where dimensions go together, as language and topic do.
+    joint: bool = False
+
+    def __post_init__(self):
+        if self.joint and len(self.shares) > 1:
+            raise ValueError("joint targets take given shares of one dimension")
 
     def of(self, dim: str, observed: dict) -> dict:
         """The share of each observed value; they sum to 1."""
@@ -60,8 +67,8 @@ class Targets:
         return {v: raw.get(v, 0.0) / whole for v in observed}
 
 
-#: The production mix: given language shares; sources and topics tempered towards equal shares.
-MIX = Targets(0.7, (("lang", {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}),))
+#: The production mix: given language shares; sources and topics tempered a little towards equal shares.
+MIX = Targets(0.9, (("lang", {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}),), joint=True)
 
 
 def rake(table: pd.DataFrame, targets: dict[str, dict], sweeps: int = 50, tolerance: float = 1e-6) -> np.ndarray:
@@ -133,6 +140,12 @@ def cell_copies(rows: DataFrame, targets: Targets, budget: int | None = None, sm
         for d in DIMS:
             sums = table.groupby(d, dropna=False)["tokens"].sum()
             goal[d] = targets.of(d, {None if pd.isna(v) else v: float(n) for v, n in sums.items()})
+        if targets.joint:
+            weight = table["tokens"].to_numpy(np.float64) ** targets.power * (table["tokens"] > 0)
+            for d, _ in targets.shares:
+                weight = weight / weight.groupby(table[d], dropna=False).transform("sum").replace(0, 1) * [goal[d][None if pd.isna(v) else v] for v in table[d]]
+            for d in DIMS:
+                goal[d] = {None if pd.isna(v) else v: n / (weight.sum() or 1.0) for v, n in weight.groupby(table[d], dropna=False).sum().items()}
         share, tokens = rake(table, goal), table["tokens"].to_numpy(np.float64)
         per_token = np.divide(share, tokens, out=np.zeros_like(share), where=tokens > 0)
         scale = budget if budget is not None else 1 / (per_token.max(initial=0) or 1.0)
@@ -141,7 +154,7 @@ def cell_copies(rows: DataFrame, targets: Targets, budget: int | None = None, sm
         rows_out = [(*(None if pd.isna(v) else v for v in cell), float(e)) for cell, e in zip(table[list(DIMS)].itertuples(index=False), copies)]
         kinds = ", ".join(f"{d} string" for d in DIMS)
         return cells.sparkSession.createDataFrame(rows_out, f"{kinds}, expected double"), True, apart(table, share, goal) if tokens.any() else 0.0
-    goals = {d: _goals(margins[d], targets, d) for d in DIMS}
+    goals = {d: _goals(margins[d], targets, d) for d in DIMS} if not targets.joint else _joint_goals(cells, margins, targets)
     fitted = rake_by_joins(cells, goals).withColumn("per_token", F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens")))
     top = fitted.agg(F.max("per_token")).first()[0] or 1.0
     scale = float(budget) if budget is not None else 1 / top
@@ -171,6 +184,19 @@ def _goals(margin: DataFrame, targets: Targets, dim: str) -> DataFrame:
     return materialize(raw.select("value", (F.col("raw") / whole).alias("goal")), "goals")
 
 
+def _joint_goals(cells: DataFrame, margins: dict[str, DataFrame], targets: Targets) -> dict[str, DataFrame]:
+    """The targets of joint tempering as DataFrames, for cells of any number."""
+    weighed = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(targets.power))).otherwise(0.0))
+    for d, _ in targets.shares:
+        sums = weighed.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("whole"))
+        goal = _goals(margins[d], targets, d)
+        scale = sums.join(goal, sums["value"].eqNullSafe(goal["value"])).select(sums["value"], F.when(F.col("whole") > 0, F.col("goal") / F.col("whole")).otherwise(0.0).alias("scale"))
+        weighed = weighed.join(scale, weighed[d].eqNullSafe(scale["value"])).select(*DIMS, (F.col("weight") * F.col("scale")).alias("weight"))
+    weighed = materialize(weighed.select(*DIMS, "weight"), "weights")
+    whole = float(weighed.agg(F.sum("weight")).first()[0] or 1)
+    return {d: materialize(weighed.groupBy(F.col(d).alias("value")).agg((F.sum("weight") / whole).alias("goal")), "goals") for d in DIMS}
+
+
 def copies(expected: Column, doc_id: Column, seed: int) -> Column:
     """The whole part of `expected`, and one more with the probability of the rest, by hash."""
     draw = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(2**53))

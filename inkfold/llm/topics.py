@@ -23,6 +23,7 @@ from inkfold.llm.tables import hash_sample
 from inkfold.llm.words import Chunk, chunks
 
 TOPICS = 12
+LEAST = 0.02
 SAMPLE = 2048
 BUCKETS = 2048
 NONE = "none"
@@ -75,7 +76,11 @@ class Topics:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Spherical k-means of unit rows; starts are spread out, each drawn by its distance to those before it."""
+    """Spherical k-means of unit rows; starts are spread out, each drawn by its distance to those before it.
+
+    At half time centres with less than LEAST of the rows are given up, their rows go to the next: a handful of
+    odd documents is no topic.
+    """
     rng = np.random.RandomState(seed)
     centres = x[:1]
     while len(centres) < min(k, len(x)):
@@ -83,8 +88,11 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
         if far.sum() <= 1e-6:
             break
         centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum())]]])
-    for _ in range(rounds):
+    for step in range(rounds):
         own = np.argmax(x @ centres.T, 1)
+        if step == rounds // 2:
+            centres = centres[np.bincount(own, minlength=len(centres)) >= LEAST * len(x)]
+            own = np.argmax(x @ centres.T, 1)
         sums = np.stack([x[own == t].sum(0) for t in range(len(centres))])
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
         centres = np.where(size > 0, sums / np.maximum(size, 1e-9), centres)

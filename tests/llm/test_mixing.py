@@ -74,3 +74,22 @@ def test_content_topics_and_given_languages_match_brute_force_raking(spark):
     per_token = w / own.n_tokens
     assert np.allclose(own.expected, per_token / per_token.max(), atol=1e-5)
     assert got.residual.max() < 1e-5
+
+
+def test_joint_targets_agree_where_dimensions_go_together(spark):
+    rng = np.random.RandomState(5)
+    rows = []
+    for i in range(2000):
+        lang = ["en", "de"][int(i % 5 == 0)]
+        # a topic is of one language but for a few documents
+        topic = lang if rng.rand() > 0.004 else "other"
+        rows.append((i, " ".join(["w"] * int(rng.randint(20, 60))), f"s{min(3, int(rng.randint(12)))}", lang, topic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets = mixing.Targets(0.9, (("lang", {"en": 0.6, "de": 0.4}),), joint=True)
+    few, many = (mixing.plan(docs, targets, topic=F.col("topic"), small=s).toPandas().sort_values("doc_id", ignore_index=True) for s in (200_000, 2))
+    assert np.allclose(few.expected, many.expected, atol=1e-4) and few.residual.max() < 1e-5
+    fitted = (few.n_tokens * few.expected).groupby(few.lang).sum()
+    assert np.allclose(fitted / fitted.sum(), [0.4, 0.6], atol=1e-4)
+    assert few.expected.mean() > 0.25
+    with pytest.raises(ValueError):
+        mixing.Targets(0.9, (("lang", {}), ("source", {})), joint=True)
