@@ -6,15 +6,15 @@ start in [l, c] and end in [c, r]. These are the wide nodes of the Cartesian tre
 are found with sliding minima, and their bounds with a stack. Windows with the same function and smallest
 hash, in any two documents, hold subsequences that share a signature.
 
-Windows with the same hash and c are candidates only; of those in a periodic stretch the ends suffice. Copies whose surroundings of c (48 shingles on
-either side, told apart by a 64-bit hash) are equal are linked first, inside each map task and again for each
-hash; one of them goes on. Where different surroundings are left, their shingles are read from the texts and
-aligned from c to both sides, with gaps: a matched shingle counts 1, one left over in either text -4, so a
-span has a score of 0 or more just where its shingles have a Jaccard similarity of 0.8. Two windows
-are linked if such a span has `least` shingles in both. It then holds a run of 20 equal shingles, so windows are only
-compared with those of the same hash that share an anchor: a run of 17, chosen as the smallest of 4 neighbours.
-Every window meets all others of its anchors unless links have joined the two already. A link stays if
-windows of `enough` hash functions that overlap it in the document are linked too.
+Windows with the same hash and c are candidates only; of those in a periodic stretch the ends suffice. Copies
+whose surroundings of c (48 shingles on either side, told apart by a 64-bit hash) are equal are linked first,
+inside each map task and again for each hash; one of them goes on. Where different surroundings are left,
+their shingles are read from the texts and aligned from c to both sides, with gaps (see alignment.py). Two
+windows are linked if a span with a shingle similarity of 0.8 has `least` shingles in both. It then holds a
+run of 20 equal shingles, so windows are only compared with those of the same hash that share an anchor: a
+run of 17, chosen as the smallest of 4 neighbours. Every window meets all others of its anchors unless links
+have joined the two already. A link stays if windows of `enough` hash functions that overlap it in the
+document are linked too.
 
 Defined cases: null and empty texts, and texts of fewer than `least` shingles, have no windows and are
 their own class; a null doc_id keeps its row, without a class, and links nothing; rows with one doc_id are
