@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, decision_list, decontaminate, lm, mixing, passages, quality, simhash, token_files, toxicity
+from inkfold.llm import chat, decision_list, decontaminate, lm, mixing, passages, quality, simhash, token_counts, token_files, toxicity
 from inkfold.llm.tables import read, shared_dir
 
 
@@ -58,6 +58,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.union(planted)))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_lsa_decontamination": op8_lsa_decontamination,
     "op9_decision_list": op9_decision_list,
     "op10_chat_format": op10_chat_format,
+    "op12_token_counts": op12_token_counts,
     "pipeline": pipeline,
 }
 
