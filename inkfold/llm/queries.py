@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, decision_list, decontaminate, lm, mixing, passages, quality, simhash, token_counts, token_files, toxicity
+from inkfold.llm import chat, decision_list, decontaminate, lm, mixing, negatives, passages, quality, simhash, token_counts, token_files, toxicity, whitening
 from inkfold.llm.tables import read, shared_dir
 
 
@@ -58,10 +58,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.union(planted)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -77,7 +86,9 @@ QUERIES = {
     "op8_lsa_decontamination": op8_lsa_decontamination,
     "op9_decision_list": op9_decision_list,
     "op10_chat_format": op10_chat_format,
+    "op11_whitening": op11_whitening,
     "op12_token_counts": op12_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -97,5 +108,16 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(4 + length(r) + 2 + length(body) + 3 + length(r) + 5)::bigint as formatted_chars
 from parts group by conv_id
+""",
+    "op13_hard_negatives": """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, [floor(256 * c::double) for c in embedding] as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, b.label = a.label as same, list_inner_product(a.x, b.x)::bigint as score
+  from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score qualify rank <= 5
 """,
 }
