@@ -24,15 +24,14 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 65_536, 256
 #: What a worker remembers: so many pieces, none longer than this.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 800_000, 48
 
 
 @cache
@@ -118,13 +117,14 @@ class Counter:
         yield ids[first:]
 
     def _learn(self, pieces: set[str]) -> dict[str, int]:
-        """Counts of pieces; those that are met first, and so are frequent, stay in memory."""
-        fresh = iter([p for p in pieces if p not in self.memory])
-        found = {}
-        while some := list(islice(fresh, 4096)):
+        """Counts of the pieces that aren't remembered; those that are met first, and so are frequent, stay in memory."""
+        fresh = list(pieces.difference(self.memory))
+        found: dict[str, int] = {}
+        for k in range(0, len(fresh), 4096):
+            some = fresh[k : k + 4096]
             found.update(zip(some, (len(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        room = MEMORY - len(self.memory)
-        self.memory.update(islice(((p, n) for p, n in found.items() if len(p) <= LONGEST), max(0, room)))
+        if len(self.memory) + len(found) <= MEMORY:
+            self.memory.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
         return found
 
     def counts(self, texts: list[str | None]) -> list[int]:
