@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm import topics
-from inkfold.llm.tables import materialize
+from inkfold.llm.tables import free_name, materialize
 
 DIMS = ("source", "lang", "topic")
 SMALL = 200_000
@@ -226,9 +226,7 @@ def plan(docs: DataFrame, targets: Targets = Targets(), budget: int | None = Non
 
 def sampled(docs: DataFrame, targets: Targets = Targets(), budget: int | None = None, seed: int = 17, topic: Column | None = None, small: int = SMALL) -> DataFrame:
     """The rows drawn from docs, as often as they are drawn, with the columns of docs; texts aren't shuffled if cells are few."""
-    mark = "mix"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark = "_" + mark
+    mark = free_name(docs, "mix")
     names = {d: f"{mark}_own_{d}" for d in DIMS}
     own = topic if topic is not None else topics.fit(docs).of(F.col("text"))
     rows = docs.select("*", F.col("source").cast("string").alias(names["source"]), F.col("lang").cast("string").alias(names["lang"]), own.alias(names["topic"]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.boosting import Trees, fit
-from inkfold.llm.tables import id_crc, labelled_sample, sample_texts
+from inkfold.llm.tables import free_name, id_crc, labelled_sample, sample_texts
 from inkfold.llm.words import NEWLINE, Chunk, chunks, runs_of, span_hashes, spans
 
 SAMPLE = 20_000
@@ -89,9 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tu
 def scored(docs: DataFrame, trees: Trees, columns: list[str], keep: float | None = None) -> DataFrame:
     """The columns of docs with score; with keep, only the rows whose score reaches it."""
     held = docs.sparkSession.sparkContext.broadcast(trees)
-    name = "quality_score"
-    while name in docs.columns:
-        name = "_" + name
+    name = free_name(docs, "quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

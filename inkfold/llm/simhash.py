@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm.components import connected_components
-from inkfold.llm.tables import materialize
+from inkfold.llm.tables import free_name, materialize
 from inkfold.llm.words import chunks
 
 FAN = 16
@@ -260,6 +260,7 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
     three. The rows kept grow with docs, so they are dealt with the texts at every size and never broadcast.
     """
     row, order = F.xxhash64(*docs.columns), ["no_id", "doc_id", "text_hash", "row"]
+    name = free_name(docs, "row")
     # fingerprints carry the row's hash as their id
     prints = fingerprints(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), row.alias("row")).alias("doc_id"), "text"), id_type=_ROW)
     prints = materialize(prints.select("doc_id.*", "fp").withColumn("no_id", F.col("doc_id").isNull()).groupBy("fp", *order).agg(F.count("*").alias("n")), "prints")
@@ -267,8 +268,8 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
     roots = connected_components(fingerprint_links(entries, most), "a", "b")
     firsts = prints.groupBy("fp").agg(F.min(F.struct(*order, "n")).alias("first"))
     kept = firsts.join(roots, firsts.fp == roots.id, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    kept = materialize(kept.select(F.col("first.row").alias("_row"), F.col("first.n").alias("n")), "kept")
-    rows = docs.withColumn("_row", row).join(kept.select("_row").hint("shuffle_hash"), "_row", "left_semi")
+    kept = materialize(kept.select(F.col("first.row").alias(name), F.col("first.n").alias("n")), "kept")
+    rows = docs.withColumn(name, row).join(kept.select(name).hint("shuffle_hash"), name, "left_semi")
     if not kept.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["_row"])
+        rows = rows.dropDuplicates([name])
     return rows.select(docs.columns)

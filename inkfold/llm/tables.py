@@ -25,6 +25,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df begins with it; Spark's names ignore case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of an id's decimal text; held-out sets are remainders of it."""
     return F.crc32(F.col(column).cast("string"))
