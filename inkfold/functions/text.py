@@ -111,11 +111,20 @@ def is_page_entry(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Orders digits by value and letters without case or accents."""
-    plain = F.translate(F.lower(name), "àáâäãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    parts = F.regexp_extract_all(plain, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p))
-    return F.array_join(padded, "")
+    """Orders runs of digits by value, whatever their length, and letters of all scripts without case or accents.
+
+    A number has its length in front, which itself begins with a digit, so numbers keep their place between
+    punctuation and letters; the collation compares the rest.
+    """
+
+    def counted(digits: Column) -> Column:
+        own = F.regexp_replace(digits, r"^0+(?=\d)", "")
+        n = F.length(own)
+        # 1 to 8, then 90 to 98, 990 to 998 and so on: a longer one comes later
+        return F.concat(F.repeat(F.lit("9"), F.floor(n / 9).cast("int")), (n % 9).cast("string"), own)
+
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.collate(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), counted(p)).otherwise(p)), ""), "UNICODE_CI_AI")
 
 
 def bytes_text(n: Column) -> Column:

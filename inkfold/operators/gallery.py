@@ -35,9 +35,9 @@ def folders_for(archives: DataFrame, folders: DataFrame, fresh_pages: DataFrame)
     )
 
 
-def in_natural_order(files: DataFrame, group: str, path: str) -> DataFrame:
-    """Adds place, from 0: digits by value, letters without case, then the path itself."""
-    return files.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(t.natural_key(F.col(path)), path)) - 1)
+def in_natural_order(files: DataFrame, group: str, path: str, *then: str) -> DataFrame:
+    """Adds place, from 0: digits by value, letters without case or accents, then the path itself and the further columns."""
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(t.natural_key(F.col(path)), path, *then)) - 1)
 
 
 def unique_names(files: DataFrame, folder: str, name: str, order: str) -> DataFrame:

@@ -34,6 +34,13 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gl.in_natural_order(once, "folder", "path").select("page_id", "place")
 
 
+@query(with_views(_F + """, k as (select *, lower(regexp_extract(name, '^\\D*')) as before, ltrim(regexp_extract(name, '\\d+'), '0') as digits, lower(regexp_replace(name, '^\\D*\\d*', '')) as after from f)
+select page_id, (row_number() over (partition by folder order by before || case when regexp_matches(name, '\\d') then lpad(greatest(1, length(digits))::varchar, 3, '0') || case when digits = '' then '0' else digits end else '' end || after, path, page_id) - 1)::int as place from k""", "files"))
+def natural_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of a folder in natural order, those without a number and those of one name too."""
+    return gl.in_natural_order(_files(spark, sf_dir), "folder", "name", "path", "page_id").select("page_id", "place")
+
+
 @query(with_views(_F + "select page_id, name, case when n = 1 then name else regexp_replace(name, '\\.[^.]+$', '') || ' (' || n || ')' || regexp_extract(name, '\\.[^.]+$', 0) end as unique_name from (select *, row_number() over (partition by folder, name order by page_id) as n from f)", "files"))
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gl.unique_names(_files(spark, sf_dir), "folder", "name", "page_id").select("page_id", "name", "unique_name")

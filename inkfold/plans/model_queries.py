@@ -100,9 +100,10 @@ u as (select folder, page_id, path, case when n = 1 then name else regexp_replac
 select folder as archive, name, case lower(regexp_extract(name, '\\.[^.]+$', 0)) when '.png' then 'image/png' when '.jpg' then 'image/jpeg' else 'image/webp' end as type, length(path)::int as size from u where not ends_with(name, '.txt') and not starts_with(name, '.')""", "files"))
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders packed into archives and read back: page images only, under names that don't clash."""
-    own = files(spark, sf_dir).select(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), t.base_name(F.col("path")).alias("name"), F.col("page_id").alias("place"), F.col("path").cast("binary").alias("data"))
-    packed = archive.packed(own).withColumnRenamed("folder", "archive")
-    return archive.pages(packed).select("archive", "name", "type", F.length("data").alias("size"))
+    own = files(spark, sf_dir).select(F.concat(F.regexp_extract("path", "^([^/]*)/", 1), F.lit(".zip")).alias("archive"), t.base_name(F.col("path")).alias("name"), F.col("page_id").alias("place"), F.col("path").cast("binary").alias("data"))
+    folder = _scratch(spark)
+    archive.pack(own, folder)
+    return archive.pages(spark, folder).select(F.regexp_replace("archive", r"\.zip$", "").alias("archive"), "name", "type", F.length("data").alias("size"))
 
 
 @query(with_views("""with f as (select chapter, name, min(seq) as first_seq, coalesce(arg_max(gender, seq) filter (gender <> 'unknown'), 'unknown') as gender,

@@ -1,64 +1,41 @@
-"""Archives of pages (zip and cbz) as a source and a sink."""
+"""Archives of pages (zip and cbz), by the data source: pages in natural order, and folders packed into archives."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as t
 from inkfold.operators.gallery import in_natural_order, unique_names
+from inkfold.sources.page_archives import register
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, content) of every archive file below path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(t.is_archive(F.col("path"), F.lit(None).cast("string"))).select(t.base_name(F.col("path")).alias("archive"), "content")
-
-
-def entry_paths(packed: DataFrame) -> DataFrame:
-    """(archive, path) of every entry, from the directories alone."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            names = [(a, n) for a, c in zip(frame["archive"], frame["content"]) for n in zipfile.ZipFile(io.BytesIO(c)).namelist()]
-            yield pd.DataFrame(names, columns=["archive", "path"])
-
-    return packed.select("archive", "content").mapInPandas(run, "archive string, path string")
+def entries(spark: SparkSession, path: str, columns: str = "archive string, path string, size long, why string", **options: str) -> DataFrame:
+    """Page entries below path, from the directories alone unless `data` or `head` is among the columns."""
+    register(spark)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("page_archive").schema(columns).options(**{"push_filters": push} | options).load(path)
 
 
-def pages(packed: DataFrame) -> DataFrame:
-    """(archive, place, name, type, data) of the page images; only they are unpacked, and places follow the natural order of their paths."""
-    wanted = in_natural_order(entry_paths(packed).where(t.is_page_entry(F.col("path"))), "archive", "path")
-    listed = wanted.groupBy("archive").agg(F.collect_list(F.struct("place", "path")).alias("wanted"))
+def pages(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(archive, place, name, type, data) of the page images; places follow the natural order of their paths.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content, entries in zip(frame["archive"], frame["content"], frame["wanted"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [(archive, e["place"], e["path"], z.read(e["path"])) for e in entries]
-                yield pd.DataFrame(rows, columns=["archive", "place", "path", "data"])
-
-    out = packed.join(listed, "archive").select("archive", "content", "wanted").mapInPandas(run, "archive string, place int, path string, data binary")
-    return out.select("archive", "place", t.base_name(F.col("path")).alias("name"), t.image_type(F.col("path")).alias("type"), "data")
+    Places come from the directories, so ordering doesn't move page bytes unless there are very many pages.
+    """
+    listed = entries(spark, path, "archive string, path string", **options).where("path is not null")
+    placed = in_natural_order(listed, "archive", "path")
+    found = entries(spark, path, "archive string, path string, data binary, why string", **options).where("path is not null and why is null")
+    return found.join(placed, ["archive", "path"]).select("archive", "place", t.base_name(F.col("path")).alias("name"), t.image_type(F.col("path")).alias("type"), "data")
 
 
-def packed(files: DataFrame, folder: str = "folder", name: str = "name", order: str = "place", data: str = "data") -> DataFrame:
-    """(folder, content): each folder's files, stored without compression under names that don't clash.
+def pack(files: DataFrame, path: str, archive: str = "archive", name: str = "name", order: str = "place", data: str = "data", mode: str = "append", spread: bool = False) -> None:
+    """Writes each archive's files, stored without compression in their order under names that don't clash, below path.
 
-    An archive is one value, so a group is one archive's files.
+    A task streams the files of its archives, one after the other. spread: an archive may be dealt over several
+    tasks; its parts are then put together by the commit, which copies their bytes.
     """
-    named = files.join(unique_names(files.select(folder, name, order), folder, name, order).select(folder, order, "unique_name"), [folder, order])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for _, row in group.sort_values(order).iterrows():
-                z.writestr(zipfile.ZipInfo(row["unique_name"]), bytes(row[data]))
-        return pd.DataFrame({folder: [group[folder].iloc[0]], "content": [out.getvalue()]})
-
-    return named.groupBy(folder).applyInPandas(run, f"{folder} string, content binary")
+    register(files.sparkSession)
+    names = unique_names(files.select(archive, name, order), archive, name, order).select(archive, order, "unique_name")
+    rows = files.join(names, [archive, order]).select(F.col(archive).alias("archive"), F.col("unique_name").alias("path"), F.col(order).alias("place"), F.col(data).alias("data"))
+    dealt = rows.repartitionByRange("archive", "place") if spread else rows.repartition("archive")
+    dealt.sortWithinPartitions("archive", "place").write.format("page_archive").mode(mode).save(path)

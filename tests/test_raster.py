@@ -118,9 +118,8 @@ def test_mask_uses_alpha_only_if_it_says_something():
 
 def test_archives_round_trip(spark, tmp_path):
     rows = [("f", i, n, n.encode()) for i, n in enumerate(["p10.png", "p2.png", "p2.png", "__MACOSX/x.png", ".hid.png", "n.txt"])]
-    packed = archive.packed(spark.createDataFrame(rows, "folder string, place int, name string, data binary"))
-    (tmp_path / "f.CBZ").write_bytes(bytes(packed.first().content))
-    got = archive.pages(archive.archives(spark, str(tmp_path))).orderBy("place").collect()
+    archive.pack(spark.createDataFrame([("f.CBZ", *r[1:]) for r in rows], "archive string, place int, name string, data binary"), str(tmp_path))
+    got = archive.pages(spark, str(tmp_path)).orderBy("place").collect()
     assert [(r.archive, r.name, bytes(r.data)) for r in got] == [("f.CBZ", "p2 (2).png", b"p2.png"), ("f.CBZ", "p2.png", b"p2.png"), ("f.CBZ", "p10.png", b"p10.png")]
 
 
