@@ -105,6 +105,51 @@ def corrected(people: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select(people.columns)
 
 
+#: The facts of a person and what each says if it says nothing.
+FACTS = {"gender": "unknown", "note": ""}
+
+
+def as_events(news: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """News (chapter, seq, name, gender, note) and edits (chapter, seq, name, fact, value) as one relation, batch or stream."""
+    told = news.select("chapter", "seq", "name", "gender", "note", F.lit(None).cast("string").alias("fact"), F.lit(None).cast("string").alias("value"))
+    if edits is None:
+        return told
+    none = F.lit(None).cast("string")
+    return told.unionByName(edits.select("chapter", "seq", "name", none.alias("gender"), none.alias("note"), "fact", "value"))
+
+
+def facts(events: DataFrame) -> DataFrame:
+    """What has to be kept of each chapter and name, as an aggregate that doesn't depend on the order of arrival.
+
+    That is where the name came first, and of each fact the last news that said something and the last edit.
+    Blank names are nobody's. Equal sequence numbers: an edit comes after news, else the greater value.
+    """
+    by_hand = F.col("fact").isNotNull()
+    last = lambda value, when: F.max(F.when(when, F.struct(F.col("seq").alias("seq"), value.alias("value"))))
+    kept = [F.min("seq").alias("first_seq")]
+    for fact, nothing in FACTS.items():
+        said = F.coalesce(fact, F.lit(nothing))
+        kept += [last(said, ~by_hand & (said != nothing)).alias(f"{fact}_said"), last(F.coalesce("value", F.lit("")), F.col("fact") == fact).alias(f"{fact}_set")]
+    return events.where(~t.blank(F.col("name"))).groupBy("chapter", "name").agg(*kept)
+
+
+def settled_cast(kept: DataFrame, most: int = CAST) -> DataFrame:
+    """The cast that a fold of all events in order gives: chapter, name, gender, note, settled, place.
+
+    People come by their first event, told or set by hand, `most` at most. An edit settles its fact: no news overwrites
+    it. A blank edit (`unknown` for a gender) clears the fact and unsettles it, so later news counts again.
+    """
+    values, settled = [], []
+    for fact, nothing in FACTS.items():
+        said, edit = F.col(f"{fact}_said"), F.col(f"{fact}_set")
+        cleared = t.blank(edit.value) | (edit.value == nothing)
+        values.append(F.when(edit.isNotNull() & ~cleared, edit.value).when(edit.isNull() | (said.seq > edit.seq), F.coalesce(said.value, F.lit(nothing))).otherwise(nothing).alias(fact))
+        settled.append(F.when(edit.isNotNull() & ~cleared, fact))
+    place = F.row_number().over(Window.partitionBy("chapter").orderBy("first_seq", "name"))
+    people = kept.select("chapter", "name", *values, F.array_compact(F.array(*settled)).alias("settled"), place.alias("place"))
+    return people.where(F.col("place") <= most)
+
+
 def still_unknown(people: DataFrame, most: int = CAST) -> DataFrame:
     """`Still unknown: a, b.` for the first `most` people without a gender; nothing if there are none."""
     open_ = (F.col("gender") == "unknown") & (F.col("place") <= most) & ~t.blank(F.col("name"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as t
-from inkfold.operators import context, lines as ln, models
+from inkfold.operators import context, folds, lines as ln, models
 from inkfold.plans.registry import query
 from inkfold.sources import archive
 from inkfold.sources.views import chapter_pages, files, lines, mentions, with_views
-from inkfold.streaming import chapters
+from inkfold.streaming import chapters, ingest
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -113,19 +113,81 @@ select chapter, name, gender, note, place from people where place <= 12""", "men
 def streamed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cast of each chapter, kept as state while its mentions come in by two batches; the second goes on from the checkpoint of the first."""
     folder = _scratch(spark)
-    rows = mentions(spark, sf_dir)
+    rows = folds.as_events(mentions(spark, sf_dir))
+    for some in (rows.where("seq < 20"), rows.where("seq >= 20")):
+        some.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        chapters.keep(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return chapters.kept(spark, f"{folder}/out").select("chapter", "name", "gender", "note", "place")
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections by hand that stand between mentions: genders and notes set, cleared, and people who are never mentioned."""
+    e = mentions(spark, sf_dir).where("seq % 3 = 0")
+    gender = F.col("seq") % 2 == 0
+    value = F.when(F.col("seq") % 9 == 0, F.when(gender, "unknown").otherwise(" ")).when(gender, "other").otherwise(F.concat(F.lit("by hand "), F.col("seq").cast("string")))
+    name = F.when(F.col("seq") % 15 == 0, F.concat(F.lit("hand"), (F.col("seq") % 4).cast("string"))).otherwise(F.col("name"))
+    return e.select("chapter", (F.col("seq") * 2 + 1).alias("seq"), name.alias("name"), F.when(gender, "gender").otherwise("note").alias("fact"), value.alias("value"))
+
+
+_CORRECTED = """with e as (select chapter, seq * 2 as seq, name, gender, note, null as fact, null as value from mentions union all
+  select chapter, seq * 2 + 1, case when seq % 15 = 0 then 'hand' || (seq % 4) else name end, null, null, case when seq % 2 = 0 then 'gender' else 'note' end,
+    case when seq % 9 = 0 then case when seq % 2 = 0 then 'unknown' else ' ' end when seq % 2 = 0 then 'other' else 'by hand ' || seq end from mentions where seq % 3 = 0),
+f as (select chapter, name, min(seq) as first_seq,
+  arg_max(gender, seq) filter (gender <> 'unknown') as gs, max(seq) filter (gender <> 'unknown') as gs_at, arg_max(value, seq) filter (fact = 'gender') as ge, max(seq) filter (fact = 'gender') as ge_at,
+  arg_max(note, seq) filter (note <> '') as ns, max(seq) filter (note <> '') as ns_at, arg_max(value, seq) filter (fact = 'note') as ne, max(seq) filter (fact = 'note') as ne_at from e group by 1, 2),
+p as (select *, row_number() over (partition by chapter order by first_seq, name)::int as place from f)
+select chapter, name, place, case when ge <> 'unknown' then ge when ge is null or gs_at > ge_at then coalesce(gs, 'unknown') else 'unknown' end as gender,
+  case when trim(ne) <> '' then ne when ne is null or ns_at > ne_at then coalesce(ns, '') else '' end as note,
+  concat_ws(',', case when ge <> 'unknown' then 'gender' end, case when trim(ne) <> '' then 'note' end) as settled from p where place <= 12"""
+
+
+def _corrected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.as_events(mentions(spark, sf_dir).withColumn("seq", F.col("seq") * 2), _edits(spark, sf_dir))
+
+
+@query(with_views(_CORRECTED, "mentions"))
+def corrected_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions and corrections in order: settled facts stand, cleared ones are open again, people come in by hand too."""
+    return folds.settled_cast(folds.facts(_corrected_events(spark, sf_dir))).withColumn("settled", F.array_join("settled", ","))
+
+
+@query(with_views(_CORRECTED, "mentions"))
+def streamed_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two streams into one state, over three runs from one checkpoint: corrections come before, among and long after what they correct."""
+    folder = _scratch(spark)
+    news = mentions(spark, sf_dir).withColumn("seq", F.col("seq") * 2)
+    edits = _edits(spark, sf_dir)
+    parts = [(news.where("seq >= 40"), edits.where("seq < 20")), (news.where("seq < 10"), edits.where("seq >= 60")), (news.where("seq >= 10 and seq < 40"), edits.where("seq >= 20 and seq < 60"))]
+    for some_news, some_edits in parts:
+        some_news.write.mode("append").parquet(f"{folder}/news")
+        some_edits.write.mode("append").parquet(f"{folder}/edits")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{folder}/{name}") for name, df in (("news", news), ("edits", edits))]
+        chapters.keep(folds.as_events(*streams), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return chapters.kept(spark, f"{folder}/out").withColumn("settled", F.array_join("settled", ","))
+
+
+@query(with_views("""with f as (select page_id, regexp_extract(path, '[^/]*$', 0) as name, regexp_extract(path, '^([^/]*)/', 1) as folder, path from files),
+k as (select *, folder || ':' || name as fingerprint, not ends_with(name, '.txt') as is_image from f),
+s as (select folder, case when not is_image then 'rejected' when fingerprint in (select fingerprint from k where page_id % 3 = 0) then 'duplicate'
+  when row_number() over (partition by fingerprint order by page_id) > 1 then 'duplicate' else 'fresh' end as state from k where page_id % 3 <> 0)
+select folder, state, count(*) as n from s group by 1, 2""", "files"))
+def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that come in by three batches, with a restart after each, against a library: fresh, repeated and rejected ones."""
+    folder = _scratch(spark)
+    path = F.col("path")
+    all_files = files(spark, sf_dir).select("page_id", F.regexp_extract(path, "^([^/]*)/", 1).alias("folder"), t.base_name(path).alias("name"), F.when(t.image_type(path).isNull(), "rejected").alias("state"))
+    all_files = all_files.withColumn("fingerprint", F.concat_ws(":", "folder", "name"))
+    incoming = all_files.where("page_id % 3 <> 0")
     # a session of its own, so that the caller's settings stay as they are
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for some in (rows.where("seq < 20"), rows.where("seq >= 20")):
-        some.write.mode("append").parquet(f"{folder}/in")
-        stream = own.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        # a batch that is run again overwrites what it wrote before
-        run = (
-            chapters.cast_updates(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start()
-        )
-        run.awaitTermination()
-    out = spark.read.schema(f"{chapters.OUT}, batch long").parquet(f"{folder}/out")
-    last = F.max("batch").over(Window.partitionBy("chapter"))
-    return out.withColumn("last", last).where("batch = last").drop("batch", "last")
+    all_files.where("page_id % 3 = 0").write.parquet(f"{folder}/library")
+    third = F.percent_rank().over(Window.orderBy("page_id"))
+    for k in range(3):
+        incoming.withColumn("third", F.least(F.floor(third * 3), F.lit(2))).where(F.col("third") == k).drop("third").write.mode("append").parquet(f"{folder}/in")
+        stream = own.readStream.schema(incoming.schema).parquet(f"{folder}/in")
+        library = own.readStream.schema(incoming.schema).parquet(f"{folder}/library")
+        judged = ingest.told_apart(stream, library, "page_id", hold_ms=30 * 24 * 3600 * 1000)
+        ingest.drain(ingest.write(judged, f"{folder}/out", f"{folder}/state", "0 seconds"))
+    return ingest.counted(spark.read.parquet(f"{folder}/out"))

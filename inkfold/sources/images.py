@@ -54,13 +54,14 @@ def library(spark: SparkSession, path: str, folder: str | None = None) -> DataFr
     return out.select(F.lit(folder).cast("string").alias("folder"), t.base_name(F.col("path")).alias("name"), "size", "modified", F.current_timestamp().alias("added"), "width", "height")
 
 
-def upright_pages(spark: SparkSession, path: str) -> DataFrame:
+def upright_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, width, height, channels, data): decoded pages as Spark's image source gives them (rows of BGR bytes), turned as their tags ask for.
 
     What can't be decoded drops out.
     """
-    decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    rows = heads(decoded.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data"))
+    decoded = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    path = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))  # the image source escapes what its paths hold
+    rows = heads(decoded.select(path.alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

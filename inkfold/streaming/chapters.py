@@ -1,46 +1,33 @@
-"""Chapter state that is kept while mentions stream in: the cast of each chapter, by the rules of the batch fold."""
+"""The cast of each chapter, kept while mentions and corrections stream in, by the rules of the batch fold.
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+What is kept of a name (`folds.facts`) is the same however its events are ordered, so late news and late
+corrections, in any batch, end where one batch of all of them ends: the sequence number of an event decides,
+not its arrival. The state is an aggregate of fixed size for each chapter and name, held by Spark itself; a batch
+writes the names that it touched.
+"""
 
-from inkfold.operators.folds import CAST
-
-STATE = StructType([StructField("name", StringType()), StructField("gender", StringType()), StructField("note", StringType()), StructField("place", IntegerType())])
-OUT = "chapter long, name string, gender string, note string, place int"
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-class CastState(StatefulProcessor):
-    """People by first appearance, at most CAST a chapter; a fact stays until the news says something else of it."""
+from inkfold.operators import folds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.people = handle.getListState("people", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {r[0]: list(r) for r in self.people.get()} if self.people.exists() else {}
-        for _, new in pd.concat(list(rows)).sort_values("seq").iterrows():
-            if new["name"] not in held:
-                if len(held) >= CAST:
-                    continue
-                held[new["name"]] = [new["name"], "unknown", "", len(held) + 1]
-            person = held[new["name"]]
-            if new["gender"] != "unknown":
-                person[1] = new["gender"]
-            if new["note"] != "":
-                person[2] = new["note"]
-        self.people.put([tuple(p) for p in held.values()])
-        out = pd.DataFrame(list(held.values()), columns=["name", "gender", "note", "place"])
-        yield out.assign(chapter=key[0])[["chapter", "name", "gender", "note", "place"]]
+def keep(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Starts keeping events (a stream as folds.facts takes it) below `folder`.
 
-    def close(self) -> None:
-        pass
+    A batch that is run again after a crash overwrites what it wrote before.
+    """
+    return (
+        folds.facts(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")).start()
+    )
 
 
-def cast_updates(mentions: DataFrame) -> DataFrame:
-    """The whole cast of a chapter, again whenever something is said in it. State: at most CAST people a chapter."""
-    return mentions.groupBy("chapter").transformWithStateInPandas(CastState(), OUT, "Update", "None")
+def kept(spark: SparkSession, folder: str, most: int = folds.CAST) -> DataFrame:
+    """The cast as it stands: chapter, name, gender, note, settled, place."""
+    every = spark.read.option("basePath", folder).parquet(folder)
+    newest = F.row_number().over(Window.partitionBy("chapter", "name").orderBy(F.desc("batch")))
+    return folds.settled_cast(every.withColumn("newest", newest).where("newest = 1").drop("newest", "batch"), most)

@@ -9,6 +9,7 @@ comes again later than that counts as fresh. Of equal newcomers in one batch the
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,9 @@ from inkfold.sources.page_archives import NO_PAGES, ArchiveReader, Runs, located
 FILES = "folder string, name string, size long, modified timestamp, is_image boolean, width int, height int, state string"
 
 
+HELD = "held"
+
+
 def _probed(head: bytes | None, is_image: bool) -> tuple[int | None, int | None, str | None]:
     """Upright width and height, and the state that this settles already."""
     if not is_image:
@@ -84,15 +88,15 @@ class FirstSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "known boolean", self.hold_ms)
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self.seen.update((True,))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        files = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        known = self.seen.exists()
-        yield files.assign(state=["duplicate" if known or i else "fresh" for i in range(len(files))])
-        if not known:
+        files = pd.concat([r.astype(object) for r in rows])
+        held = files["state"] == HELD
+        known = self.seen.exists() or held.any()
+        if not self.seen.exists():
             self.seen.update((True,))
+        files = files[~held].sort_values(self.order, kind="stable")
+        if len(files):
+            yield pd.DataFrame({c: files[c].tolist() for c in files} | {"state": ["duplicate" if known or i else "fresh" for i in range(len(files))]})
 
     def close(self) -> None:
         pass
@@ -106,22 +110,47 @@ def with_fingerprint(files: DataFrame) -> DataFrame:
 def told_apart(incoming: DataFrame, library: DataFrame, order: str, hold_ms: int) -> DataFrame:
     """incoming (a stream with fingerprint, folder, state) with every state filled in; states that are there stay.
 
-    library: fingerprint of what was there when the stream first started; it is the initial state, so
-    it isn't read again after a restart.
+    library: a stream of the fingerprints that the library has. It goes into the same state as what comes in, each of
+    its rows once, and comes first within a batch.
     """
-    open_ = incoming.where("state is null")
-    schema = StructType([f for f in incoming.schema])
-    held = library.select("fingerprint").where("fingerprint is not null").distinct().groupBy("fingerprint")
-    judged = open_.groupBy("fingerprint").transformWithStateInPandas(FirstSeen(order, hold_ms), schema, "Append", "ProcessingTime", initialState=held)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema if f.name not in ("fingerprint", "state")]
+    held = library.select("fingerprint", F.lit(HELD).alias("state"), *blank).select(incoming.columns)
+    every = incoming.where("state is null").unionByName(held)
+    judged = every.groupBy("fingerprint").transformWithStateInPandas(FirstSeen(order, hold_ms), incoming.schema, "Append", "ProcessingTime")
     return judged.unionByName(incoming.where("state is not null"))
 
 
-def write(judged: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Starts writing below `folder`; a batch that is run again after a crash overwrites what it wrote before."""
-    return (
-        judged.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")).start()
-    )
+def write(judged: DataFrame, folder: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """Starts writing below `folder`; a batch that is run again after a crash overwrites what it wrote before.
+
+    It runs until it is stopped: states that expire by the clock give a batch at each trigger, also without files.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        held = batch.persist()
+        if not held.isEmpty():
+            held.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        held.unpersist()
+
+    return judged.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(put).start()
+
+
+def drain(query: StreamingQuery, pause: float = 0.2) -> None:
+    """Waits for a batch that found nothing new and stops the query; what stopped it before that is raised.
+
+    The first batch after a restart may be one that was cut short, with the files of then, so it doesn't count.
+    """
+    first = None
+    while query.isActive:
+        now = query.lastProgress
+        if now is not None:
+            first = now["batchId"] if first is None else first
+            if now["batchId"] > first and now["numInputRows"] == 0:
+                break
+        time.sleep(pause)
+    query.stop()
+    if query.exception():
+        raise query.exception()
 
 
 def counted(written: DataFrame) -> DataFrame:
