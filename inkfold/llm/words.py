@@ -44,10 +44,10 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def spans(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes outside `gaps`, and each document's first run.
 
-    offsets: the documents' bounds in buf, from 0 to len(buf).
+    offsets: the documents' bounds in buf, from 0 to len(buf). cuts: places inside a run where a new one begins.
     """
     n = len(buf)
     if not n:
@@ -55,6 +55,8 @@ def spans(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[np.nd
     inside = ~gaps[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     opens = inside.copy()
     opens[1:] &= ~inside[:-1] | cut[1:n]
     closes = inside.copy()
