@@ -12,6 +12,7 @@ from inkfold.session import build_session
 HEADLINE = [
     "region_confidence_filter", "suppress_duplicates", "assign_balloons", "reading_order_rtl", "balloon_seams", "dedup_lines", "fan_out_answers",
     "context_window", "cast_fold", "glossary_first_wins", "lenient_terms", "ink_runs", "character_size", "otsu_threshold", "dilate_mask", "connected_components",
+    "hyphen_wrap", "font_fit_hyphens", "translate_pages", "divide_space", "streamed_cast", "streamed_corrections", "patched_regions", "archive_round_trip", "strict_stories", "remembered_answers",
 ]
 
 

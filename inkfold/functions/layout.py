@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,14 +20,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def wrapped(text: Column, most: Column) -> Column:
-    """Lines of at most `most` characters, filled word by word and joined by line breaks; a longer word has a line of its own."""
+def _filled(pieces: Column, text: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
+    """Pieces set one after the other, as lines joined by line breaks; joins(used, piece): whether it goes on a line that has `used` characters.
+
+    Only the open line grows with a word, finished ones are put aside.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
-    def step(acc: Column, w: Column) -> Column:
-        last = F.length(F.substring_index(acc, "\n", -1))
-        return F.when(acc == "", w).when(last + 1 + F.length(w) <= most, F.concat(acc, F.lit(" "), w)).otherwise(F.concat(acc, F.lit("\n"), w))
+    def step(acc: Column, x: Column) -> Column:
+        first, goes_on = acc.line == "", joins(F.length(acc.line), x)
+        done = F.when(first | goes_on, acc.done).otherwise(F.concat(acc.done, F.array(acc.line)))
+        return F.struct(done.alias("done"), F.when(~first & goes_on, F.concat(acc.line, F.lit(" "), text(x))).otherwise(text(x)).alias("line"))
 
-    return F.aggregate(words(text), F.lit(""), step)
+    return F.aggregate(pieces, start, step, lambda acc: F.array_join(F.concat(acc.done, F.array(acc.line)), "\n"))
+
+
+def wrapped(text: Column, most: Column) -> Column:
+    """Lines of at most `most` characters, filled word by word and joined by line breaks; a longer word has a line of its own."""
+    return _filled(words(text), lambda w: w, lambda used, w: used + 1 + F.length(w) <= most)
 
 
 def hyphenated(text: Column, most: Column) -> Column:
@@ -37,12 +49,8 @@ def hyphenated(text: Column, most: Column) -> Column:
         long = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(cut(i).alias("text"), F.lit(True).alias("opens")))
         return F.when(F.length(w) > most, long).otherwise(F.array(F.struct(w.alias("text"), F.lit(False).alias("opens"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        used = F.length(F.substring_index(acc, "\n", -1))
-        joins = ~x.opens & (used + 1 + F.length(x.text) <= most)
-        return F.when(acc == "", x.text).otherwise(F.concat(acc, F.when(joins, " ").otherwise("\n"), x.text))
-
-    lines = F.transform(F.split(t.strip(text), "\n"), lambda p: F.aggregate(F.flatten(F.transform(words(p), pieces)), F.lit(""), step))
+    joins = lambda used, x: ~x.opens & (used + 1 + F.length(x.text) <= most)
+    lines = F.transform(F.split(t.strip(text), "\n"), lambda p: _filled(F.flatten(F.transform(words(p), pieces)), lambda x: x.text, joins))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -64,7 +72,8 @@ def line_count(lengths: Column, most: Column, hyphens: bool = False) -> Column:
 def largest_size(w: Column, h: Column, low: int = SIZE_MIN, high: int = SIZE_MAX, char_width: float = 0.5, hyphens: bool = False) -> Column:
     """The largest size at which no word is too wide and all lines fit; `low` if none does. The words are their lengths, in word_lengths.
 
-    hyphens: if no size does with whole words, the largest at which words may be cut is tried.
+    hyphens: if no size does with whole words, the largest at which words may be cut is tried. What fits at a size
+    fits at every smaller one, so the sizes are searched by halves.
     """
 
     def fits(size: Column) -> Column:
@@ -75,8 +84,21 @@ def largest_size(w: Column, h: Column, low: int = SIZE_MIN, high: int = SIZE_MAX
         most = F.floor(w / (size * char_width)).cast("int")
         return (most >= 2) & (line_count(F.col("word_lengths"), F.greatest(most, F.lit(2)), True) * size * LINE_HEIGHT <= h)
 
-    sizes = F.sequence(F.lit(low), F.lit(high))
-    return F.coalesce(*[F.array_max(F.filter(sizes, f)) for f in ((fits, fits_cut) if hyphens else (fits,))], F.lit(low))
+    def largest(f: Callable[[Column], Column]) -> Column:
+        """Null if no size fits. The state holds the largest that is known to fit (low - 1 at first) and the largest that may."""
+
+        def step(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc.low + acc.high + 1) / 2).cast("int")
+            # each size is tried once
+            tried = F.transform(F.array(middle), lambda m: F.struct(m.alias("size"), (f(m) & (acc.low < acc.high)).alias("fits")))
+            halves = F.transform(tried, lambda x: F.struct(F.when(x.fits, x["size"]).otherwise(acc.low).alias("low"), F.when(x.fits | (acc.low >= acc.high), acc.high).otherwise(x["size"] - 1).alias("high")))
+            return F.get(halves, 0)
+
+        start = F.struct(F.lit(low - 1).alias("low"), F.lit(high).alias("high"))
+        steps = F.sequence(F.lit(1), F.lit((high - low + 1).bit_length()))
+        return F.aggregate(steps, start, step, lambda acc: F.when(acc.low >= low, acc.low))
+
+    return F.coalesce(*[largest(f) for f in ((fits, fits_cut) if hyphens else (fits,))], F.lit(low))
 
 
 def _blank_runs(used: np.ndarray) -> list[tuple[int, int]]:

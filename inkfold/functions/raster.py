@@ -222,14 +222,13 @@ def white_filled(page: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.floor(255 * m + page * (1 - m) + 0.5).astype(np.uint8)
 
 
-def art_filled(page: np.ndarray, mask: np.ndarray, rounds: int = 200) -> np.ndarray:
+def art_filled(page: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Marked pixels take the mean of their neighbours, from the edge inwards; a page that is all marked turns white."""
     marked = mask > 0
     if marked.all():
         return np.full_like(page, 255)
     out, open_ = page.astype(float), marked.copy()
-    while open_.any() and rounds:
-        rounds -= 1
+    while open_.any():  # each round fills what borders on something known, however deep the mask is
         known = np.pad((~open_).astype(float), 1)
         colour = np.pad(out * (~open_)[..., None], ((1, 1), (1, 1), (0, 0)))
         h, w = marked.shape

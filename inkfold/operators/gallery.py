@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +48,8 @@ def unique_names(files: DataFrame, folder: str, name: str, order: str) -> DataFr
     """Adds unique_name: the first keeps its name, later ones get ` (n)` before the extension, from 2, past names that are taken.
 
     Only names of one family (alike but for such numbers) can clash. A family of one name is numbered by a
-    window; one with several, such as `a.png` and `a (2).png`, is folded in order.
+    window; one with several, such as `a.png` and `a (2).png`, is streamed in order past the names that it has taken,
+    each name with the number that it tries next, so no number is tried twice for it.
     """
     ending = lambda x: F.regexp_extract(x, r"\.[^.]+$", 0)
     numbered = lambda x, n: F.concat(t.stem(x), F.lit(" ("), n.cast("string"), F.lit(")"), ending(x))
@@ -53,17 +58,24 @@ def unique_names(files: DataFrame, folder: str, name: str, order: str) -> DataFr
     rows = rows.withColumn("mixed", F.min(name).over(family) != F.max(name).over(family)).withColumn("nth", F.row_number().over(family.orderBy(order)))
     alone = rows.where("not mixed").withColumn("unique_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(numbered(F.col(name), F.col("nth"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        # names before this one bound how far the probing can go
-        tries = F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda n: numbered(x[name], n))
-        free = F.get(F.filter(tries, lambda c: ~F.array_contains(acc, c)), 0)
-        return F.concat(acc, F.array(F.when(F.array_contains(acc, x[name]), free).otherwise(x[name])))
-
-    grouped = rows.where("mixed").groupBy(folder, "family").agg(F.array_sort(F.collect_list(F.struct(order, name))).alias("listed"))
-    taken = F.aggregate("listed", F.array().cast("array<string>"), step)
-    zipped = grouped.select(folder, F.explode(F.arrays_zip("listed", taken.alias("taken"))).alias("z"))
-    folded = zipped.select(folder, F.col(f"z.listed.{order}").alias(order), F.col(f"z.listed.{name}").alias(name), F.col("z.taken").alias("unique_name"))
-    return alone.select(folder, order, name, "unique_name").unionByName(folded)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, taken, tries = None, set(), {}
+        for frame in frames:
+            out = []
+            for place, kin, wanted in zip(frame[folder], frame["family"], frame[name]):
+                if (place, kin) != own:
+                    own, taken, tries = (place, kin), set(), {}
+                got = wanted
+                while got in taken:
+                    n = tries[wanted] = tries.get(wanted, 1) + 1
+                    got = re.sub(r"^(.*?)(\.[^.]+)?$", lambda m: f"{m[1]} ({n}){m[2] or ''}", wanted, count=1, flags=re.S)
+                taken.add(got)
+                out.append(got)
+            yield frame[[folder, order, name]].assign(unique_name=out)
+
+    mixed = rows.where("mixed").select(folder, order, name, "family").repartition(folder, "family").sortWithinPartitions(folder, "family", order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(folder, order, name).schema)
+    return alone.select(folder, order, name, "unique_name").unionByName(mixed.mapInPandas(run, f"{kinds}, unique_name string"))
 
 
 def best_pages(pages: DataFrame) -> DataFrame:

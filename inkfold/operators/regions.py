@@ -176,3 +176,33 @@ def updated(rows: DataFrame, news: DataFrame, key: list[str], column: str) -> Da
     """column of the rows asked about is replaced, also by null; keys that aren't there are ignored."""
     n = news.select(*key, F.col(column).alias("new_value"), F.lit(True).alias("asked"))
     return rows.join(n, key, "left").withColumn(column, F.when(F.col("asked"), F.col("new_value")).otherwise(F.col(column))).select(rows.columns)
+
+
+def patched(rows: DataFrame, patches: DataFrame) -> DataFrame:
+    """rows after all patches: edits by hand, and answers that may have been asked for before the last of them.
+
+    rows: page_id, det_id, the edges, room, text (null on pages that aren't read yet) and lettered (null if there is no
+    lettering), and further columns. patches: page_id, det_id, seq, kind, asked_at (the seq at which an answer was asked
+    for), and the edges, room, text and lettered that a kind sets. The last of a kind counts:
+
+    - `box` sets the edges and clears the room, which no longer fits;
+    - `room` and `reading` answers from before the last box edit are stale and ignored; a null room that isn't counts,
+      a null text counts as '', and pages that aren't read stay so;
+    - `lettering` changes a lettering that is there;
+    - patches of regions that are gone are ignored.
+    """
+    key = ["page_id", "det_id"]
+    box_at = F.max(F.when(F.col("kind") == "box", F.col("seq"))).over(Window.partitionBy(*key))
+    known = patches.withColumn("box_at", box_at).withColumn("fresh", F.col("box_at").isNull() | (F.col("asked_at") >= F.col("box_at")))
+    last = lambda kind, when, *values: F.max_by(F.struct(*values), F.when((F.col("kind") == kind) & when, F.col("seq"))).alias(kind)
+    every = F.lit(True)
+    told = known.groupBy(*key).agg(last("box", every, *EDGES), last("room", F.col("fresh"), "room"), last("reading", F.col("fresh"), "text"), last("lettering", every, "lettered"))
+    told = told.select(*key, *[F.col(c).alias(f"new_{c}") for c in ("box", "room", "reading", "lettering")])
+    out = rows.join(told, key, "left")
+    box, room, reading, lettering = (F.col(f"new_{c}") for c in ("box", "room", "reading", "lettering"))
+    changed = {e: F.coalesce(box[e], e) for e in EDGES} | {
+        "room": F.when(room.isNotNull(), room.room).when(box.isNull(), F.col("room")),
+        "text": F.when(F.col("text").isNotNull() & reading.isNotNull(), F.coalesce(reading.text, F.lit(""))).otherwise(F.col("text")),
+        "lettered": F.when(F.col("lettered").isNotNull() & lettering.isNotNull(), lettering.lettered).otherwise(F.col("lettered")),
+    }
+    return out.withColumns(changed).select(rows.columns)

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import text as t
 from inkfold.operators import context, folds, lines as ln, models
+from inkfold.plans import fakes
 from inkfold.plans.registry import query
+from inkfold.session import shared_dir
 from inkfold.sources import archive
 from inkfold.sources.views import chapter_pages, files, lines, mentions, with_views
 from inkfold.streaming import chapters, ingest
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/inkfold/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query(with_views("""with u as (select page_id, text, min(ord) as o from lines where trim(text, ' ' || chr(9) || chr(13)) <> '' group by 1, 2),
@@ -28,12 +29,12 @@ select page_id, n, '<' || text || '>' as answer, case when wanted = 1 then 1 whe
 def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lines of a page through a fake model that miscounts: asked again, then line by line; the first terms and scene stay."""
     asked = ln.asked_once(ln.not_blank(lines(spark, sf_dir)).withColumn("kind", F.lit("")))
-    return models.translated(asked, models.fake_asker)
+    return models.translated(asked, fakes.fake_asker)
 
 
 @query(with_views("select chapter, page_no, 'beat ' || (page_no % 8) as beat from chapter_pages", "chapter_pages"))
 def survey_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.surveyed(context.survey_windows(chapter_pages(spark, sf_dir)), models.fake_asker)
+    return models.surveyed(context.survey_windows(chapter_pages(spark, sf_dir)), fakes.fake_asker)
 
 
 @query(with_views("""with f as (select chapter, substring(beat, 1, 1) as s, min(page_no) as first from chapter_pages where beat <> '' group by 1, 2),
@@ -42,7 +43,7 @@ select p.chapter, p.page_no, '<' || p.beat || '>' as answer, least(40, (select c
   coalesce((select arg_max(said, page_no) from s where s.chapter = p.chapter and s.page_no < p.page_no and said <> ''), '') as scene from chapter_pages p""", "chapter_pages"))
 def translate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a chapter in order, each told the terms of those before it."""
-    return models.carried(chapter_pages(spark, sf_dir).select("chapter", "page_no", F.col("beat").alias("text")), models.fake_term_asker)
+    return models.carried(chapter_pages(spark, sf_dir).select("chapter", "page_no", F.col("beat").alias("text")), fakes.fake_term_asker)
 
 
 @query("select distinct 'm' || (k % 9) as model from (select json_extract_string(props, '$.k')::int as k, event_id from events) where event_id % 4 <> 0")
@@ -58,7 +59,7 @@ union all select page_id, null, null, null, null, null, 'empty page' from pages
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(F.col("page_id") % 10 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", data.alias("data"))
-    return models.detected(pages, models.fake_detector).select("page_id", "det_id", "label", "score", "x0", "y0", "why")
+    return models.detected(pages, fakes.fake_detector).select("page_id", "det_id", "label", "score", "x0", "y0", "why")
 
 
 @query("select page_id, 0 as ord, case when page_id % 5 = 0 then '' else 'ja ' || strlen(html) end as text from pages")
@@ -66,7 +67,7 @@ def read_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     crops = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
         "page_id", F.lit(0).alias("ord"), (F.col("page_id") % 5 * 4).cast("int").alias("w"), F.lit(9).alias("h"), F.col("html").cast("binary").alias("data"), F.lit("ja").alias("language")
     )
-    return models.read(crops, models.fake_reader)
+    return models.read(crops, fakes.fake_reader)
 
 
 @query("""select page_id, case when page_id % 10 = 0 then null when strlen(html) % 2 = 0 then 200 * (50 + 3) else 0 end as ink, case when page_id % 10 = 0 then 'no map' end as why from pages""")
@@ -74,7 +75,7 @@ def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ink masks of pages twice as wide as high: the map covers them with its upper half, and the ink in it grows by a pixel of the map."""
     data = F.when(F.col("page_id") % 10 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lit(200).alias("width"), F.lit(100).alias("height"), data.alias("data"))
-    return models.segmented(pages, models.fake_segmenter, grow=1).select("page_id", "ink", "why")
+    return models.segmented(pages, fakes.fake_segmenter, grow=1).select("page_id", "ink", "why")
 
 
 @query(with_views("""with ink as (select vec_id, i % 8 as x, i // 8 as y from tiles where grey > 128), box as (select vec_id, max(y) - min(y) > max(x) - min(x) as upright from ink group by 1),
@@ -91,7 +92,7 @@ def read_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.element_at(F.array(*map(F.lit, ("ja", "en", "zh"))), (F.col("vec_id") % 3 + 1).cast("int"))
     crops = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("page_id"), F.lit(0).alias("ord"), F.lit(8).alias("w"), F.lit(8).alias("h"), grey.alias("grey"), language.alias("language"))
     crops = crops.withColumn("ink", F.transform("grey", lambda g: (g > 128).cast("int")))
-    return models.read_slices(crops, models.fake_slice_reader, ("ja",), ("zh",))
+    return models.read_slices(crops, fakes.fake_slice_reader, ("ja",), ("zh",))
 
 
 @query(with_views("""with f as (select page_id, regexp_extract(path, '^([^/]*)/', 1) as folder, regexp_extract(path, '[^/]*$', 0) as name, path from files),
@@ -101,7 +102,7 @@ select folder as archive, name, case lower(regexp_extract(name, '\\.[^.]+$', 0))
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders packed into archives and read back: page images only, under names that don't clash."""
     own = files(spark, sf_dir).select(F.concat(F.regexp_extract("path", "^([^/]*)/", 1), F.lit(".zip")).alias("archive"), t.base_name(F.col("path")).alias("name"), F.col("page_id").alias("place"), F.col("path").cast("binary").alias("data"))
-    folder = _scratch(spark)
+    folder = scratch(spark)
     archive.pack(own, folder)
     return archive.pages(spark, folder).select(F.regexp_replace("archive", r"\.zip$", "").alias("archive"), "name", "type", F.length("data").alias("size"))
 
@@ -112,7 +113,7 @@ people as (select *, row_number() over (partition by chapter order by first_seq)
 select chapter, name, gender, note, place from people where place <= 12""", "mentions"))
 def streamed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cast of each chapter, kept as state while its mentions come in by two batches; the second goes on from the checkpoint of the first."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     rows = folds.as_events(mentions(spark, sf_dir))
     for some in (rows.where("seq < 20"), rows.where("seq >= 20")):
         some.write.mode("append").parquet(f"{folder}/in")
@@ -155,7 +156,7 @@ def corrected_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(_CORRECTED, "mentions"))
 def streamed_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from two streams into one state, over three runs from one checkpoint: corrections come before, among and long after what they correct."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     news = mentions(spark, sf_dir).withColumn("seq", F.col("seq") * 2)
     edits = _edits(spark, sf_dir)
     parts = [(news.where("seq >= 40"), edits.where("seq < 20")), (news.where("seq < 10"), edits.where("seq >= 60")), (news.where("seq >= 10 and seq < 40"), edits.where("seq >= 20 and seq < 60"))]
@@ -174,7 +175,7 @@ s as (select folder, case when not is_image then 'rejected' when fingerprint in
 select folder, state, count(*) as n from s group by 1, 2""", "files"))
 def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that come in by three batches, with a restart after each, against a library: fresh, repeated and rejected ones."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     path = F.col("path")
     all_files = files(spark, sf_dir).select("page_id", F.regexp_extract(path, "^([^/]*)/", 1).alias("folder"), t.base_name(path).alias("name"), F.when(t.image_type(path).isNull(), "rejected").alias("state"))
     all_files = all_files.withColumn("fingerprint", F.concat_ws(":", "folder", "name"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import geometry as g
@@ -247,13 +247,40 @@ def insert_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.inserted(rows, new)
 
 
-@query(with_views(_ANALYSED + ", news as (select page_id, det_id, case when det_id % 3 = 0 then null else det_id + 1000 end as balloon_id from blocks where det_id % 2 = 0) select b.page_id, b.ord, b.det_id, case when n.det_id is not null then n.balloon_id else b.balloon_id end::int as balloon_id from blocks b left join news n on b.page_id = n.page_id and b.det_id = n.det_id", "detections"))
+@query(with_views(_ANALYSED + "select page_id, ord, det_id, case when det_id % 2 <> 0 then balloon_id when det_id % 3 <> 0 then det_id + 1000 end::int as balloon_id from blocks", "detections"))
 def update_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _blocks(spark, sf_dir).select("page_id", "ord", "det_id", "balloon_id")
     news = rows.where("det_id % 2 = 0").select("page_id", "det_id", F.when(F.col("det_id") % 3 != 0, F.col("det_id") + 1000).cast("int").alias("balloon_id"))
     return r.updated(rows, news, ["page_id", "det_id"], "balloon_id")
 
 
+@query(with_views("""select page_id, det_id, x0 + case when det_id % 10 = 0 then 3 when det_id % 5 = 0 then 1 else 0 end as x0, y0, x1 + case when det_id % 10 = 0 then 3 when det_id % 5 = 0 then 1 else 0 end as x1, y1,
+  case when det_id % 6 = 0 then 200 + det_id when det_id % 5 = 0 then null when det_id % 2 = 0 and det_id % 3 <> 0 then 100 + det_id when det_id % 2 = 0 then null when det_id % 4 <> 0 then det_id end::int as room,
+  case when page_id % 5 = 0 then null when det_id % 7 < 3 and det_id % 10 <> 0 then case when det_id % 7 = 1 then '' else 'r' || det_id end else 't' || det_id end as text,
+  case when det_id % 3 = 0 then null when det_id % 4 = 1 then 'p' || det_id else 'l' || det_id end as lettered from detections""", "detections"))
+def patched_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box edits that clear rooms, answers asked for before and after them, pages that aren't read, slots without lettering, and regions that are gone."""
+    d = detections(spark, sf_dir)
+    n, name = F.col("det_id"), lambda x: F.concat(F.lit(x), F.col("det_id").cast("string"))
+    rows = d.select("page_id", "det_id", *r.EDGES, F.when(n % 4 != 0, n).alias("room"), F.when(F.col("page_id") % 5 != 0, name("t")).alias("text"), F.when(n % 3 != 0, name("l")).alias("lettered"))
+
+    def patch(kind: str, seq: int, asked_at: int | None, when: Column, **sets: Column) -> Column:
+        values = {e: F.col(e) for e in r.EDGES} | {"room": F.lit(None).cast("int"), "text": F.lit(None).cast("string"), "lettered": F.lit(None).cast("string")} | sets
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(seq).alias("seq"), F.lit(asked_at).cast("int").alias("asked_at"), *[v.alias(c) for c, v in values.items()]))
+
+    def moved_by(k: int) -> dict[str, Column]:
+        return {"x0": F.col("x0") + k, "x1": F.col("x1") + k}
+
+    every = F.array(
+        patch("box", 10, None, n % 5 == 0, **moved_by(1)), patch("box", 30, None, n % 10 == 0, **moved_by(3)),
+        patch("room", 20, 5, n % 2 == 0, room=F.when(n % 3 != 0, n + 100)), patch("room", 40, 35, n % 6 == 0, room=n + 200),
+        patch("reading", 21, 12, n % 7 < 3, text=F.when(n % 7 != 1, name("r"))), patch("lettering", 22, None, n % 4 == 1, lettered=name("p")),
+    )
+    patches = d.select("page_id", "det_id", F.explode(F.array_compact(every)).alias("p")).select("page_id", "det_id", "p.*")
+    gone = patches.where("kind = 'room'").withColumn("det_id", F.col("det_id") + 100_000)
+    return r.patched(rows, patches.unionByName(gone))
+
+
 @query(with_views(_ANALYSED + "select page_id, count(*) as blocks, count(*) filter (confidence < 0.8) as excluded, count(*) filter (confidence >= 0.8 and coalesce(bx0, x0) < 400) as kept_left, to_json(list({'box': [x0, y0, x1, y1], 'kind': kind} order by ord))::varchar as regions from blocks group by 1", "detections"))
 def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _blocks(spark, sf_dir).withColumn("excluded", F.col("confidence") < r.UNSURE)

@@ -23,3 +23,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a folder of this machine stands in, but only if all work is done on this machine.
+    """
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = "file:///tmp/checkpoints"
+    return path.rstrip("/") + "/inkfold"

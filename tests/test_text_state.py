@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from inkfold.functions import jsonx, text as t
+from inkfold.plans import fakes
 from inkfold.operators import context, folds, gallery, languages, lines as ln, models
 
 
@@ -98,7 +99,7 @@ def test_languages(spark):
 
 
 def test_retry_then_line_by_line():
-    ask = models.fake_asker()
+    ask = fakes.fake_asker()
     assert models.answers(["a", "b"], ask) == (["<a>", "<b>"], 1)
     assert models.answers(["a", "b", "c"], ask) == (["<a>", "<b>", "<c>"], 2)
     assert models.answers([str(i) for i in range(10)], ask)[1] == 12
