@@ -15,6 +15,8 @@ LEAST = 46
 SIDE = 48
 SHIFT = 8
 RUN, NEAR = 17, 4
+#: So many rows of an entry meet all others, which joins copies; where more are left, entries are cut by what their rows share.
+FEW = 16
 _NEVER, _FAR = np.int16(-8000), np.int16(8192)
 _GAP, _ONE = np.int16(4), np.int16(1)
 
@@ -128,8 +130,76 @@ def anchors(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[once], entry[once]
 
 
+def _enough(codes: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Whether rows could agree with another by common codes alone: a span of `least` that scores 0 or more."""
+    worth = np.where(common[codes], _ONE, -_GAP).T
+    start = np.zeros((1, len(codes)), np.int16)
+    left, right = (np.concatenate([start, np.cumsum(part, 0, dtype=np.int16)]) for part in (worth[:SIDE][::-1], worth[SIDE:]))
+    return _spans(left, right, least)
+
+
+def _groups(row: np.ndarray, entry: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row and entry sorted by both, and the first of each entry. Of entries with the same rows one stays, of those that links have joined none."""
+    order = np.lexsort((row, entry))
+    row, entry = row[order], entry[order]
+    once = np.ones(len(row), bool)
+    once[1:] = (row[1:] != row[:-1]) | (entry[1:] != entry[:-1])
+    row, entry = row[once], entry[once]
+    heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])[: len(row)])
+    if not len(row):
+        return row, entry, heads
+    sizes = np.diff(np.append(heads, len(row)))
+    open_ = np.minimum.reduceat(label[row], heads) != np.maximum.reduceat(label[row], heads)
+    alike = np.stack([np.add.reduceat(mix(row.astype(np.uint64) + np.uint64(1)), heads), sizes.astype(np.uint64)])
+    first = np.zeros(len(heads), bool)
+    first[np.unique(alike, axis=1, return_index=True)[1]] = True
+    go = np.repeat(first & open_, sizes)
+    row, entry = row[go], entry[go]
+    return row, entry, np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])[: len(row)])
+
+
+def _parts(members: np.ndarray, entry: np.uint64, code: np.ndarray, label: np.ndarray, least: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which members can agree by what all of them share, and the parts of those that share more: a pair of neighbours that isn't all in it."""
+    own = code[members]
+    ordered = np.sort(own, 1)
+    once = np.ones(own.shape, bool)
+    once[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    common = np.bincount(ordered[once], minlength=1 << 16) == len(members)
+    common[0] = False
+    x, y = own[:, :-1], own[:, 1:]
+    which, at = np.nonzero((x != 0) & (y != 0) & ~(common[x] & common[y]))
+    more = mix(entry + (x[which, at].astype(np.uint64) << np.uint64(16) | y[which, at]))
+    return _enough(own, common, least), _groups(members[which], more, label)
+
+
+def refined(row: np.ndarray, entry: np.ndarray, code: np.ndarray, label: np.ndarray, least: int = LEAST, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entry) to the same links, where entries of more than `few` rows hold rows that can agree by what all of them share.
+
+    Where very many rows share a line that isn't enough by itself, two of them can only agree if they share more
+    than it. So the rows that have enough meet as before, and all meet again in parts that share more, which are
+    cut in turn. A part never costs more than the whole: where parts wouldn't have half the pairs, the whole stays.
+    """
+    kept = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    todo = [_groups(row, entry, label)]
+    while todo:
+        row, entry, heads = todo.pop()
+        sizes = np.diff(np.append(heads, len(row)))
+        small = np.repeat(sizes <= few, sizes)
+        kept.append((row[small], entry[small]))
+        for a, n in zip(heads[sizes > few].tolist(), sizes[sizes > few].tolist()):
+            members = row[a : a + n]
+            enough, parts = _parts(members, entry[a], code, label, least)
+            pairs = int((np.diff(np.append(parts[2], len(parts[0]))) ** 2).sum()) + int(enough.sum()) ** 2
+            if enough.all() or 2 * pairs > n * n:
+                kept.append((members, np.full(n, entry[a])))
+                continue
+            kept.append((members[enough], np.full(enough.sum(), entry[a])))
+            todo.append(parts)
+    return _groups(*(np.concatenate(x) for x in zip(*kept)), label)[:2]
+
+
 def match(key: np.ndarray, code: np.ndarray, doc: np.ndarray | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(row, earlier row) links that join all rows of one key that agree and share an anchor.
+    """(row, earlier row) links that join all rows of one key that agree and share an anchor, and more than what all rows of it share.
 
     Rows of one key and doc count as joined from the start.
     """
@@ -139,8 +209,13 @@ def match(key: np.ndarray, code: np.ndarray, doc: np.ndarray | None = None, leas
         opens = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
         label[order] = order[np.maximum.accumulate(np.where(opens, np.arange(n), 0))]
     row, entry = anchors(key, code)
-    found = [np.zeros(0, np.int64)]
+    found, rounds, cut = [np.zeros(0, np.int64)], 0, False
     while len(row) > 1:
+        if rounds >= FEW and not cut:
+            cut = True
+            row, entry = refined(row, entry, code, label, least)
+            if not len(row):
+                break
         heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
         sizes = np.diff(np.append(heads, len(row)))
         within = np.arange(len(row)) - np.repeat(heads, sizes)
@@ -164,6 +239,7 @@ def match(key: np.ndarray, code: np.ndarray, doc: np.ndarray | None = None, leas
                 parent = parent[parent]
             label = parent[label]
         row, entry = row[within >= leaders], entry[within >= leaders]
+        rounds += leaders
         if len(row):
             # runs that links have joined are done
             heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))

@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from inkfold.llm import passages
+from inkfold.llm import alignment, passages
 from inkfold.llm.words import chunks
 
 
@@ -196,3 +197,77 @@ def test_quick_answers_of_agree_are_those_of_the_alignment():
         row[96 - rng.randint(0, 30) :] = 0
     assert (alignment.agree(base, other) == alignment._aligned(base, other, 46)).all()
     assert 50 < alignment.agree(base, other).sum() < 350
+
+
+def some_codes(rng, kind, n):
+    """Rows of codes around one shingle that share a line of `kind` shingles, some of them more: passages, edited copies, a second line."""
+    rows = rng.randint(1, 1 << 16, (n, 96)).astype(np.uint16)
+    line, passage, second = (rng.randint(1, 1 << 16, k).astype(np.uint16) for k in (96, 96, 12))
+    left = int(rng.randint(max(5, kind - 48), 20))
+    for i in range(n):
+        rows[i, 48 - left : 48 - left + kind] = line[:kind]
+        what = rng.randint(0, 6)
+        if what == 0:  # the line stands in a passage, which is there whole or in part, with an edit or two
+            a, b = int(rng.randint(0, 30)), int(rng.randint(60, 97))
+            rows[i, a:b] = passage[a:b]
+            rows[i, 48 - left : 48 - left + kind] = line[:kind]
+            for _ in range(rng.randint(0, 3)):
+                k = int(rng.randint(0, 92))
+                rows[i, k : k + 5] = rng.randint(1, 1 << 16, 5)
+        elif what == 1:
+            rows[i, 84:96] = second
+        elif what == 2 and i:  # a copy of an earlier row, cut off or shifted by an insertion
+            rows[i] = rows[int(rng.randint(0, i))]
+            k = int(rng.randint(60, 90))
+            if rng.rand() < 0.5:
+                rows[i, k:] = 0
+            else:
+                rows[i, k + 1 :] = rows[i, k:-1].copy()
+    return rows
+
+
+def joined(n, links):
+    label = list(range(n))
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in zip(*(x.tolist() for x in links)):
+        label[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", [20, 30, 36, 60])
+def test_cutting_entries_loses_no_link(kind, monkeypatch):
+    rng = np.random.RandomState(kind)
+    for n in (60, 200):
+        code = some_codes(rng, kind, n)
+        key = np.full(n, 5, np.int64)
+        a, b = np.triu_indices(n, 1)
+        yes = alignment.agree(code[a], code[b])
+        want = joined(n, (b[yes], a[yes]))
+        monkeypatch.setattr(alignment, "FEW", 10**9)
+        whole = joined(n, alignment.match(key, code))
+        for few in (1, 4, 16):
+            monkeypatch.setattr(alignment, "FEW", few)
+            got = joined(n, alignment.match(key, code))
+            assert got == whole and len(set(want)) <= len(set(got)) <= len(set(want)) + 1
+
+
+def test_a_line_in_very_many_texts_makes_few_comparisons(monkeypatch):
+    rng = np.random.RandomState(8)
+    compared = []
+    agree = alignment.agree
+    monkeypatch.setattr(alignment, "agree", lambda a, b, least: compared.append(len(a)) or agree(a, b, least))
+    for n in (500, 2000):
+        code = rng.randint(1, 1 << 16, (n, 96)).astype(np.uint16)
+        code[:, 30:60] = np.arange(1, 31)
+        code[n // 2 : n // 2 + 100, 20:85] = np.arange(1000, 1065)  # a hundred hold a longer passage
+        code[n // 2 : n // 2 + 100, 30:60] = np.arange(1, 31)
+        compared.clear()
+        links = alignment.match(np.zeros(n, np.int64), code)
+        assert sum(compared) < 25 * n
+        label = joined(n, links)
+        assert [label[i] == n // 2 for i in range(n)] == [n // 2 <= i < n // 2 + 100 for i in range(n)]
