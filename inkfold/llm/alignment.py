@@ -16,7 +16,7 @@ SIDE = 48
 SHIFT = 8
 RUN, NEAR = 17, 4
 #: So many rows of an entry meet all others, which joins copies; where more are left, entries are cut by what their rows share.
-FEW = 16
+FEW = 32
 _NEVER, _FAR = np.int16(-8000), np.int16(8192)
 _GAP, _ONE = np.int16(4), np.int16(1)
 
@@ -69,7 +69,10 @@ def _aligned(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
 
 
 def _possible(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """False only where no span can agree: each shingle counts as matched that has an equal one within SHIFT."""
+    """False only where no span can agree: each shingle counts as matched that has an equal one within SHIFT.
+
+    Of starts of i and j shingles with m matched the score is 9 m - 4 (i + j), and m is at most what either could match.
+    """
     hits = [np.zeros(x.shape, bool) for x in (a, b)]
     for half in (slice(0, SIDE), slice(SIDE, 2 * SIDE)):
         x, y, hit_x, hit_y = a[:, half], b[:, half], hits[0][:, half], hits[1][:, half]
@@ -78,13 +81,16 @@ def _possible(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
             same = x[:, i] == y[:, j]
             hit_x[:, i] |= same
             hit_y[:, j] |= same
-    yes = np.ones(len(a), bool)
-    for hit, codes in zip(hits, (a, b)):
-        worth = np.where(hit & (codes != 0), _ONE, -_GAP).T
-        start = np.zeros((1, len(a)), np.int16)
-        left, right = (np.concatenate([start, np.cumsum(part, 0, dtype=np.int16)]) for part in (worth[:SIDE][::-1], worth[SIDE:]))
-        yes &= _spans(left, right, least)
-    return yes
+    start, length = np.zeros((1, len(a)), np.int16), np.arange(SIDE + 1)
+    both = []
+    for way in (slice(SIDE - 1, None, -1), slice(SIDE, None)):
+        x, y = (np.concatenate([start, np.cumsum((hit & (codes != 0)).T[way], 0, dtype=np.int16)]) for hit, codes in zip(hits, (a, b)))
+        most = np.minimum(x, y) * np.int16(9)
+        for further, cost in ((2, 4), (SHIFT, 12)):  # one start is longer, by 1 or 2 or by 3 or more
+            on = np.minimum(length + further, SIDE)
+            np.maximum(most, np.maximum(np.minimum(x, y[on]), np.minimum(x[on], y)) * np.int16(9) - np.int16(cost), out=most)
+        both.append(most - (8 * length).astype(np.int16)[:, None])
+    return _spans(*both, least)
 
 
 def agree(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> np.ndarray:
