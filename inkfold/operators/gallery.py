@@ -111,6 +111,18 @@ def without_pages(tables: dict[str, DataFrame], gone: DataFrame, key: str = "pag
     return {name: df.join(gone.select(key), key, "left_anti") for name, df in tables.items()}
 
 
+def mask_key(page: str, spread: str) -> Column:
+    """The key of a letter mask that is kept: `page@spread`."""
+    return F.concat_ws("@", F.col(page).cast("string"), F.col(spread).cast("string"))
+
+
+def without_masks(masks: DataFrame, gone: DataFrame, page: str = "page_id", key: str = "key") -> DataFrame:
+    """Kept masks without those of the pages that changed or went, whatever their spread."""
+    own = F.regexp_extract(key, "^(.*)@[^@]*$", 1)
+    gone = gone.select(F.col(page).cast("string").alias("gone_page")).distinct()
+    return masks.join(gone, own == F.col("gone_page"), "left_anti")
+
+
 def without_empty_folders(folders: DataFrame, pages: DataFrame) -> DataFrame:
     """Folders that have a page left, or were made by hand."""
     held = folders.join(pages.select(F.col("folder").alias("name")).distinct(), "name", "left_semi")

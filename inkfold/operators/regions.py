@@ -206,3 +206,10 @@ def patched(rows: DataFrame, patches: DataFrame) -> DataFrame:
         "lettered": F.when(F.col("lettered").isNotNull() & lettering.isNotNull(), lettering.lettered).otherwise(F.col("lettered")),
     }
     return out.withColumns(changed).select(rows.columns)
+
+
+def toggled(rows: DataFrame, picks: DataFrame) -> DataFrame:
+    """rows (page_id, det_id, excluded and others) with excluded turned once for each pick of a region; picks of others are ignored."""
+    turns = picks.groupBy("page_id", "det_id").agg((F.count("*") % 2 == 1).alias("turn"))
+    turn = F.coalesce("turn", F.lit(False))
+    return rows.join(turns, ["page_id", "det_id"], "left").withColumn("excluded", F.col("excluded") != turn).select(rows.columns)

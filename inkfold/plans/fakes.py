@@ -72,3 +72,28 @@ def fake_term_asker() -> Asker:
         return json.dumps({"translations": [f"<{line}>"], "terms": [{"source": line[:1], "target": "t"}], "story": {"scene": line[-1:] if len(line) % 2 == 0 else " "}})
 
     return ask
+
+
+def pixel_detector() -> Detector:
+    """The box of the pixels over 215 of an 8 by 8 page, then that of those over 128, each scored by how many there are."""
+
+    def detect(page: bytes) -> list[tuple[int, float, int, int, int, int]]:
+        grey, found = np.frombuffer(page, np.uint8).reshape(8, 8), []
+        for label, over in ((1, 215), (0, 128)):
+            ys, xs = np.nonzero(grey > over)
+            if not len(ys):
+                raise ValueError("blank page")
+            found.append((label, len(ys) / 64, int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1))
+        return found
+
+    return detect
+
+
+def pixel_reader() -> Reader:
+    """Tells the sum of all pixels, and their sum by place."""
+    return lambda crop, language: f"{language} {sum(crop)} {sum(i * g for i, g in enumerate(crop))}"
+
+
+def pixel_segmenter() -> Callable[[bytes], list[np.ndarray]]:
+    """Each pixel's brightness as the probability of ink, among outputs of other shapes."""
+    return lambda page: [np.zeros((1, 5), np.float32), np.frombuffer(page, np.uint8).reshape(1, 1, 8, 8) / 255]

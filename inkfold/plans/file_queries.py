@@ -104,6 +104,15 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left["pages"].select("page_id", "folder")
 
 
+@query(with_views("select page_id || '@' || s as key, size + s as ink from files, unnest(range(4)) u(s) where page_id not in (select page_id from files where page_id % 3 = 0 or size % 5 = 0)", "files"))
+def masks_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter masks kept by page and spread, after some pages changed and some went."""
+    own = files(spark, sf_dir).select("page_id", "size", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("spread"))
+    masks = own.select(gl.mask_key("page_id", "spread").alias("key"), (F.col("size") + F.col("spread")).alias("ink"))
+    gone = files(spark, sf_dir).where("page_id % 3 = 0").select("page_id").union(files(spark, sf_dir).where("size % 5 = 0").select("page_id"))
+    return gl.without_masks(masks, gone)
+
+
 @query("""with a as (select doc_id, case doc_id % 6 when 0 then ' JA ' when 1 then '' when 2 then 'zz' when 3 then 'Ko' else lang end as asked from documents)
 select doc_id, case when asked in ('fr', 'de', 'es', 'zz') then null when trim(asked) = '' then 'ja' else lower(trim(asked)) end as code,
   case when asked in ('fr', 'de', 'es', 'zz') then null else lower(trim(asked)) in ('ja', '') end as rtl from a""")

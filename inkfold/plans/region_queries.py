@@ -76,6 +76,12 @@ def region_confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.on_page(r.confident(detections(spark, sf_dir)), W, H)
 
 
+@query(with_views(f"with {_CLIP.strip()} select page_id, label, score, x0, y0, x1, y1 from sure", "detections"))
+def confident_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes without their numbers: nothing is numbered then, so both filters run where the table is read and no row is moved."""
+    return r.on_page(r.confident(detections(spark, sf_dir)), W, H).drop("det_id")
+
+
 @query(with_views("select ['bubble', 'speech', 'free'][label + 1] as kind, count(*) as n, round(avg(score), 6) as confidence, count(*) filter (score < 0.8) as unsure from detections where score >= 0.35 group by 1", "detections"))
 def region_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = r.confident(detections(spark, sf_dir)).withColumn("kind", r.kind(F.col("label")))
@@ -103,6 +109,38 @@ def box_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.padded(detections(spark, sf_dir), r.BLOCK_PAD, W, H)
 
 
+_INSET = "greatest(1, round_even(0.12 * least(x1 - x0, y1 - y0), 0))"
+_GROWN = "greatest(2, round_even(0.03 * least(x1 - x0, y1 - y0), 0))"
+_FITS = f"(x1 - x0 > 2 * {_INSET} and y1 - y0 > 2 * {_INSET})"
+
+
+@query(with_views(f"""select page_id, det_id, (x0 + case when {_FITS} then {_INSET} else 0 end)::int as shrunk_x0, (y0 + case when {_FITS} then {_INSET} else 0 end)::int as shrunk_y0,
+  (x1 - case when {_FITS} then {_INSET} else 0 end)::int as shrunk_x1, (y1 - case when {_FITS} then {_INSET} else 0 end)::int as shrunk_y1,
+  greatest(x0 - {_GROWN}, 0)::int as read_x0, greatest(y0 - {_GROWN}, 0)::int as read_y0, least(x1 + {_GROWN}, {W})::int as read_x1, least(y1 + {_GROWN}, {H})::int as read_y1,
+  greatest(8, round_even((x1 - x0) * 10 * s, 0))::int as work_w, greatest(8, round_even((y1 - y0) * 10 * s, 0))::int as work_h,
+  round(k, 6) as scale, (640 - round_even((x1 - x0) * k, 0))::int as pad_right, (640 - round_even((y1 - y0) * k, 0))::int as pad_bottom
+from (select *, least(1.0::double, sqrt(1e6::double / ((x1 - x0) * 10 * (y1 - y0) * 10))) as s, least(640.0::double / (y1 - y0), 640.0::double / (x1 - x0)) as k from detections
+  where x0 between 0 and {W} and y0 between 0 and {H} and x1 <= {W} and y1 <= {H}) sized""", "detections"))
+def box_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge of inset boxes and of boxes padded for reading, both working sides, and scale and pads of letterboxes."""
+    box = Box.of()
+    inside = detections(spark, sf_dir).where(f"x0 between 0 and {W} and y0 between 0 and {H} and x1 <= {W} and y1 <= {H}")
+    inset, grown = box.shrunk(0.12), box.padded(r.READ_PAD, r.LEAST_PAD, W, H)
+    scale, right, bottom = g.letterbox(box.w, box.h, 640)
+    named = {f"{name}_{e}": c for name, b in (("shrunk", inset), ("read", grown)) for e, c in zip(r.EDGES, (b.x0, b.y0, b.x1, b.y1))}
+    named |= dict(zip(("work_w", "work_h"), g.working_size(box.w * 10, box.h * 10))) | {"pad_right": right, "pad_bottom": bottom}
+    return inside.select("page_id", "det_id", F.round(scale, 6).alias("scale"), *[c.cast("int").alias(n) for n, c in named.items()])
+
+
+@query(with_views("select page_id, det_id, (score < 0.8) <> (det_id % 3 = 0 and det_id % 9 <> 0) as excluded from detections", "detections"))
+def toggled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions left out by their score, some picked once, some twice, and picks of regions that aren't there."""
+    d = detections(spark, sf_dir)
+    picks = d.where("det_id % 3 = 0").select("page_id", "det_id")
+    picks = picks.union(picks.where("det_id % 9 = 0")).union(picks.select("page_id", F.col("det_id") + 100_000))
+    return r.toggled(d.select("page_id", "det_id", (F.col("score") < r.UNSURE).alias("excluded")), picks)
+
+
 @query(with_views("""with c as (select *, y1 - y0 >= x1 - x0 as tall, greatest(x1 - x0, y1 - y0) as side from detections),
 p as (select *, case when side < 24 then floor(side / 2 + 0.5) else least(greatest(floor(side * 0.3 + 0.5), 12), side - 12) end::int as cut from c)
 select page_id, det_id,

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.functions import shapes
+from inkfold.functions import jsonx, shapes
 from inkfold.plans.registry import query
 
 
+#: The whole number in an event's properties, in either dialect.
+SPARK_K, DUCK_K = "cast(get_json_object(props, '$.k') as int)", "json_extract_string(props, '$.k')::int"
+
+
 def _person(i: int) -> str:
-    """SQL of a person, in either dialect."""
+    """SQL of a person told of by an event, with {k} for the number in its properties."""
     return f"""case (event_id * 3 + {i}) % 61 when 0 then '"text"' when 1 then '7' when 2 then '[]' else concat('{{"name":',
-      case (event_id + {i}) % 53 when 0 then '"  "' when 1 then 'null' when 2 then '5' when 3 then 'false' else concat('" k', (event_id + {i}) % 20, '"') end,
+      case (event_id + {i}) % 53 when 0 then '"  "' when 1 then 'null' when 2 then '5' when 3 then 'false' else concat('" k', ({{k}} + {i}) % 20, '"') end,
       case (event_id * 5 + {i}) % 47 when 0 then '' when 1 then ',"gender":null' when 2 then ',"gender":"odd"' when 3 then ',"gender":7' when 4 then ',"gender":"unknown"' when 5 then ',"gender":"female"' else ',"gender":"male"' end,
       case (event_id * 7 + {i}) % 43 when 0 then ',"settled":["gender","x"]' when 1 then ',"settled":"gender"' when 2 then ',"settled":null' when 3 then ',"settled":["note","gender"]' when 4 then ',"settled":[]' when 5 then ',"settled":["note",5]' else '' end,
-      ',"note":" n{i} "}}') end"""
+      ',"note":" n{i} ', user_id, ' "}}') end"""
 
 
 def _story(cast: str) -> str:
-    """SQL of a story with a cast of up to fourteen people, in either dialect."""
-    return f"""case event_id % 89 when 0 then 'no json' when 1 then '[]' when 2 then '"text"' when 3 then 'null' else concat('{{"scene":', case event_id % 5 when 0 then '5' when 1 then 'null' else '"  on "' end,
+    """SQL of a story with a cast of up to fourteen people."""
+    return f"""case event_id % 89 when 0 then 'no json' when 1 then '[]' when 2 then '"text"' when 3 then 'null' else concat('{{"scene":', case event_id % 5 when 0 then '5' when 1 then 'null' else concat('"  on ', event_type, ' "') end,
       case event_id % 83 when 0 then '' when 1 then ',"cast":null' when 2 then ',"cast":"x"' when 3 then ',"cast":{{}}' when 4 then ',"cast":{{"a":1}}' when 5 then ',"cast":0' when 6 then ',"cast":7' else concat(',"cast":[', {cast}, ']') end, '}}') end"""
 
 
@@ -29,7 +33,7 @@ _PEOPLE = [_person(i) for i in range(14)]
 _CAST = f"case when event_id % 11 = 0 then '' when event_id % 7 = 0 then concat_ws(',', {', '.join(_PEOPLE)}) else concat_ws(',', {', '.join(_PEOPLE[:3])}) end"
 _RAW = _story(_CAST)
 
-_STRICT = f"""with r as (select event_id, {_RAW} as raw from events),
+_STRICT = f"""with r as (select event_id, {_RAW.replace('{k}', DUCK_K)} as raw from events),
 j as (select event_id, raw, case when json_valid(raw) then raw::json end as v from r),
 c as (select *, json_type(v) as kind, json_type(v, '$.cast') as cast_kind, json_extract(v, '$.cast') as people from j),
 e as (select event_id, i, json_extract(people, '$[' || i || ']') as p from (select event_id, people, unnest(range(json_array_length(people)::bigint)) as i from c where cast_kind = 'ARRAY')),
@@ -53,8 +57,45 @@ select event_id, why, case when why is null then trim(coalesce(json_extract_stri
 @query(_STRICT)
 def strict_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories that callers send along: the first thing wrong and where, or what they hold."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_RAW).alias("raw"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_RAW.replace("{k}", SPARK_K)).alias("raw"))
     raw = F.col("raw")
     read = rows.select("event_id", shapes.fault(raw, shapes.STORY, "previously").alias("why"), shapes.value(raw, shapes.STORY).alias("story"))
     line = lambda p: F.concat_ws("/", p["name"], p.gender, p.note, F.array_join(p.settled, "+"))
     return read.select("event_id", "why", "story.scene", F.array_join(F.transform("story.cast", line), " ").alias("people"))
+
+
+_CAPPED = f"""with e as (select event_id, {DUCK_K} as k from events),
+c as (select event_id, k, 30 + k % 25 as n, 10 + k % 5 as p from e)
+select event_id, least(40, n)::int as terms, 's' || (least(40, n) - 1) as last_term, least(80, 60 + k % 40)::int as note, least(12, p)::int as people, 'p' || (least(12, p) - 1) as last_person, least(200, 190 + k % 20)::int as person_note, least(600, 590 + k % 20)::int as scene from c"""
+
+
+@query(_CAPPED)
+def capped_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with more terms and people, and longer notes and scenes, than are taken."""
+    k = F.expr(SPARK_K)
+    many = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    term = lambda i: F.struct(F.concat(F.lit("s"), i.cast("string")).alias("source"), F.lit("t").alias("target"), F.repeat(F.lit("n"), 60 + k % 40).alias("note"))
+    person = lambda i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("name"), F.lit("odd").alias("gender"), F.repeat(F.lit("c"), 190 + k % 20).alias("note"))
+    story = F.struct(F.repeat(F.lit("z"), 590 + k % 20).alias("scene"), many(10 + k % 5, person).alias("cast"))
+    told = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_json(F.struct(many(30 + k % 25, term).alias("terms"), story.alias("story"))).alias("content"))
+    v = told.select("event_id", jsonx.reply(F.col("content")).alias("v"))
+    read = v.select("event_id", jsonx.terms(F.col("v")).alias("t"), jsonx.people(F.col("v")).alias("p"), jsonx.scene(F.col("v")).alias("s"))
+    last = lambda a: F.element_at(a, -1)
+    return read.select(
+        "event_id", F.size("t").alias("terms"), last("t").source.alias("last_term"), F.length(last("t").note).alias("note"), F.size("p").alias("people"), last("p")["name"].alias("last_person"),
+        F.length(last("p").note).alias("person_note"), F.length("s").alias("scene"),
+    )
+
+
+_NUMBERS = f"""with e as (select event_id, user_id, {DUCK_K} as k, case event_type when 'click' then '  ' when 'view' then ' ' || k || ' ' when 'signup' then k || '.5' else '-' || k end as raw
+  from (select *, {DUCK_K} as k from events))
+select event_id, case when trim(raw) = '' then 0 when contains(raw, '.') then null else least(64, greatest(0, trim(raw)::int)) end as grow from e"""
+
+
+@query(_NUMBERS)
+def number_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers as callers write them: blank, padded, below and above what makes sense, or none at all."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("event_type")
+    raw = F.when(kind == "click", "  ").when(kind == "view", F.concat(F.lit(" "), k, F.lit(" "))).when(kind == "signup", F.concat(k, F.lit(".5"))).otherwise(F.concat(F.lit("-"), k))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", jsonx.whole(raw, 0, 64).alias("grow"))
