@@ -32,24 +32,24 @@ def row_runs(cells: DataFrame, key: str) -> DataFrame:
 def labelled(cells: DataFrame, key: str, reach: int = 1) -> DataFrame:
     """(key, y, a, b, root): runs with the first run of their mark. reach: 1 if pixels that touch at a corner belong together, else 0.
 
-    Each run takes the smallest label that it knows of, its neighbours' or its label's own, until none changes: labels
-    run along a mark in steps that double.
+    Each round every mark so far takes the smallest label that one of its runs' neighbours has, as a whole, and that
+    label's own new label; so marks at least halve in number, however they wind.
     """
     runs = _kept(row_runs(cells, key))
     above, below = runs.alias("p"), runs.alias("n")
     touch = (F.col(f"p.{key}") == F.col(f"n.{key}")) & (F.col("p.y") + 1 == F.col("n.y")) & (F.col("p.a") < F.col("n.b") + reach) & (F.col("n.a") < F.col("p.b") + reach)
     pairs = above.join(below, touch).select(F.col(f"p.{key}").alias(key), F.col("p.id").alias("u"), F.col("n.id").alias("v"))
     pairs = _kept(pairs.unionByName(pairs.select(key, F.col("v").alias("u"), F.col("u").alias("v"))))
-    now, state = runs.select(key, "id", F.col("id").alias("root")), None
+    now = runs.select(key, "id", F.col("id").alias("root"))
     while True:
-        told = pairs.join(now.select(key, F.col("id").alias("v"), "root"), [key, "v"]).groupBy(key, F.col("u").alias("id")).agg(F.min("root").alias("told"))
-        nearer = now.join(told, [key, "id"], "left").select(key, "id", F.least("root", "told").alias("root"))
-        nearer = _kept(nearer)
-        labels = nearer.select(key, F.col("id").alias("root"), F.col("root").alias("further"))
-        now = _kept(nearer.join(labels, [key, "root"]).select(key, "id", F.col("further").alias("root")))
-        last, state = state, now.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if state == last:
+        told = pairs.join(now.select(key, F.col("id").alias("v"), F.col("root").alias("told")), [key, "v"]).select(key, F.col("u").alias("id"), "told")
+        met = told.join(now, [key, "id"]).where("told < root").groupBy(key, "root").agg(F.min("told").alias("further"))
+        met = _kept(met)
+        if met.isEmpty():
             return runs.join(now, [key, "id"]).select(key, "y", "a", "b", "root")
+        again = met.select(key, F.col("root").alias("further"), F.col("further").alias("furthest"))
+        to = met.join(again, [key, "further"], "left").select(key, "root", F.coalesce("furthest", "further").alias("to"))
+        now = _kept(now.join(to, [key, "root"], "left").select(key, "id", F.coalesce("to", "root").alias("root")))
 
 
 def numbered(runs: DataFrame, key: str) -> DataFrame:
