@@ -23,16 +23,16 @@ def words(text: Column) -> Column:
 def _filled(pieces: Column, text: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
     """Pieces set one after the other, as lines joined by line breaks; joins(used, piece): whether it goes on a line that has `used` characters.
 
-    Only the open line grows with a word, finished ones are put aside.
+    The state is the text and how long its last line is, so that line is never searched for.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
 
     def step(acc: Column, x: Column) -> Column:
-        first, goes_on = acc.line == "", joins(F.length(acc.line), x)
-        done = F.when(first | goes_on, acc.done).otherwise(F.concat(acc.done, F.array(acc.line)))
-        return F.struct(done.alias("done"), F.when(~first & goes_on, F.concat(acc.line, F.lit(" "), text(x))).otherwise(text(x)).alias("line"))
+        goes_on = (acc.used > 0) & joins(acc.used, x)
+        between = F.when(acc.used == 0, "").when(goes_on, " ").otherwise("\n")
+        return F.struct(F.concat(acc.text, between, text(x)).alias("text"), (F.length(text(x)) + F.when(goes_on, acc.used + 1).otherwise(0)).alias("used"))
 
-    return F.aggregate(pieces, start, step, lambda acc: F.array_join(F.concat(acc.done, F.array(acc.line)), "\n"))
+    return F.aggregate(pieces, start, step, lambda acc: acc.text)
 
 
 def wrapped(text: Column, most: Column) -> Column:
