@@ -226,7 +226,7 @@ def beside(raw: Column, texts: Column, shape: ListOf, name: str) -> Column:
     return F.coalesce(F.when(raw.isNotNull() & F.try_parse_json(raw).isNull(), f"{name}: not JSON"), not_a_list, F.when(n != F.size(texts), off), fault(raw, shape, name))
 
 
-def value(raw: Column, shape: Shape) -> Column:
-    """What a request field holds; null if it is refused or wasn't sent."""
+def value(raw: Column, shape: Shape, why: Column | None = None) -> Column:
+    """What a request field holds; null if it is refused or wasn't sent. why: its fault, where that is a column already."""
     v = F.try_parse_json(raw)
-    return F.when(raw.isNotNull() & fault(raw, shape, "").isNull(), shape.value(v))
+    return F.when(raw.isNotNull() & (fault(raw, shape, "") if why is None else why).isNull(), shape.value(v))

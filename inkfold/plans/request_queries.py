@@ -59,7 +59,8 @@ def strict_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories that callers send along: the first thing wrong and where, or what they hold."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_RAW.replace("{k}", SPARK_K)).alias("raw"))
     raw = F.col("raw")
-    read = rows.select("event_id", shapes.fault(raw, shapes.STORY, "previously").alias("why"), shapes.value(raw, shapes.STORY).alias("story"))
+    judged = rows.withColumn("why", shapes.fault(raw, shapes.STORY, "previously"))
+    read = judged.select("event_id", "why", shapes.value(raw, shapes.STORY, F.col("why")).alias("story"))
     line = lambda p: F.concat_ws("/", p["name"], p.gender, p.note, F.array_join(p.settled, "+"))
     return read.select("event_id", "why", "story.scene", F.array_join(F.transform("story.cast", line), " ").alias("people"))
 
