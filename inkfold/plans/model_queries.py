@@ -13,7 +13,7 @@ from inkfold.plans import fakes
 from inkfold.plans.registry import query
 from inkfold.session import shared_dir
 from inkfold.sources import archive
-from inkfold.sources.views import chapter_pages, files, lines, mentions, with_views
+from inkfold.sources.views import chapter_pages, files, grids, lines, mentions, with_views
 from inkfold.streaming import chapters, ingest
 
 
@@ -88,9 +88,8 @@ select e.vec_id as page_id, 0 as ord, case when lang = 'ja' then 'ja8x8' else co
 from every e left join parts p on e.vec_id = p.vec_id""", "tiles"))
 def read_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles read as a whole or by their lines of ink, by language."""
-    grey = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + x * 400))).cast("int"))
     language = F.element_at(F.array(*map(F.lit, ("ja", "en", "zh"))), (F.col("vec_id") % 3 + 1).cast("int"))
-    crops = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("page_id"), F.lit(0).alias("ord"), F.lit(8).alias("w"), F.lit(8).alias("h"), grey.alias("grey"), language.alias("language"))
+    crops = grids(spark, sf_dir).select(F.col("vec_id").alias("page_id"), F.lit(0).alias("ord"), F.lit(8).alias("w"), F.lit(8).alias("h"), "grey", language.alias("language"))
     crops = crops.withColumn("ink", F.transform("grey", lambda g: (g > 128).cast("int")))
     return models.read_slices(crops, fakes.fake_slice_reader, ("ja",), ("zh",))
 

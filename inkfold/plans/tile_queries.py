@@ -13,7 +13,7 @@ from inkfold.functions import raster
 from inkfold.operators import ink, marks, models
 from inkfold.plans import fakes
 from inkfold.plans.registry import query
-from inkfold.sources.views import tiles, with_views
+from inkfold.sources.views import grids, tiles, with_views
 
 SIDE = 8
 
@@ -91,12 +91,6 @@ def ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink.boxes(tiles(spark, sf_dir).where("grey > 150"), ["vec_id"], SIDE)
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, grey: array of 64)"""
-    v = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + x * 400))).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", v.alias("grey"))
-
-
 @query(with_views("""with recursive walk(vec_id, i, root) as (
   select vec_id, i, i from tiles where grey > 150
   union
@@ -115,7 +109,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
             tile, at = np.nonzero(labels)
             yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[tile], "i": at.astype(np.int32), "component": labels[tile, at] - first[tile] + 1})
 
-    return _grids(spark, sf_dir).mapInPandas(run, "vec_id long, i int, component int")
+    return grids(spark, sf_dir).mapInPandas(run, "vec_id long, i int, component int")
 
 
 @query(with_views("""with recursive near as (select distinct a.vec_id, b.i from tiles a join tiles b on a.vec_id = b.vec_id and abs(a.i % 8 - b.i % 8) <= 1 and abs(a.i // 8 - b.i // 8) <= 1 where a.grey > 200),
@@ -138,7 +132,7 @@ def patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["vec_id", "patch", "x0", "y0", "x1", "y1"])
 
-    return _grids(spark, sf_dir).mapInPandas(run, "vec_id long, patch int, x0 int, y0 int, x1 int, y1 int")
+    return grids(spark, sf_dir).mapInPandas(run, "vec_id long, patch int, x0 int, y0 int, x1 int, y1 int")
 
 
 def _pixels(spark: SparkSession, sf_dir: str, over: int) -> DataFrame:
@@ -186,7 +180,7 @@ def ink_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, data): tiles as 64 bytes of grey."""
-    return _grids(spark, sf_dir).select(F.col("vec_id").alias("page_id"), F.unhex(F.array_join(F.transform("grey", lambda g: F.lpad(F.hex(g), 2, "0")), "")).alias("data"))
+    return grids(spark, sf_dir).select(F.col("vec_id").alias("page_id"), F.unhex(F.array_join(F.transform("grey", lambda g: F.lpad(F.hex(g), 2, "0")), "")).alias("data"))
 
 
 @query(with_views("""with b as (select vec_id as page_id, i % 8 as x, i // 8 as y, grey from tiles),
