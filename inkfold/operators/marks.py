@@ -6,20 +6,20 @@ proportion to the ink's outline; every join has the page as a key.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.operators import ink
-from inkfold.session import shared_dir
+from inkfold.session import kept
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/marks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, "marks")
+
+
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles: nothing is gathered on the driver for a broadcast, however small it looks in some round."""
+    return a.join(b.hint("merge"), on, how)
 
 
 def row_runs(cells: DataFrame, key: str) -> DataFrame:
@@ -38,18 +38,18 @@ def labelled(cells: DataFrame, key: str, reach: int = 1) -> DataFrame:
     runs = _kept(row_runs(cells, key))
     above, below = runs.alias("p"), runs.alias("n")
     touch = (F.col(f"p.{key}") == F.col(f"n.{key}")) & (F.col("p.y") + 1 == F.col("n.y")) & (F.col("p.a") < F.col("n.b") + reach) & (F.col("n.a") < F.col("p.b") + reach)
-    pairs = above.join(below, touch).select(F.col(f"p.{key}").alias(key), F.col("p.id").alias("u"), F.col("n.id").alias("v"))
+    pairs = above.join(below.hint("merge"), touch).select(F.col(f"p.{key}").alias(key), F.col("p.id").alias("u"), F.col("n.id").alias("v"))
     pairs = _kept(pairs.unionByName(pairs.select(key, F.col("v").alias("u"), F.col("u").alias("v"))))
     now = runs.select(key, "id", F.col("id").alias("root"))
     while True:
-        told = pairs.join(now.select(key, F.col("id").alias("v"), F.col("root").alias("told")), [key, "v"]).select(key, F.col("u").alias("id"), "told")
-        met = told.join(now, [key, "id"]).where("told < root").groupBy(key, "root").agg(F.min("told").alias("further"))
+        told = _joined(pairs, now.select(key, F.col("id").alias("v"), F.col("root").alias("told")), [key, "v"]).select(key, F.col("u").alias("id"), "told")
+        met = _joined(told, now, [key, "id"]).where("told < root").groupBy(key, "root").agg(F.min("told").alias("further"))
         met = _kept(met)
         if met.isEmpty():
-            return runs.join(now, [key, "id"]).select(key, "y", "a", "b", "root")
+            return _joined(runs, now, [key, "id"]).select(key, "y", "a", "b", "root")
         again = met.select(key, F.col("root").alias("further"), F.col("further").alias("furthest"))
-        to = met.join(again, [key, "further"], "left").select(key, "root", F.coalesce("furthest", "further").alias("to"))
-        now = _kept(now.join(to, [key, "root"], "left").select(key, "id", F.coalesce("to", "root").alias("root")))
+        to = _joined(met, again, [key, "further"], "left").select(key, "root", F.coalesce("furthest", "further").alias("to"))
+        now = _kept(_joined(now, to, [key, "root"], "left").select(key, "id", F.coalesce("to", "root").alias("root")))
 
 
 def numbered(runs: DataFrame, key: str) -> DataFrame:
@@ -63,7 +63,7 @@ def patches(cells: DataFrame, key: str, width: int, height: int, apart: int = 24
     at = cells.select(key, (F.col("y") * width + F.col("x")).cast("int").alias("i"))
     near = ink.dilated(at, key, width, height, apart // 2).select(key, (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"))
     pieces = labelled(near, key).select(key, "root", "y", F.explode(F.sequence("a", F.col("b") - 1)).alias("x"))
-    own = pieces.join(cells.select(key, "x", "y"), [key, "x", "y"])
+    own = _joined(pieces, cells.select(key, "x", "y"), [key, "x", "y"])
     box = own.groupBy(key, "root").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
     more = F.greatest(F.lit(least), F.rint(context * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).cast("int"))
     edges = {"x0": F.greatest(F.lit(0), F.col("x0") - more), "y0": F.greatest(F.lit(0), F.col("y0") - more), "x1": F.least(F.lit(width), F.col("x1") + more), "y1": F.least(F.lit(height), F.col("y1") + more)}
