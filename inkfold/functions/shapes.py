@@ -23,19 +23,22 @@ FACTS = ("gender", "note")
 FILLS = ("art", "white")
 
 
+_KINDS_OF_JSON = {"OBJECT": "object", "ARRAY": "list", "STRING": "text", "BOOLEAN": "boolean", "VOID": "nothing"}
+
+
 def kind_of(v: Column) -> Column:
     """What a VARIANT is: `object`, `list`, `text`, `number`, `boolean`, or `nothing` if it is null or missing."""
-    said = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    return (
-        F.when(F.startswith(said, F.lit("OBJECT")), "object").when(F.startswith(said, F.lit("ARRAY")), "list").when(said == "STRING", "text")
-        .when(said == "BOOLEAN", "boolean").when(said == "VOID", "nothing").otherwise("number")
-    )
+    # the schema is told once; it grows with all that v holds
+    said = F.substring_index(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "<", 1)
+    names = F.create_map(*[F.lit(x) for pair in _KINDS_OF_JSON.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, said), F.lit("number"))
 
 
 def _text(v: Column) -> Column:
     """A text stripped, anything else as JSON; '' if there is nothing, or it is 0, false or empty."""
     empty = (kind_of(v) == "number") & (F.try_variant_get(v, "$", "double") == 0) | F.coalesce(F.to_json(v).isin("false", "{}", "[]"), F.lit(False))
-    return F.when(empty, "").otherwise(t.strip(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))))
+    said = t.strip(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+    return F.when(kind_of(v) == "text", said).when(empty, "").otherwise(said)
 
 
 def _member(v: Column, name: str) -> Column:
@@ -155,8 +158,9 @@ class ListOf(Shape):
     def fault(self, v: Column, path: Column) -> Column:
         inside = F.transform(self._items(v), lambda e, i: self.each.fault(e, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
         first = F.get(F.filter(inside, lambda f: f.isNotNull()), 0)
-        out = F.when(kind_of(v) != "list", _at(path, self.reason)).otherwise(first)
-        return F.when(~self._empty(v), out) if self.absent else out
+        wrong = _at(path, self.reason)
+        # an empty list has no fault inside, so lists needn't be told from it
+        return F.when(kind_of(v) != "list", F.when(~self._empty(v), wrong) if self.absent else wrong).otherwise(first)
 
     def value(self, v: Column) -> Column:
         found = F.transform(self._items(v), self.each.value)
@@ -206,9 +210,9 @@ KINDS_OF_LINES = ListOf(OneOf(KINDS, blank=""))
 MOST_TERMS = GLOSSARY
 
 
-def fault(raw: Column, shape: Shape, name: str) -> Column:
-    """Why a request field (JSON text) is refused; null if it isn't, or wasn't sent."""
-    v = F.try_parse_json(raw)
+def fault(raw: Column, shape: Shape, name: str, v: Column | None = None) -> Column:
+    """Why a request field (JSON text) is refused; null if it isn't, or wasn't sent. v: raw parsed, where that is a column already."""
+    v = F.try_parse_json(raw) if v is None else v
     # a JSON null is a value, text that is no JSON is none
     return F.when(raw.isNull(), None).when(v.isNull(), f"{name}: not JSON").otherwise(shape.fault(v, F.lit(name)))
 
@@ -226,7 +230,7 @@ def beside(raw: Column, texts: Column, shape: ListOf, name: str) -> Column:
     return F.coalesce(F.when(raw.isNotNull() & F.try_parse_json(raw).isNull(), f"{name}: not JSON"), not_a_list, F.when(n != F.size(texts), off), fault(raw, shape, name))
 
 
-def value(raw: Column, shape: Shape, why: Column | None = None) -> Column:
-    """What a request field holds; null if it is refused or wasn't sent. why: its fault, where that is a column already."""
-    v = F.try_parse_json(raw)
+def value(raw: Column, shape: Shape, why: Column | None = None, v: Column | None = None) -> Column:
+    """What a request field holds; null if it is refused or wasn't sent. why, v: its fault and raw parsed, where those are columns already."""
+    v = F.try_parse_json(raw) if v is None else v
     return F.when(raw.isNotNull() & (fault(raw, shape, "") if why is None else why).isNull(), shape.value(v))
