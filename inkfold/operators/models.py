@@ -144,13 +144,6 @@ def answers(lines: list[str], ask: Asker) -> tuple[list[str], int]:
     return got, len(replies)
 
 
-def _runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Frames sorted by key, cut where the key changes: no part has two keys, and a key may span parts."""
-    for frame in frames:
-        changes = (frame[key] != frame[key].shift()).cumsum()
-        yield from (part for _, part in frame.groupby(changes))
-
-
 def translated(asked: DataFrame, make: Callable[[], Asker]) -> DataFrame:
     """(page_id, n, answer, asks, terms, scene) for lines as asked_once gives them: (page_id, n, text).
 
@@ -158,23 +151,28 @@ def translated(asked: DataFrame, make: Callable[[], Asker]) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, held = make(), None
-        for part in _runs(frames, "page_id"):
-            if held is not None and held["page_id"].iloc[0] == part["page_id"].iloc[0]:
-                held = pd.concat([held, part])
-                continue
-            if held is not None:
-                yield told(held, ask)
-            held = part
-        if held is not None:
-            yield told(held, ask)
-
-    def told(page: pd.DataFrame, ask: Asker) -> pd.DataFrame:
-        texts, replies = _asked(page["text"].tolist(), ask)
+        ask, held, out = make(), [], []
+        for frame in frames:
+            for row in zip(frame["page_id"].tolist(), frame["n"].tolist(), frame["text"].tolist()):
+                if held and held[0][0] != row[0]:
+                    out += told(held, ask)
+                    held = []
+                held.append(row)
+            if out:
+                yield table(out)
+                out = []
+        if held:
+            yield table(told(held, ask))
+
+    def told(page: list[tuple], ask: Asker) -> list[tuple]:
+        texts, replies = _asked([text for _, _, text in page], ask)
         # terms and scene are those of the first reply that had any
         terms, scene = next(filter(None, map(_terms, replies)), []), next(filter(None, map(_scene, replies)), "")
         sources = json.dumps([source for source, _ in terms], ensure_ascii=False)
-        return pd.DataFrame({"page_id": page["page_id"], "n": page["n"], "answer": texts, "asks": len(replies), "terms": sources, "scene": scene})
+        return [(page_id, n, text, len(replies), sources, scene) for (page_id, n, _), text in zip(page, texts)]
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["page_id", "n", "answer", "asks", "terms", "scene"])
 
     pages = asked.select("page_id", "n", "text").repartition("page_id").sortWithinPartitions("page_id", "n")
     return pages.mapInPandas(run, "page_id long, n int, answer string, asks int, terms string, scene string")
