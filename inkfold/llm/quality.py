@@ -1,7 +1,9 @@
 """Quality classifier: boosted trees over whole-text statistics.
 
-Trees are fitted to a bounded, hash-chosen sample of labelled rows (SAMPLE) outside the held-out
-remainder; every document is scored from statistics of its whole text.
+Trees are fitted to all labelled rows outside the held-out remainder; every document is scored from statistics of its
+whole text. The cuts are quantiles of all these rows, told to eleven binary places. Up to
+LOCAL rows are fitted on the driver; of more only the sums of a level leave the tasks, which keep a row as one byte for
+each statistic, its label and its margin, and the trees are the same.
 
 Defined cases: null and empty texts have zero statistics and are scored like any other; a null doc_id is
 scored and never held out; without labels of both kinds the score is the smoothed mean of the labels;
@@ -18,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.boosting import Trees, fit
-from inkfold.llm.tables import free_name, id_crc, labelled_sample, sample_texts
+from inkfold.llm.boosting import Trees, added, coded, fit, grown, start_of, sums_of
+from inkfold.llm.tables import free_name, id_crc, labelled, materialize
 from inkfold.llm.words import NEWLINE, Chunk, chunks, runs_of, span_hashes, spans
 
-SAMPLE = 20_000
+LOCAL = 20_000
+BINS, DROPPED = 64, 12
+#: Trees after which the margins of the rows are written anew.
+REFRESH = 10
 HELD_OUT = (4, 2)
 KEEP = 0.7
 
@@ -72,18 +77,98 @@ def batch_stats(texts: pa.Array) -> np.ndarray:
     return np.concatenate([np.zeros((0, WIDTH)), *map(chunk_stats, chunks(texts))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = HELD_OUT, **how) -> Trees:
-    """Trees from at most `sample` labelled documents; only their statistics reach the driver."""
+def _labelled_stats(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int]) -> DataFrame:
+    """(label, stats) of every labelled document; statistics, not texts, are shuffled to the labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = pa.array(list(batch_stats(batch.column("text")).astype(np.float32)), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), stats], ["doc_id", "label", "stats"])
+            values = pa.array(batch_stats(batch.column("text")).astype(np.float32).ravel())
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * WIDTH), values)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], ["doc_id", "stats"])
 
-    chosen = sample_texts(docs, labelled_sample(labels, "quality", held_out, sample))
-    rows = chosen.mapInArrow(run, "doc_id long, label int, stats array<float>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(rows["stats"].tolist(), np.float64).reshape(len(rows), WIDTH)
-    return fit(x, rows["label"].to_numpy(np.float64), **how)
+    mod, rem = held_out
+    # other documents have no label to learn
+    own = docs.where(F.col("doc_id").isNotNull() & (id_crc() % mod != rem)).select("doc_id", "text")
+    return own.mapInArrow(run, "doc_id long, stats array<float>").join(labelled(labels, "quality", held_out), "doc_id").select("label", "stats")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, WIDTH)
+
+
+def _cuts(rows: DataFrame, n: int) -> list[np.ndarray]:
+    """Quantiles of each statistic: values are counted by all but the last DROPPED bits of a 32-bit float, so a cut is the top of such a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # bits of floats that aren't negative are in their order
+            place = np.maximum(_matrix(batch.column("stats")), 0).view(np.int32).astype(np.int64) >> DROPPED
+            key, count = np.unique(place + (np.arange(WIDTH) << 32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "n"])
+
+    counts = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    key, count = counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    out = []
+    for f in range(WIDTH) if n else ():
+        own = key >> 32 == f
+        reached = np.searchsorted(count[own].cumsum(), np.ceil(np.linspace(0, 1, BINS + 1)[1:-1] * n))
+        top = (np.unique(key[own][reached]) - (f << 32) << DROPPED) | ((1 << DROPPED) - 1)
+        out.append(top.astype(np.int32).view(np.float32).astype(np.float64))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_OUT, local: int = LOCAL, depth: int = 4, **how) -> Trees:
+    """Trees from all labelled documents. Up to `local` rows of statistics reach the driver, of more only sums."""
+    rows = materialize(_labelled_stats(docs, labels, held_out), "stats")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    cuts = _cuts(rows, n)
+    how |= {"depth": depth, "bins": BINS}
+    if n <= local:
+        held = rows.toPandas()
+        return fit(np.array(held["stats"].tolist(), np.float64).reshape(-1, WIDTH), held["label"].to_numpy(np.float64), cuts, **how)
+    base = start_of(n, positive)
+    if positive in (0, n):
+        return grown(None, base, [], **how)
+
+    def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = coded(_matrix(batch.column("stats")).astype(np.float64), cuts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), pa.array([c.tobytes() for c in codes]), pa.array(np.full(batch.num_rows, base))], ["label", "codes", "margin"]
+            )
+
+    kind = "label int, codes binary, margin double"
+    table, done = materialize(rows.mapInArrow(to_codes, kind), "codes"), 0
+
+    def codes_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+    def sums(finished: list[tuple[np.ndarray, ...]], feature: np.ndarray, place: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal table, done
+        if len(finished) - done >= REFRESH:
+            news = finished[done:]
+
+            def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    margin = added(batch.column("margin").to_numpy(), codes_of(batch), news, depth)
+                    yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("codes"), pa.array(margin)], ["label", "codes", "margin"])
+
+            table, done = materialize(table.mapInArrow(moved, kind), "codes"), len(finished)
+        news = finished[done:]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 2**level, WIDTH, BINS))
+            for batch in batches:
+                codes = codes_of(batch)
+                margin = added(batch.column("margin").to_numpy(), codes, news, depth)
+                total += sums_of(codes, batch.column("label").to_numpy(), margin, feature, place, level, BINS)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+
+        # one array a task, of at most 344 kB
+        parts = [np.frombuffer(r.sums).reshape(2, 2**level, WIDTH, BINS) for r in table.mapInArrow(run, "sums binary").collect()]
+        return tuple(np.sum(parts, 0))
+
+    return grown(sums, base, cuts, **how)
 
 
 def scored(docs: DataFrame, trees: Trees, columns: list[str], keep: float | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """Topics from content: clusters of hashed TF-IDF vectors, by which every document is named.
 
-Word weights come from the document frequencies of the whole table. The clusters start from a bounded sample
-(SAMPLE documents, by id hash), where spherical k-means runs on the driver; then one pass over all documents
-moves each centre to the mean of what is nearest to it. Sums are whole numbers, so that the partitioning
-changes nothing.
+Word weights come from the document frequencies of the whole table. Spherical k-means starts from centres that
+are drawn and moved on the driver over a bounded sample (SAMPLE documents, by id hash); all else is told by all
+documents: two rounds move each centre to the mean of what is nearest to it, and after the first centres with less
+than LEAST of all documents with words are given up. Sums are whole numbers, so that the partitioning changes nothing.
 
 Defined cases: a text without words has the topic NONE; without documents to start from every topic is NONE; rows
 without an id take no part in the sample but in all else; repeated rows count each.
@@ -76,11 +76,7 @@ class Topics:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Spherical k-means of unit rows; starts are spread out, each drawn by its distance to those before it.
-
-    At half time centres with less than LEAST of the rows are given up, their rows go to the next: a handful of
-    odd documents is no topic.
-    """
+    """Spherical k-means of unit rows; starts are spread out, each drawn by its distance to those before it."""
     rng = np.random.RandomState(seed)
     centres = x[:1]
     while len(centres) < min(k, len(x)):
@@ -88,11 +84,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
         if far.sum() <= 1e-6:
             break
         centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum())]]])
-    for step in range(rounds):
+    for _ in range(rounds):
         own = np.argmax(x @ centres.T, 1)
-        if step == rounds // 2:
-            centres = centres[np.bincount(own, minlength=len(centres)) >= LEAST * len(x)]
-            own = np.argmax(x @ centres.T, 1)
         sums = np.stack([x[own == t].sum(0) for t in range(len(centres))])
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
         centres = np.where(size > 0, sums / np.maximum(size, 1e-9), centres)
@@ -125,28 +118,38 @@ def fit(docs: DataFrame, k: int = TOPICS, sample: int = SAMPLE) -> Topics:
     start = np.stack([np.frombuffer(x, np.float32) for _, x in got]) if got else np.zeros((0, BUCKETS), np.float32)
     start = start[(start != 0).any(1)]
     model = Topics(idf, cluster(start, k) if len(start) else start)
+    centres, sizes = _moved(docs, model)
+    # a handful of odd documents is no topic: their centres are given up, and they go to the next
+    model = Topics(idf, centres[sizes >= LEAST * sizes.sum()])
+    return Topics(idf, _moved(docs, model)[0])
+
+
+def _moved(docs: DataFrame, model: Topics) -> tuple[np.ndarray, np.ndarray]:
+    """Each centre moved to the mean of all documents that are nearest to it, and how many there are."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(model.centres.shape, np.int64)
+        total, sizes = np.zeros(model.centres.shape, np.int64), np.zeros(len(model.centres), np.int64)
         for batch in batches:
             for _, counts in counts_of(batch.column(0)):
-                x, own = np.rint(unit(counts, idf) * _FIXED).astype(np.int64), model.nearest(counts)
+                x, own = np.rint(unit(counts, model.idf) * _FIXED).astype(np.int64), model.nearest(counts)
                 for t in np.unique(own[own >= 0]):
                     total[t] += x[own == t].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([x.tobytes() for x in total], pa.binary())], ["topic", "x"])
+                sizes += np.bincount(own[own >= 0], minlength=len(sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([x.tobytes() for x in total], pa.binary()), pa.array(sizes)], ["topic", "x", "n"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        size: dict[int, int] = {}
         for batch in batches:
-            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[t] = total.get(t, 0) + np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["topic", "x"])
-
-    kind = "topic long, x binary"
-    parts = docs.select("text").mapInArrow(sums, kind).repartition("topic").mapInArrow(added, kind).collect() if len(model.centres) else []
-    centres = model.centres.copy()
-    for r in parts:
-        x = np.frombuffer(r.x, np.int64).astype(np.float64)
+            for t, x, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                total[t], size[t] = total.get(t, 0) + np.frombuffer(x, np.int64), size.get(t, 0) + n
+        columns = [pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array(list(size.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["topic", "x", "n"])
+
+    kind = "topic long, x binary, n long"
+    centres, sizes = model.centres.copy(), np.zeros(len(model.centres), np.int64)
+    for r in docs.select("text").mapInArrow(sums, kind).repartition("topic").mapInArrow(added, kind).collect() if len(centres) else []:
+        x, sizes[r.topic] = np.frombuffer(r.x, np.int64).astype(np.float64), r.n
         if x.any():
             centres[r.topic] = x / np.sqrt((x * x).sum())
-    return Topics(idf, centres)
+    return centres, sizes

@@ -4,9 +4,9 @@ A document's features are the hashed words, word pairs and pairs with one word l
 each counted once. Words are runs of letters, digits and bytes from 0x80; A-Z count as a-z. Each
 coordinate has its own learning rate, and L1 sets most weights to zero, so the model is a short list.
 
-Training is online, in one task, over a bounded, hash-chosen sample (SAMPLE) of the labelled documents
-outside the held-out remainder, in the order of their id hashes (ties: by features and label); every document is
-scored from its whole text.
+Training is online, over all labelled documents outside the held-out remainder. They are dealt by id hash to as many
+learners as make about LEARNER documents for each, one task a learner, which takes its own in the order of their id hashes
+(ties: by features and label); the model is the mean of the learners' weights. Every document is scored from its whole text.
 
 Defined cases: a null or empty text has no feature but the bias; a null doc_id is scored and never held
 out; without labels the score is one half; repeated rows score alike; an empty table gives an empty
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.tables import id_crc, labelled_sample, sample_texts
+from inkfold.llm.tables import id_crc, labelled
 from inkfold.llm.words import Chunk, chunks, mix, span_hashes, spans
 
-SAMPLE = 16_384
+LEARNER = 16_384
+#: Labelled rows up to which they are sent to the documents instead of both being shuffled.
+SENT = 500_000
 HELD_OUT = (5, 0)
 BUCKETS = 1 << 20
 _NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -66,7 +68,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = HELD_OUT, epochs: int = 4, **how) -> pd.DataFrame:
+def train(docs: DataFrame, labels: DataFrame, learner: int = LEARNER, held_out: tuple[int, int] = HELD_OUT, epochs: int = 4, **how) -> pd.DataFrame:
     """(bucket, weight) of the weights that aren't zero."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +98,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tu
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], ["bucket", "weight"])
 
-    chosen = sample_texts(docs, labelled_sample(labels, "toxic", held_out, sample))
-    return chosen.repartition(1).mapInArrow(run, "bucket long, weight double").toPandas()
+    own = labelled(labels, "toxic", held_out)
+    n = own.count()
+    learners = max(1, round(n / learner))
+    # other documents have no label to learn
+    texts = docs.where(F.col("doc_id").isNotNull() & (id_crc() % held_out[0] != held_out[1])).select("doc_id", "text")
+    if n <= SENT:
+        dealt = texts.join(F.broadcast(own), "doc_id").repartition(learners, "doc_id")
+    else:
+        dealt = texts.repartition(learners, "doc_id").join(own.hint("shuffle_hash"), "doc_id")
+    # whole parts of a weight, so that the order of learners changes nothing
+    part = F.round(F.col("weight") * (1 << 40)).cast("long")
+    found = dealt.mapInArrow(run, "bucket long, weight double")
+    return found.groupBy("bucket").agg((F.sum(part) / F.lit(float(learners << 40))).alias("weight")).where("weight <> 0").toPandas()
 
 
 def score(docs: DataFrame, weights: pd.DataFrame) -> DataFrame:

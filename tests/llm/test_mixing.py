@@ -93,3 +93,17 @@ def test_joint_targets_agree_where_dimensions_go_together(spark):
     assert few.expected.mean() > 0.25
     with pytest.raises(ValueError):
         mixing.Targets(0.9, (("lang", {}), ("source", {})), joint=True)
+
+
+def test_small_topics_are_told_by_all_documents(spark):
+    """A topic that the starting sample misjudges stays or goes by its share of all documents."""
+    texts = lambda name, ids: [(i, " ".join(f"{name}{(i * 7 + k) % 30}" for k in range(40))) for i in ids]
+    rows = texts("a", range(100)) + texts("b", range(100, 200)) + [(i, texts("c", [i])[0][1]) for i in range(200, 203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # the few of c are all of the start but a few, and under a fiftieth of all
+    picked = lambda rows, key, bound: rows.where("doc_id >= 200 or doc_id in (1, 101)")
+    whole, topics.hash_sample = topics.hash_sample, picked
+    try:
+        assert len(topics.fit(docs, k=3).centres) == 2
+    finally:
+        topics.hash_sample = whole

@@ -129,3 +129,28 @@ def test_first_split_and_leaves_match_brute_force():
     assert abs(score(x[:, f] <= c) + score(x[:, f] > c) - score(np.ones(len(y), bool)) - best[0]) < 1e-9
     for leaf, rows in enumerate((x[:, f] <= c, x[:, f] > c)):
         assert abs(trees.leaf[0, leaf] + 0.5 * g[rows].sum() / (h[rows].sum() + 1.0)) < 1e-9
+
+
+def test_every_labelled_row_is_learnt(spark, monkeypatch):
+    """Trees grown from sums of tasks are those of all rows at hand, and no row is left out."""
+    docs, labels, _ = corpus(spark)
+    near = quality.train(docs, labels, trees=12)
+    seen = []
+    whole = quality.grown
+    monkeypatch.setattr(quality, "REFRESH", 5)
+    monkeypatch.setattr(quality, "grown", lambda sums, *a, **k: whole(lambda *x: seen.append(sums(*x)) or seen[-1], *a, **k))
+    far = quality.train(docs.repartition(5), labels, local=10, trees=12)
+    assert np.array_equal(near.feature, far.feature) and np.array_equal(near.cut, far.cut) and np.allclose(near.leaf, far.leaf)
+    n = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400)) + (zlib.crc32(b"0") % 4 != 2)  # document 0 is there twice
+    share = 1 / (1 + math.exp(-far.base))
+    assert abs(seen[0][1][0, 0].sum() / boosting.FIXED - n * share * (1 - share)) < 1e-6  # curvature of the first tree's root
+
+
+def test_every_labelled_document_has_a_learner(spark):
+    """Weights are the mean of learners that share all labelled documents between them."""
+    docs = spark.createDataFrame([(i, f"{'foul' if i % 2 else 'fine'} only{i}") for i in range(1, 201)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 201)], "doc_id long, toxic int")
+    got = [toxicity.train(docs.repartition(parts), labels, learner=40, l1=0.0, epochs=1).sort_values("bucket", ignore_index=True) for parts in (1, 5)]
+    assert got[0].equals(got[1])
+    (c,) = chunks(pa.array([f"only{i}" for i in range(1, 201) if zlib.crc32(str(i).encode()) % 5]))
+    assert set(toxicity.chunk_features(c)[1].tolist()) <= set(got[0]["bucket"])  # without L1 every document leaves its own word's weight
