@@ -43,13 +43,18 @@ def ask_for_new(rows: DataFrame, payload: str, answer: Answer, folder: str) -> i
     """Asks for the contents of rows that aren't in the table yet, each once; how many there were.
 
     answer: a function from (content, payload) to any number of rows with `content`, such as a model stage. Copies are
-    put together before they are shuffled, so a content that very many rows share costs a row of each task.
+    put together before they are shuffled, so a content that very many rows share costs a row of each task. Keys alone
+    tell what is new; payloads move once, and not at all if nothing is.
     """
     spark, run = rows.sparkSession, uuid.uuid4().hex
     own = rows.select(content_hash(payload).alias("content"), payload).where("content is not null")
     known = _asked(spark, folder)
     if known is not None:
-        own = own.join(known, "content", "left_anti")
+        own.select("content").distinct().join(known, "content", "left_anti").write.parquet(f"{folder}/new/run={run}")
+        new = spark.read.schema("content string").parquet(f"{folder}/new/run={run}")
+        if new.isEmpty():
+            return 0
+        own = own.join(new, "content", "left_semi")
     once = own.groupBy("content").agg(F.any_value(payload).alias(payload))
     # the contents are written with their payload, so that what is asked and what is noted as asked are the same
     once.write.parquet(f"{folder}/asking/run={run}")

@@ -246,3 +246,12 @@ def test_what_fits_at_a_size_fits_at_every_smaller_one():
         for hyphens in (False, True):
             lines = [lines_by_hand(lengths, most, hyphens) for most in range(2 if hyphens else max(lengths), 40)]
             assert lines == sorted(lines, reverse=True), (lengths, hyphens, lines)
+
+
+def test_nothing_new_moves_no_payload(spark, tmp_path):
+    """Where all contents are known, keys alone are compared and no content is put down again."""
+    table = spark.createDataFrame([(i, f"x{i % 5}") for i in range(50)], "id long, x string")
+    answer = lambda once: once.select("content", "x")
+    assert memo.ask_for_new(table, "x", answer, str(tmp_path)) == 5
+    assert memo.ask_for_new(table, "x", answer, str(tmp_path)) == 0
+    assert len(list((tmp_path / "asking").glob("run=*"))) == 1
