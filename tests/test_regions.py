@@ -74,3 +74,10 @@ def test_divided_space_is_covered_without_overlap():
                 assert min(a[2], b[2]) <= max(a[0], b[0]) or min(a[3], b[3]) <= max(a[1], b[1])
     cells = divide(space, [(110, 150, 200, 300), (300, 150, 400, 300)])
     assert cells == [(100, 100, 250, 400), (250, 100, 500, 400)]
+
+
+def test_detections_are_numbered_once_for_regions_and_patches(spark):
+    from inkfold.plans import catalog
+
+    plan = catalog.QUERIES["patched_regions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "row_number" not in plan
