@@ -12,9 +12,8 @@ import re
 import time
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
@@ -88,15 +87,15 @@ class FirstSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "known boolean", self.hold_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        files = pd.concat([r.astype(object) for r in rows])
-        held = files["state"] == HELD
-        known = self.seen.exists() or held.any()
-        if not self.seen.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # the state is asked and told once: each of these is a way to the JVM and back
+        files = list(rows)
+        seen = self.seen.exists()
+        if not seen:
             self.seen.update((True,))
-        files = files[~held].sort_values(self.order, kind="stable")
-        if len(files):
-            yield pd.DataFrame({c: files[c].tolist() for c in files} | {"state": ["duplicate" if known or i else "fresh" for i in range(len(files))]})
+        known = seen or any(f["state"] == HELD for f in files)
+        for i, f in enumerate(sorted((f for f in files if f["state"] != HELD), key=lambda f: (f[self.order] is None, f[self.order]))):
+            yield Row(**(f.asDict() | {"state": "duplicate" if known or i else "fresh"}))
 
     def close(self) -> None:
         pass
@@ -116,7 +115,7 @@ def told_apart(incoming: DataFrame, library: DataFrame, order: str, hold_ms: int
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema if f.name not in ("fingerprint", "state")]
     held = library.select("fingerprint", F.lit(HELD).alias("state"), *blank).select(incoming.columns)
     every = incoming.where("state is null").unionByName(held)
-    judged = every.groupBy("fingerprint").transformWithStateInPandas(FirstSeen(order, hold_ms), incoming.schema, "Append", "ProcessingTime")
+    judged = every.groupBy("fingerprint").transformWithState(FirstSeen(order, hold_ms), incoming.schema, "Append", "ProcessingTime")
     return judged.unionByName(incoming.where("state is not null"))
 
 
