@@ -45,14 +45,15 @@ def quantiles(x: np.ndarray, bins: int = 64) -> list[np.ndarray]:
 
 def coded(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     """The bin of each entry; the sums need no more of a row than this, its label and its margin."""
-    return np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1).astype(np.uint8)
+    return np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.uint8).T
 
 
 def walked(codes: np.ndarray, feature: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
     """The node that each row reaches after `depth` levels, numbered within its level."""
-    rows, at = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    n, flat = len(codes), codes.T.ravel()
+    rows, at = np.arange(n), np.zeros(n, np.int64)
     for _ in range(depth):
-        at = 2 * at + 1 + (codes[rows, feature[at]] > place[at])
+        at = 2 * at + 1 + (flat.take(feature.take(at) * n + rows) > place.take(at))
     return at - (2**depth - 1)
 
 

@@ -2,8 +2,9 @@
 
 Trees are fitted to all labelled rows outside the held-out remainder; every document is scored from statistics of its
 whole text. The cuts are quantiles of all these rows, told to eleven binary places. Up to
-LOCAL rows are fitted on the driver; of more only the sums of a level leave the tasks, which keep a row as one byte for
-each statistic, its label and its margin, and the trees are the same.
+LOCAL rows are fitted on the driver; of more only the sums of a level leave the tasks, and the trees are the same. A
+row is one byte for each statistic, its label and its margin there, and a batch of rows is one record, dealt so that a task
+has about PART rows: a level is a job, so what a job costs besides its rows counts.
 
 Defined cases: null and empty texts have zero statistics and are scored like any other; a null doc_id is
 scored and never held out; without labels of both kinds the score is the smoothed mean of the labels;
@@ -28,6 +29,8 @@ LOCAL = 20_000
 BINS, DROPPED = 64, 12
 #: Trees after which the margins of the rows are written anew.
 REFRESH = 10
+#: Rows of a task of the distributed fit.
+PART = 1 << 16
 HELD_OUT = (4, 2)
 KEEP = 0.7
 
@@ -130,18 +133,22 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_O
     if positive in (0, n):
         return grown(None, base, [], **how)
 
+    def block(label: np.ndarray, codes: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+        # statistic by statistic, as the sums read them
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (label.astype(np.int8), codes.T, margin)], ["label", "codes", "margin"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for label, codes, margin in zip(*(c.to_pylist() for c in batch.columns)):
+                yield np.frombuffer(label, np.int8), np.frombuffer(codes, np.uint8).reshape(WIDTH, -1).T, np.frombuffer(margin)
+
     def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = coded(_matrix(batch.column("stats")).astype(np.float64), cuts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([c.tobytes() for c in codes]), pa.array(np.full(batch.num_rows, base))], ["label", "codes", "margin"]
-            )
-
-    kind = "label int, codes binary, margin double"
-    table, done = materialize(rows.mapInArrow(to_codes, kind), "codes"), 0
+            yield block(batch.column("label").to_numpy(), codes, np.full(batch.num_rows, base))
 
-    def codes_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, WIDTH)
+    kind = "label binary, codes binary, margin binary"
+    table, done = materialize(rows.repartition(-(-n // PART)).mapInArrow(to_codes, kind), "codes"), 0
 
     def sums(finished: list[tuple[np.ndarray, ...]], feature: np.ndarray, place: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         nonlocal table, done
@@ -149,19 +156,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_O
             news = finished[done:]
 
             def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    margin = added(batch.column("margin").to_numpy(), codes_of(batch), news, depth)
-                    yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("codes"), pa.array(margin)], ["label", "codes", "margin"])
+                for label, codes, margin in blocks(batches):
+                    yield block(label, codes, added(margin, codes, news, depth))
 
             table, done = materialize(table.mapInArrow(moved, kind), "codes"), len(finished)
         news = finished[done:]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, 2**level, WIDTH, BINS))
-            for batch in batches:
-                codes = codes_of(batch)
-                margin = added(batch.column("margin").to_numpy(), codes, news, depth)
-                total += sums_of(codes, batch.column("label").to_numpy(), margin, feature, place, level, BINS)
+            for label, codes, margin in blocks(batches):
+                total += sums_of(codes, label, added(margin, codes, news, depth), feature, place, level, BINS)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
 
         # one array a task, of at most 344 kB

@@ -154,3 +154,16 @@ def test_every_labelled_document_has_a_learner(spark):
     assert got[0].equals(got[1])
     (c,) = chunks(pa.array([f"only{i}" for i in range(1, 201) if zlib.crc32(str(i).encode()) % 5]))
     assert set(toxicity.chunk_features(c)[1].tolist()) <= set(got[0]["bucket"])  # without L1 every document leaves its own word's weight
+
+
+def test_a_level_reads_few_records_however_the_rows_are_dealt(spark, monkeypatch):
+    """What a level costs besides its rows: a record for a batch of rows, and tasks by the number of rows."""
+    docs, labels, _ = corpus(spark)
+    tables = []
+    whole = quality.materialize
+    monkeypatch.setattr(quality, "PART", 128)
+    monkeypatch.setattr(quality, "materialize", lambda df, name: tables.append((name, whole(df, name))) or tables[-1][1])
+    quality.train(docs.repartition(40), labels, local=10, trees=1)
+    stats, codes = (dict(tables)[name] for name in ("stats", "codes"))
+    assert codes.count() == -(-stats.count() // 128) == 3
+    assert sum(len(r.label) for r in codes.collect()) == stats.count()
