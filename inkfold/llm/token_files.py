@@ -34,7 +34,7 @@ from inkfold.llm.tables import materialize
 
 NULL_ID = -(2**63)
 END_ID = 0
-CACHE = 700_000
+CACHE = 400_000
 #: Characters known not to be white space for the pre-tokenizer: printable ASCII and Latin letters.
 _PLAIN = "!-~À-ɏ"
 _UNSURE = re.compile(f"[^ \n{_PLAIN}]|^[ \n]|[ \n]$|[ \n][ \n]")
