@@ -8,8 +8,9 @@ by partition and attempt and hands their name to the manifest, so a repeated or
 files that nothing names.
 
 Special strings inside a text are ordinary text. A text is cut only where the tokenizer's own
-pre-tokenizer always cuts (between a non-space and a single space before a non-space), and each distinct
-piece is encoded once per worker.
+pre-tokenizer always cuts (between a non-space and a single space before a non-space, on both sides of a
+single line break, and in front of the marks that end a word), and a worker remembers the ids of the
+first distinct pieces that it meets.
 
 Defined cases: a null or empty text has the end id alone; rows with a null doc_id come first and are
 written as the smallest 64-bit integer; equal doc_ids are ordered by text; an empty table gives an empty
@@ -21,7 +22,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,29 @@ from inkfold.llm.tables import materialize
 
 NULL_ID = -(2**63)
 END_ID = 0
-CACHE = 400_000
+#: What a worker remembers: so many pieces, none longer than this; and the pieces that are encoded in one text.
+CACHE, LONGEST, GROUP = 400_000, 48, 32
 #: Characters known not to be white space for the pre-tokenizer: printable ASCII and Latin letters.
 _PLAIN = "!-~À-ɏ"
-_UNSURE = re.compile(f"[^ \n{_PLAIN}]|^[ \n]|[ \n]$|[ \n][ \n]")
+_ASCII = bytes(range(ord(" "), ord("~") + 1)) + b"\n"
+_LATIN = re.compile(rb"(?:[\xc3-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*")
 _CUT = re.compile(f"(?<=[{_PLAIN}])(?= [{_PLAIN}])")
+_PIECE = re.compile(f"\n?[{_PLAIN}]+")
+_MARKS = "".join(c for c in map(chr, range(ord("!"), ord("~") + 1)) if not c.isalnum())
+
+
+def _sure(text: str) -> bool:
+    """Whether text is plain characters with single spaces or single line breaks between them."""
+    if text[0] in " \n" or text[-1] in " \n" or any(run in text for run in ("  ", " \n", "\n ", "\n\n")):
+        return False
+    return _LATIN.fullmatch(text.encode().translate(None, _ASCII)) is not None
 
 
 class Encoder:
-    """Ids of texts as bytes; remembers the ids of pieces that it has met."""
+    """Ids of texts as bytes; remembers the ids of pieces that it has met.
+
+    A piece is what follows a space, without it, or what follows a line break, with it.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,60 +67,79 @@ class Encoder:
         # pieces are encoded as plain text; texts that hold a token's name go to the other one whole
         self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        names = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.named = re.compile("|".join(names) or "(?!)")
+        self.names = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
         self.end = np.array([END_ID], self.kind).tobytes()
         self.line_break = self.tokenizer.token_to_id("Ċ")
-        self.after_space: dict[str, bytes] = {}
-
-    def _known(self, memory: dict[str, bytes], pieces: set[str], before: str) -> Callable[[str], bytes]:
-        """A lookup that has all of the pieces; what is met first, and so is frequent, stays in memory."""
-        fresh = list(pieces.difference(memory))
-        found = dict(self._encode_pieces([p for p in fresh if "\n" not in p], before))
-        whole = [p for p in fresh if "\n" in p]
-        batch = self.tokenizer.encode_batch_fast([before + p for p in whole], add_special_tokens=False)
-        found.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(whole, batch))
-        if len(memory) + len(found) <= CACHE:
-            memory.update(found)
-            return memory.__getitem__
-        return lambda p: memory.get(p) or found.get(p, b"")
-
-    def _encode_pieces(self, pieces: list[str], before: str) -> Iterator[tuple[str, bytes]]:
-        """Ids of each piece. After a space, many go in one text: the pre-tokenizer makes each line break between them a token."""
-        size = 128 if before else 1
-        groups = [pieces[k : k + size] for k in range(0, len(pieces), size)]
-        texts = ["\n".join(before + p for p in g) for g in groups]
-        for group, enc in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(enc.ids, self.kind)
-            at = np.flatnonzero(ids == self.line_break) if before else np.zeros(0, np.int64)
-            raw, item = ids.tobytes(), ids.itemsize
-            starts, ends = [0, *((at + 1) * item).tolist()], [*(at * item).tolist(), len(raw)]
-            for piece, a, b in zip(group, starts, ends):
-                yield piece, raw[a:b]
+        self.memory: dict[str, bytes] = {}
+
+    def _ids(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the memory hasn't; what is met first, and so is frequent, stays in it."""
+        memory, odd = self.memory, [p for p in pieces if not _PIECE.fullmatch(p)]
+        found = dict(zip(odd, self._encode([" " + p for p in odd])))
+        # marks that end a word are apart from it for the pre-tokenizer, and stand as after a line break
+        fresh: dict[str, None] = {}
+        marked = []
+        for piece in pieces.difference(odd) if odd else pieces:
+            stem = piece.rstrip(_MARKS)
+            if len(stem) < len(piece) and stem[-1:].isalnum():
+                marked.append(piece)
+                fresh[stem] = fresh["\n" + piece[len(stem) :]] = None
+            else:
+                fresh[piece] = None
+        parts = {p: memory[p] for p in fresh if p in memory}
+        found.update(self._encode_plain([p for p in fresh if p not in parts]))
+        parts |= found
+        for piece in marked:
+            stem = piece.rstrip(_MARKS)
+            found[piece] = parts[stem] + parts["\n" + piece[len(stem) :]][self.width :]
+        if len(memory) < CACHE:
+            memory.update(islice((x for x in found.items() if len(x[0]) <= LONGEST), CACHE - len(memory)))
+        return found
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_plain(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each piece. Many go in one text: the pre-tokenizer makes each line break between them a token."""
+        groups, width = [pieces[k : k + GROUP] for k in range(0, len(pieces), GROUP)], self.width
+        texts = ["".join(p if p[0] == "\n" else "\n " + p for p in group) for group in groups]
+        for group, raw in zip(groups, self._encode(texts)):
+            at = (np.flatnonzero(np.frombuffer(raw, self.kind) == self.line_break) * width).tolist()
+            for piece, a, b in zip(group, at, [*at[1:], len(raw)], strict=True):
+                yield piece, raw[a:b] if piece[0] == "\n" else raw[a + width : b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id."""
-        named = {i: text for i, text in enumerate(texts) if text and self.named.search(text)}
+        named = {i: text for i, text in enumerate(texts) if text and any(name in text for name in self.names)}
         if named:
             own = dict(zip(named, self.whole.encode_batch_fast(list(named.values()), add_special_tokens=False)))
             rest = iter(self.encode([text for i, text in enumerate(texts) if i not in named]))
             return [np.array(own[i].ids, self.kind).tobytes() + self.end if i in own else next(rest) for i in range(len(texts))]
-        cut = []
-        for text in texts:
+        cut, heads, known = [], {}, self.memory.get
+        fresh: set[str] = set()
+        for i, text in enumerate(texts):
             if not text:
-                cut.append(("", []))
-            elif _UNSURE.search(text):
-                first, *rest = _CUT.split(text)
-                cut.append((first, [p[1:] for p in rest]))
+                pieces = []
+            elif _sure(text):
+                # a text begins like a line
+                pieces = text.replace("\n", " \n").split(" ")
+                pieces[0] = "\n" + pieces[0]
             else:
-                first, *rest = text.split(" ")
-                cut.append((first, rest))
-        pieces: set[str] = set()
-        for _, rest in cut:
-            pieces.update(rest)
-        head, after = self._known({}, {first for first, _ in cut}, ""), self._known(self.after_space, pieces, " ")
-        return [head(first) + b"".join(map(after, rest)) + self.end for first, rest in cut]
+                heads[i], *pieces = _CUT.split(text)
+                pieces = [p[1:] for p in pieces]
+            ids = list(map(known, pieces))
+            gaps = [k for k, x in enumerate(ids) if x is None]
+            fresh.update([pieces[k] for k in gaps])
+            cut.append((pieces, ids, gaps))
+        found, before, out = self._ids(fresh), dict(zip(heads, self._encode(list(heads.values())))), []
+        for i, (pieces, ids, gaps) in enumerate(cut):
+            for k in gaps:
+                ids[k] = found[pieces[k]]
+            whole = b"".join(ids)
+            out.append((before[i] + whole if i in before else whole[self.width :]) + self.end)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
