@@ -39,11 +39,11 @@ def _step(p: Params, gates_in: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, .
     """One step of a batch of states. Fastest where both arrays are transposed views, so that a gate is one stretch of memory."""
     k = h.shape[1]
     both = (p["state"].T @ h.T).T
-    s = both[:, 2 * k :].copy("K")
-    both = both[:, : 2 * k]
+    both, s = both[:, : 2 * k], both[:, 2 * k :]
     both += gates_in[:, : 2 * k]
     np.negative(both, out=both)
-    np.exp(np.minimum(both, 60, out=both), out=both)
+    with np.errstate(over="ignore"):  # a gate whose exp is infinite is shut
+        np.exp(both, out=both)
     both += 1
     np.reciprocal(both, out=both)
     r, z = both[:, :k], both[:, k:]
@@ -65,22 +65,22 @@ def _bounded(w: np.ndarray) -> bool:
     return float(np.abs(w).sum(-2).max()) < 60
 
 
-def _softmax_parts(logits: np.ndarray, picks: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp of the logits (in their place), its row sums, and the log of each row's picked share."""
+def _softmax_parts(logits: np.ndarray, places: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits (in their place), its row sums, and the log of each row's picked share. places: of the picks in all logits."""
     if not bounded:
         np.minimum(logits, 60, out=logits)
-    picked = logits[np.arange(len(picks)), picks]
+    picked = logits.ravel().take(places)
     np.exp(logits, out=logits)
     sums = logits @ np.ones(logits.shape[1], logits.dtype)
     return logits, sums, picked - np.log(sums)
 
 
-def _by_class(classes: np.ndarray, rare: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """The rows of head words in order of class, and the stretch of each class that has any."""
+def _by_class(classes: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The rows in order of class, those of class `most` and beyond left out, and the stretches of at most PART rows of each class below."""
     # numbers of 16 bits are sorted by radix
-    order = np.argsort(classes.astype(np.uint16 if rare < 1 << 16 else np.int64), kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(rare + 1)).tolist()
-    return order[: bounds[-1]], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+    order = np.argsort(classes.astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")
+    bounds = np.searchsorted(classes[order], np.arange(most + 1)).tolist()
+    return order[: bounds[-1]], [(c, slice(k, min(k + PART, b))) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) for k in range(a, b, PART)]
 
 
 def log_probs(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -91,23 +91,24 @@ def log_probs(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     by_class, by_word = _with_bias(p["class_w"], p["class_b"]), _with_bias(p["word_w"], p["word_b"])
     safe = _bounded(by_class), _bounded(by_word)
     cls = np.minimum(targets // block, classes)
-    out = np.empty(len(cls), states.dtype)
+    rows, out = np.arange(PART), np.empty(len(cls), states.dtype)
     for c in range(0, len(cls), PART):
-        out[c : c + PART] = _softmax_parts(states[c : c + PART] @ by_class, cls[c : c + PART], safe[0])[2]
+        own = cls[c : c + PART]
+        out[c : c + PART] = _softmax_parts(states[c : c + PART] @ by_class, rows[: len(own)] * (classes + 1) + own, safe[0])[2]
     order, stretches = _by_class(cls, classes)
-    inner, own = states[order], targets[order] - cls[order] * block
+    inner, own = states.take(order, 0), targets[order] - cls[order] * block
     more = np.empty(len(order), states.dtype)
     for c, at in stretches:
-        more[at] = _softmax_parts(inner[at] @ by_word[c], own[at], safe[1])[2]
+        more[at] = _softmax_parts(inner[at] @ by_word[c], rows[: at.stop - at.start] * block + own[at], safe[1])[2]
     out[order] += more
     return out
 
 
-def _output(w: np.ndarray, x: np.ndarray, picks: np.ndarray, weight: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, float]:
+def _output(w: np.ndarray, x: np.ndarray, places: np.ndarray, weight: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, float]:
     """Gradients of one softmax by its weights (the last row is the bias) and its inputs, and the summed loss."""
-    d, sums, logp = _softmax_parts(x @ w, picks, bounded)
+    d, sums, logp = _softmax_parts(x @ w, places, bounded)
     d *= (weight / sums)[:, None]
-    d[np.arange(len(picks)), picks] -= weight
+    d.ravel()[places] -= weight
     return x.T @ d, d @ w[:-1].T, -float(logp @ weight)
 
 
@@ -120,44 +121,51 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarr
     classes, k, block = p["word_w"].shape
     kind = p["state"].dtype
     # steps x gates x batch
-    gates = np.ascontiguousarray((p["input"] + p["bias"])[inputs].transpose(0, 2, 1))
+    table, gates = p["input"] + p["bias"], np.empty((steps, 3 * k, batch), kind)
     kept, states = [], np.ones((steps, batch, k + 1), kind)
     for t in range(steps):
+        gates[t] = table.take(inputs[t], 0).T
         new, *parts = _step(p, gates[t].T, h)
         kept.append([x.T for x in (h, *parts)])
         states[t, :, :k] = h = new
-    flat, goal, weight = states.reshape(-1, k + 1), targets.ravel(), mask.ravel().astype(kind)
-    cls = np.minimum(goal // block, classes)
+    goal, weight = targets.ravel(), mask.ravel().astype(kind)
     by_class, by_word = _with_bias(p["class_w"], p["class_b"]), _with_bias(p["word_w"], p["word_b"])
     safe = _bounded(by_class), _bounded(by_word)
-    g_class, g_word, loss, d_flat = np.zeros_like(by_class), np.zeros_like(by_word), 0.0, np.empty((len(flat), k), kind)
-    for c in range(0, len(cls), PART):
-        part = slice(c, c + PART)
-        g_part, d_flat[part], lost = _output(by_class, flat[part], cls[part], weight[part], safe[0])
+    # what counts, in order of class: the rows of one class, and all with a head word, are stretches; the rest has a class of its own
+    cls = np.where(weight > 0, np.minimum(goal // block, classes), classes + 1)
+    order, stretches = _by_class(cls, classes + 1)
+    flat, cls, goal, weight, rows = states.reshape(-1, k + 1).take(order, 0), cls[order], goal[order], weight[order], np.arange(PART)
+    g_class, g_word, loss, d_sorted = np.zeros_like(by_class), np.zeros_like(by_word), 0.0, np.zeros((len(order) + 1, k), kind)
+    for c in range(0, len(order), PART):
+        part = slice(c, min(c + PART, len(order)))
+        g_part, d_sorted[part], lost = _output(by_class, flat[part], rows[: part.stop - c] * (classes + 1) + cls[part], weight[part], safe[0])
         g_class += g_part
         loss += lost
-    order, stretches = _by_class(cls, classes)
-    inner, own, inner_weight, d_inner = flat[order], goal[order] - cls[order] * block, weight[order], np.empty((len(order), k), kind)
+    own = goal - cls * block
     for c, at in stretches:
-        g_word[c], d_inner[at], lost = _output(by_word[c], inner[at], own[at], inner_weight[at], safe[1])
-        loss += lost
-    d_flat[order] += d_inner
+        if c < classes:
+            g_part, d_part, lost = _output(by_word[c], flat[at], rows[: at.stop - at.start] * block + own[at], weight[at], safe[1])
+            g_word[c] += g_part
+            d_sorted[at] += d_part
+            loss += lost
+    # rows without weight have the zeros at the end
+    place = np.full(steps * batch, len(order))
+    place[order] = np.arange(len(order))
+    d_states = d_sorted.take(place, 0).reshape(steps, batch, k)
     g = {"class_w": g_class[:-1], "class_b": g_class[-1], "word_w": g_word[:, :-1], "word_b": g_word[:, -1], "state": np.zeros_like(p["state"])}
-    d_states = np.ascontiguousarray(d_flat.reshape(steps, batch, k).transpose(0, 2, 1))
     dh, into_state = np.zeros((k, batch), kind), np.empty((3 * k, batch), kind)
+    after = h.T
     for t in reversed(range(steps)):
         before, r, z, n, s = kept[t]
-        dh += d_states[t]
+        dh += d_states[t].T
         out = gates[t]
         dr, dz, dn = out[:k], out[k : 2 * k], out[2 * k :]
         keep = 1 - z
-        np.subtract(before, n, out=dz)
-        dz *= dh
-        dz *= z
+        keep *= dh
+        np.subtract(after, n, out=dz)  # z times what the state was away from n
         dz *= keep
         np.multiply(n, n, out=dn)
         np.subtract(1, dn, out=dn)
-        keep *= dh
         dn *= keep
         np.multiply(dn, s, out=dr)
         np.multiply(dn, r, out=into_state[2 * k :])
@@ -167,10 +175,17 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarr
         g["state"] += before @ into_state.T
         dh *= z
         dh += p["state"] @ into_state
-    tokens, g["input"] = inputs.ravel(), np.empty_like(p["input"])
+        after = before
+    # the commonest input, RARE, has what the others leave of all
+    rare, g["input"] = len(p["input"]) - 2, np.empty_like(p["input"])
+    step, column = np.nonzero(inputs != rare)
+    tokens, at = inputs[step, column], step * (3 * k * batch) + column
+    flat = gates.ravel()
     for j in range(3 * k):
-        g["input"][:, j] = np.bincount(tokens, gates[:, j].ravel(), len(p["input"]))
-    g["bias"] = g["input"].sum(0)
+        g["input"][:, j] = np.bincount(tokens, flat.take(at), len(p["input"]))
+        at += batch
+    g["bias"] = (gates @ np.ones(batch, kind)).sum(0)
+    g["input"][rare] = g["bias"] - g["input"].sum(0)
     return g, loss, h
 
 
@@ -279,7 +294,7 @@ def score(p: Params, tokens: np.ndarray, offsets: np.ndarray, slots: int = 512,
         for s in range(steps):
             if any_opens[s]:
                 h = h * ~opens[s][:, None]
-            h = _step(p, np.ascontiguousarray(table[before[s]].T).T, h)[0]
+            h = _step(p, np.ascontiguousarray(table.take(before[s], 0).T).T, h)[0]
             states[s, :, :-1] = h
         mine = owner[t : t + steps, :busy].ravel()
         real = np.flatnonzero(mine < n)

@@ -103,3 +103,28 @@ def test_words_tied_at_the_top_and_very_long_texts(spark, monkeypatch):
             text = [*dict(rows)[r.doc_id].encode().lower().split(), 0]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(text), len(text), n) and math.isfinite(r.score)
             assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in text)) < 1e-6 * len(text)
+
+
+def test_only_tokens_that_count_are_worked_on(monkeypatch):
+    rng, rows, real = np.random.RandomState(3), [], gru._output
+    p = {k: v.astype(np.float64) for k, v in gru.initial(rng.randint(1, 50, 8).astype(float), 20.0, hidden=5, block=4).items()}
+    # input 8 is RARE, 9 the start of a text
+    i, t, m, h = rng.randint(0, 10, (6, 7)), rng.randint(0, 9, (6, 7)), rng.rand(6, 7) > 0.3, rng.normal(size=(7, 5))
+    monkeypatch.setattr(gru, "PART", 4)
+    monkeypatch.setattr(gru, "_output", lambda w, x, *more: rows.append(len(x)) or real(w, x, *more))
+    g = gru.gradients(p, i, t, m, h)[0]
+    assert sum(rows) == m.sum() + (m & (t < 8)).sum() and max(rows) <= 4
+    for at in np.ndindex(p["input"].shape):
+        held, loss = p["input"][at], []
+        for step in (1e-4, -1e-4):
+            p["input"][at] = held + step
+            loss.append(gru.gradients(p, i, t, m, h)[1])
+        p["input"][at] = held
+        assert abs((loss[0] - loss[1]) / 2e-4 - g["input"][at]) < 1e-5
+    assert np.allclose(g["bias"], g["input"].sum(0))
+
+
+def test_gates_may_shut():
+    p = gru.initial(np.arange(64.0)[::-1], 30.0, hidden=4, block=8)
+    new = gru._step(p, np.repeat(np.array([[-200.0, -200.0, 0.5]], np.float32), 4, 1), np.zeros((1, 4), np.float32))[0]
+    assert np.allclose(new, np.tanh(0.5))
