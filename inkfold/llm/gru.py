@@ -176,16 +176,17 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarr
         dh *= z
         dh += p["state"] @ into_state
         after = before
-    # the commonest input, RARE, has what the others leave of all
+    # the commonest input, RARE, is summed apart
     rare, g["input"] = len(p["input"]) - 2, np.empty_like(p["input"])
-    step, column = np.nonzero(inputs != rare)
+    is_rare = inputs == rare
+    step, column = np.nonzero(~is_rare)
     tokens, at = inputs[step, column], step * (3 * k * batch) + column
     flat = gates.ravel()
     for j in range(3 * k):
         g["input"][:, j] = np.bincount(tokens, flat.take(at), len(p["input"]))
         at += batch
-    g["bias"] = (gates @ np.ones(batch, kind)).sum(0)
-    g["input"][rare] = g["bias"] - g["input"].sum(0)
+    g["input"][rare] = (gates @ is_rare[..., None].astype(kind)).sum((0, 2))
+    g["bias"] = g["input"].sum(0)
     return g, loss, h
 
 

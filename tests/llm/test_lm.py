@@ -122,6 +122,8 @@ def test_only_tokens_that_count_are_worked_on(monkeypatch):
         p["input"][at] = held
         assert abs((loss[0] - loss[1]) / 2e-4 - g["input"][at]) < 1e-5
     assert np.allclose(g["bias"], g["input"].sum(0))
+    i[i == 8] = 0
+    assert not gru.gradients(p, i, t, m, h)[0]["input"][8].any()  # exactly: Adam makes a step of the least rest
 
 
 def test_gates_may_shut():
